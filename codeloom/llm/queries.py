@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import near_dedup
 from .packing import pack
 from .sharding import shard
 from .sql import ORACLES as ORACLES
+from .suffix_dedup import suffix_dedup
 
 SHARDS = 24
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +27,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -33,13 +39,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_mixing": op10_mixing,
 }

@@ -6,6 +6,7 @@ the loss of an executor never loses a result that a later step needs.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,5 +61,15 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which a driver with little to do
+    may not run for a long time.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
