@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .near_dedup import near_dedup
 from .packing import pack
+from .quality import quality
 from .sharding import shard
 from .sql import ORACLES as ORACLES
 from .suffix_dedup import suffix_dedup
+from .topk import exact_topk
+from .toxicity import held_out, toxicity
 
 SHARDS = 24
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +35,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
@@ -39,10 +47,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), where=~held_out(F.col("id")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,8 +67,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_topk": op7_topk,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
