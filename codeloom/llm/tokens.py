@@ -18,12 +18,21 @@ SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 MAX_CACHED = 1_000_000
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself if it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class BatchEncoder:
     """Ids of whole batches by the byte-level BPE in ``vocabulary``, a file of the tokenizers library."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.split = ByteLevel(add_prefix_space=False)
         self.kind = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self._classify(np.arange(128))
@@ -104,8 +113,8 @@ class BatchEncoder:
                 self._clear()
                 new[:] = True
             f = first[new]
-            encoded = self.tokenizer.encode_batch_fast([joined[a:b] for a, b in zip(starts[f].tolist(), ends[f].tolist())], add_special_tokens=False)
-            ids = [e.ids for e in encoded]
+            merge = self.tokenizer.model.tokenize
+            ids = [[t.id for t in merge(joined[a:b].encode().decode("latin-1").translate(BYTE_CHARS))] for a, b in zip(starts[f].tolist(), ends[f].tolist())]
             entry = len(self.starts) - 1 + np.arange(len(ids))
             self.starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids]))
             self.ids = np.append(self.ids, np.array([i for x in ids for i in x], dtype=np.uint32))
@@ -119,3 +128,13 @@ class BatchEncoder:
         out_bounds[1:][full] = token_bounds[np.searchsorted(starts, offsets[1:])]
         np.maximum.accumulate(out_bounds, out=out_bounds)
         return self.ids[source], out_bounds
+
+
+_ENCODERS: dict[str, BatchEncoder] = {}
+
+
+def encoder(vocabulary: str) -> BatchEncoder:
+    """The encoder of this worker process, whose cache outlives a task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = BatchEncoder(vocabulary)
+    return _ENCODERS[vocabulary]
