@@ -10,7 +10,7 @@ fills what is still missing is taken too, if it brings the source nearer its tar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -43,22 +43,10 @@ def source_targets(sizes: dict[str | None, int], weights: dict[str | None, int]
     return {s: weights[s] * (left / weight) if weights[s] else out[s] for s in names}
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, int] | None = None, size_expr: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: ``<id>, size, source, source_size, target, taken, times``.
-
-    ``size`` counts the words of the whole text (null: 0), ``times`` says how
-    often the mix takes the row and ``taken`` is their product. Null sources are
-    one source. Rows of size 0 are taken once for each whole epoch and with the
-    rows before the cut. Rows that repeat (same id) have equal keys and follow one another;
-    each counts. Null ids have one key. An empty table gives an empty result;
-    if all sizes are 0, all targets are 0 and nothing is taken.
-    The sources are assumed to be a short list (their totals go to the driver).
-    """
+def _decide(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: dict[str | None, int] | None, size_expr: str | None) -> tuple[DataFrame, list[tuple], DataFrame, DataFrame]:
+    """The written rows with ``pick`` (before the cut), the plan of each source, and the tables of cuts and of fills (a row per source at most)."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = F.expr(size_expr) if size_expr else F.regexp_count(text, F.lit(WORD))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = written(docs.select(F.col(id_col).alias("id"), size.cast("long").alias("size"), F.col(source_col).cast("string").alias("s"), F.md5(ident).alias("key")), "mix")
+    rows = written(docs.select(*_keyed(id_col, text_col, source_col, size_expr)), "mix")
     cells = written(rows.groupBy("s", F.substring("key", 1, CELL_DIGITS).alias("cell")).agg(F.sum("size").alias("n")), "cells")
     sizes = {r.s: r.n for r in cells.groupBy("s").agg(F.sum("n").alias("n")).collect()}
     targets = source_targets(sizes, weights)
@@ -88,8 +76,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     left = picked.filter((F.col("pick") == 0) & (F.col("size") > 0)).join(F.broadcast(gap), F.col("s").eqNullSafe(F.col("gap_src"))).filter(F.col("size") < 2 * F.col("gap"))
     best = left.groupBy("s").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("d"), "key", "id", "size")).alias("b"))
     fills = spark.createDataFrame([(r.s, r.b.id, r.b.key, r.b.size, 1) for r in best.collect()], f"fs string, fid {dict(picked.dtypes)['id']}, fkey string, fsize long, fill int")
+    return picked, plan, cuts, fills
+
+
+def _keyed(id_col: str, text_col: str, source_col: str, size_expr: str | None) -> list[Column]:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.expr(size_expr) if size_expr else F.regexp_count(text, F.lit(WORD))
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return [F.col(id_col).alias("id"), size.cast("long").alias("size"), F.col(source_col).cast("string").alias("s"), F.md5(ident).alias("key")]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, int] | None = None, size_expr: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``<id>, size, source, source_size, target, taken, times``.
+
+    ``size`` counts the words of the whole text (null: 0), ``times`` says how
+    often the mix takes the row and ``taken`` is their product. Null sources are
+    one source. Rows of size 0 are taken once for each whole epoch and with the
+    rows before the cut. Rows that repeat (same id) have equal keys and follow one another;
+    each counts. Null ids have one key. An empty table gives an empty result;
+    if all sizes are 0, all targets are 0 and nothing is taken.
+    The sources are assumed to be a short list (their totals go to the driver).
+    """
+    picked, _, _, fills = _decide(docs, id_col, text_col, source_col, weights, size_expr)
     chosen = F.col("s").eqNullSafe(F.col("fs")) & (F.col("key") == F.col("fkey")) & F.col("id").eqNullSafe(F.col("fid")) & (F.col("size") == F.col("fsize")) & (F.col("pick") == 0)
     times = (F.col("epochs") + F.col("pick") + F.coalesce(F.col("fill"), F.lit(0))).cast("long")
     return picked.join(F.broadcast(fills), chosen, "left").select(
         F.col("id").alias(id_col), "size", F.col("s").alias("source"), "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"),
     )
+
+
+def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, int] | None = None, size_expr: str | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with all their columns.
+
+    The decision on a row follows from its source's cut, so that texts aren't shuffled. Rows that
+    repeat id, source and size at the cut are taken together or not at all.
+    """
+    spark = docs.sparkSession
+    picked, plan, cuts, fills = _decide(docs, id_col, text_col, source_col, weights, size_expr)
+    point = F.struct("key", "id", "size")
+    last = {r.s: r.p for r in picked.filter("pick = 1").join(F.broadcast(cuts), F.col("s").eqNullSafe(F.col("cut_src"))).groupBy("s").agg(F.max(point).alias("p")).collect()}
+    cut = {r.cut_src for r in cuts.collect()}
+    fill = {r.fs: r for r in fills.collect()}
+    kind = dict(picked.dtypes)["id"]
+    rows = [(s, e, s in cut, last.get(s) and tuple(last[s]), s in fill and (fill[s].fkey, fill[s].fid, fill[s].fsize) or None) for s, _, _, e, _ in plan]
+    at = f"struct<key: string, id: {kind}, size: long>"
+    sources = F.broadcast(spark.createDataFrame(rows, f"src string, epochs long, is_cut boolean, upto {at}, filled {at}"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keyed(id_col, text_col, source_col, size_expr)).join(sources, F.col("s").eqNullSafe(F.col("src")))
+    pick = F.when(~F.col("is_cut"), 1).when(F.col("upto").isNotNull() & (point <= F.col("upto")), 1).when(F.col("filled").isNotNull() & (point == F.col("filled")), 1).otherwise(0)
+    times = F.col("epochs") + pick
+    return keyed.withColumn("n", times.cast("int")).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
