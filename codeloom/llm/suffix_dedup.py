@@ -11,9 +11,11 @@ lengths; a position leaves as soon as its rank is unique, or is known to repeat.
 2. The units that are left are ranked by their whole bytes. All windows of a unit
    that also starts earlier repeat. What is left of a rank of round 1 with only
    one kind of unit is unique and leaves.
-3. Windows of the units that are left get the pair of ranks of their halves, the
-   second one at an offset of half the threshold, and are ranked by the pair;
-   all but the first of each pair repeat.
+3. Windows of the units that are left are ranked again in groups of up to ``GROUP`` at fixed
+   distances from their named position, first by the ``threshold - GROUP + 1`` bytes that all of the
+   group share, then by all bytes of the group, with the same outcomes.
+4. Single windows of the groups that are left are ranked by all their bytes; all
+   but the first of each rank repeat.
 
 Names come from the bytes alone, so a round needs no sort of all positions before
 it can name; the shuffles carry only what the round before left undecided. Every
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .shared import drop_scratch, release, written
@@ -35,6 +37,7 @@ from .textnum import BYTE_VALUE, U, mix64, pieces, powers, texts_of
 
 THRESHOLD = 100
 SEED = 32
+GROUP = 8
 PIECE = 1 << 18
 POSITION_BITS = 24
 SEGMENT = 1 << 23
@@ -65,11 +68,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def units(buf: np.ndarray, offsets: np.ndarray, threshold: int, seed: int) -> tuple[np.ndarray, ...]:
-    """``text, first window, number of windows, rank of the named position, rank of the unit`` of each unit."""
+    """``text, first window, number of windows, distance to the named position, its rank, rank of the unit`` of each unit."""
     n = len(buf)
     width = threshold - seed + 1
     if n < threshold:
-        return tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, dtype=d) for d in (np.int64, np.int64, np.int64, np.int64, U, U))
     sums = prefix_sums(buf)
     g = gram(sums, slice(0, n - seed + 1), slice(seed, n + 1))
     packed = (g >> U(POSITION_BITS)) << U(POSITION_BITS) | np.arange(len(g), dtype=U)
@@ -84,7 +87,7 @@ def units(buf: np.ndarray, offsets: np.ndarray, threshold: int, seed: int) -> tu
     count = np.diff(np.append(at, len(s)))
     s0 = s[at]
     unit = gram(sums, s0, s0 + count - 1 + threshold) + count.astype(U)
-    return text[at], s0 - offsets[text[at]], count, g[m[at]], unit
+    return text[at], s0 - offsets[text[at]], count, m[at] - s0, g[m[at]], unit
 
 
 def _segments(buf: np.ndarray, offsets: np.ndarray, threshold: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,29 +108,44 @@ def _units(batches: Iterator[pa.RecordBatch], threshold: int, seed: int) -> Iter
     for batch in batches:
         buf, offsets = texts_of(batch.column(2))
         for a, begin, b, o in _segments(buf, offsets, threshold):
-            text, s0, count, h, u = units(b, o, threshold, seed)
+            text, s0, count, off, h, u = units(b, o, threshold, seed)
             if len(text):
                 rows = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s0 + begin), pa.array(count.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))], ["doc", "v", "s0", "cnt", "h", "u"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s0 + begin), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))], ["doc", "v", "s0", "cnt", "off", "h", "u"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """The windows of ``doc, v, t, r`` (a list of s0 and cnt): position and both halves' ranks."""
-    half = threshold // 2
+def _groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """The groups of windows of ``doc, v, t, r`` (a list of s0, cnt and off), with the rank of each window."""
     for batch in batches:
         buf, offsets = texts_of(batch.column(2))
         lists = batch.column(3)
         bounds = lists.offsets.to_numpy()
-        s0, cnt = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        fields = [lists.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
         for i in range(batch.num_rows):
-            a, c = s0[bounds[i] : bounds[i + 1]].astype(np.int64), cnt[bounds[i] : bounds[i + 1]].astype(np.int64)
-            low, high = int(a.min()), int((a + c).max()) + threshold - 1
+            s0, cnt, off = (x[bounds[i] : bounds[i + 1]] for x in fields)
+            low, high = int(s0.min()), int((s0 + cnt).max()) + threshold - 1
             sums = prefix_sums(buf[offsets[i] + low : offsets[i] + high])
-            s = np.repeat(a - np.cumsum(c) + c, c) + np.arange(c.sum())
+            unit = np.repeat(np.arange(len(s0)), cnt)
+            s = np.arange(len(unit)) + (s0 - np.cumsum(cnt) + cnt)[unit]
+            j = ((s0 + off)[unit] - s) // GROUP
+            begin = np.ones(len(s), dtype=bool)
+            begin[1:] = (unit[1:] != unit[:-1]) | (j[1:] != j[:-1])
+            at = np.flatnonzero(begin)
+            count = np.diff(np.append(at, len(s)))
             x = s - low
-            left, right = gram(sums, x, x + half), gram(sums, x + half, x + threshold)
-            k = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, batch.column(0)[i].as_py())), pa.array(np.full(k, batch.column(1)[i].as_py())), pa.array(s), pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], ["doc", "v", "s", "a", "b"])
+            shared = (s0 + off)[unit[at]] - GROUP * j[at] - low
+            core = gram(sums, shared, shared + threshold - GROUP + 1) + j[at].astype(U)
+            whole = gram(sums, x[at], x[at] + count - 1 + threshold) + count.astype(U)
+            w = gram(sums, x, x + threshold)
+            k = len(at)
+            for c in range(0, k, 100_000):
+                d = min(k, c + 100_000)
+                e = np.append(at, len(s))[c : d + 1]
+                ranks = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(w[e[0] : e[-1]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(d - c, batch.column(0)[i].as_py())), pa.array(np.full(d - c, batch.column(1)[i].as_py())), pa.array(s[at[c:d]]), pa.array(count[c:d].astype(np.int32)), pa.array(core[c:d].view(np.int64)), pa.array(whole[c:d].view(np.int64)), ranks],
+                    ["doc", "v", "s0", "cnt", "h", "u", "w"],
+                )
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -164,6 +182,39 @@ def _cut(batches: Iterator[pa.RecordBatch], threshold: int, with_text: bool) ->
         yield pa.RecordBatch.from_arrays(out, names)
 
 
+def _order(bounds: Row) -> Column:
+    """Where a start comes in the order by id and position, as one number where the ids allow it."""
+    low, high, most = bounds
+    if low is not None and (high - low + 1) * (span := most + 1024) < 1 << 62:  # a run has far fewer windows
+        return (F.col("doc") - F.lit(low)) * F.lit(span) + F.col("s0")
+    return F.struct("doc", "s0")
+
+
+def _round(table: DataFrame, bounds: Row) -> DataFrame:
+    """One round over runs of windows: those that are ``later``, and those not decided yet.
+
+    ``h`` ranks the bytes that all windows of a run share, ``u`` all bytes of the run. A run with
+    a unique ``h`` is unique; one whose ``u`` starts earlier repeats; one whose ``h`` goes
+    with no other ``u`` is the first of its kind and has no other windows to meet.
+    ``table`` is dropped.
+    """
+    spark = table.sparkSession
+    again = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1").select("h", (F.col("u0") != F.col("u1")).alias("kinds"))
+    again = written(again, "again")
+    release(spark)
+    undecided = written(table.join(again.hint("shuffle_hash"), "h"), "undecided")
+    drop_scratch(table)
+    drop_scratch(again)
+    release(spark)
+    at = _order(bounds)
+    ranked = undecided.groupBy("u").agg(F.min(at).alias("first"))
+    judged = undecided.join(ranked.hint("shuffle_hash"), "u").withColumn("later", at > F.col("first")).filter("later or kinds").drop("first", "kinds", "u")
+    judged = written(judged, "judged")
+    drop_scratch(undecided)
+    release(spark)
+    return judged
+
+
 def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``<id>, n_bytes, n_removed, n_spans, kept_sha256``; with ``with_text`` also ``kept`` (bytes) and ``spans`` (bounds of removed runs).
 
@@ -173,7 +224,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     the smallest. Rows that repeat both id and text are one document and get
     the same result; of rows with one id and different texts the earlier start
     comes first. A text shorter than the threshold stays whole; an empty table gives an
-    empty result. Ids must be integers; ``threshold`` is even and at least 64.
+    empty result. Ids must be integers; ``threshold`` is from 64 to 1000.
     """
     spark = docs.sparkSession
     seed = SEED
@@ -184,27 +235,23 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     version = F.xxhash64(text) if repeated else F.lit(0).cast("long")  # tells rows with one id apart
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), version.alias("v"), text.alias("t"))
 
-    table = written(base.select("doc", "v", "t").filter(F.octet_length("t") >= threshold).mapInArrow(lambda it: _units(it, threshold, seed), "doc long, v long, s0 long, cnt int, h long, u long"), "units")
-    again = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1").select("h", (F.col("u0") != F.col("u1")).alias("kinds"))
-    undecided = written(table.join(again, "h"), "undecided")
-    drop_scratch(table)
-    release(spark)
-    at = F.struct("doc", "s0")
-    ranked = undecided.groupBy("u").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = written(undecided.join(ranked.filter("n > 1").select("u", "first"), "u").filter(at > F.col("first")).select("doc", "v", "s0", "cnt"), "later")
-    # of units that start first, those of a rank with another kind of unit
-    open_units = undecided.filter("kinds").join(ranked.filter("n = 1").select("u"), "u", "left_semi").select("doc", "v", "s0", "cnt")
-    firsts = undecided.filter("kinds").join(ranked.filter("n > 1").select("u", "first"), "u").filter(at == F.col("first")).select("doc", "v", "s0", "cnt")
-    per_doc = written(open_units.unionByName(firsts).groupBy("doc", "v").agg(F.collect_list(F.struct("s0", "cnt")).alias("r")), "open")  # bounded by the text's length
-    drop_scratch(undecided)
-    release(spark)
-
-    windows = written(base.select("doc", "v", "t").dropDuplicates(["doc", "v"]).join(per_doc, ["doc", "v"]).select("doc", "v", "t", "r").mapInArrow(lambda it: _windows(it, threshold), "doc long, v long, s long, a long, b long") if repeated else base.select("doc", "v", "t").join(per_doc, ["doc", "v"]).select("doc", "v", "t", "r").mapInArrow(lambda it: _windows(it, threshold), "doc long, v long, s long, a long, b long"), "windows")
+    table = written(base.select("doc", "v", "t").filter(F.octet_length("t") >= threshold).mapInArrow(lambda it: _units(it, threshold, seed), "doc long, v long, s0 long, cnt int, off int, h long, u long"), "units")
+    bounds = table.agg(F.min("doc"), F.max("doc"), F.max("s0")).first()
+    whole = [F.col("doc"), F.col("v"), F.col("s0"), F.col("cnt")]
+    judged = _round(table, bounds)
+    per_doc = judged.filter("not later").groupBy("doc", "v").agg(F.collect_list(F.struct("s0", "cnt", "off")).alias("r"))  # bounded by the text's length
+    once = base.select("doc", "v", "t").dropDuplicates(["doc", "v"]) if repeated else base.select("doc", "v", "t")
+    groups = written(once.join(per_doc, ["doc", "v"]).select("doc", "v", "t", "r").mapInArrow(lambda it: _groups(it, threshold), "doc long, v long, s0 long, cnt int, h long, u long, w array<long>"), "groups")
     release(spark)
-    pairs = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b", "first")
-    single = windows.join(pairs, ["a", "b"]).filter(F.struct("doc", "s") > F.col("first")).select("doc", "v", F.col("s").alias("s0"), F.lit(1).cast("int").alias("cnt"))
-    removed = written(later.unionByName(single).groupBy("doc", "v").agg(F.collect_set(F.struct("s0", "cnt")).alias("r")), "removed")
-    drop_scratch(windows)
+    judged2 = _round(groups, bounds)
+    windows = judged2.filter("not later").select("doc", "v", "s0", "h", F.posexplode("w").alias("i", "w")).select("doc", "v", (F.col("s0") + F.col("i")).alias("s0"), F.lit(1).cast("int").alias("cnt"), "h", "w")
+    at = _order(bounds)
+    first = windows.groupBy("h", "w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w", "first")
+    single = windows.join(first.hint("shuffle_hash"), ["h", "w"]).filter(at > F.col("first")).select(*whole)
+    later = judged.filter("later").select(*whole).unionByName(judged2.filter("later").select(*whole)).unionByName(single)
+    removed = written(later.groupBy("doc", "v").agg(F.collect_set(F.struct("s0", "cnt")).alias("r")), "removed")
+    drop_scratch(judged)
+    drop_scratch(judged2)
     release(spark)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if with_text else "")
     out = base.join(removed, ["doc", "v"], "left").select("id", "t", "r").mapInArrow(lambda it: _cut(it, threshold, with_text), schema)
