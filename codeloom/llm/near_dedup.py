@@ -30,8 +30,10 @@ from .textnum import U, distinct, mix64, pieces, shingles, texts_of, words
 BANDS, ROWS = 32, 3
 MANTISSA = 10
 SHINGLE = 5
-#: A pair with a lower estimate, six standard errors of 96 registers below the threshold, is not verified.
-MARGIN = 6.0
+#: A pair with a lower estimate, five standard errors of 96 registers below the threshold, is not verified.
+MARGIN = 5.0
+#: Ids of candidates are broadcast up to this number (8 bytes each), and joined beyond it.
+BROADCAST_IDS = 4_000_000
 BLOCK = 2048
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
@@ -150,21 +152,35 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _members(lists: pa.ListArray) -> list[np.ndarray]:
+    """Bounds of the lists of ``rep, comp, n, regs``, and the columns of all their members, without a copy."""
+    rows = lists.values
+    regs = rows.field(3)
+    size = len(_A) * 2
+    first = np.frombuffer(regs.buffers()[1], dtype=np.int32)[regs.offset] if len(regs) else 0
+    data = np.frombuffer(regs.buffers()[2], dtype=np.uint8)[first : first + size * len(regs)] if len(regs) else np.zeros(0, dtype=np.uint8)
+    return [lists.offsets.to_numpy(), *[rows.field(i).to_numpy(zero_copy_only=False) for i in range(3)], data.view(np.uint16).reshape(-1, len(_A))]
+
+
 def _cross(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
     """Close pairs of two blocks of one band's members, given as lists, whose components differ."""
     for batch in batches:
-        for row in batch.to_pylist():
-            sides = []
-            for s in ("x", "y"):
-                m = row[s]
-                sides.append((np.array([e["rep"] for e in m]), np.array([e["comp"] for e in m]), np.array([e["n"] for e in m]), np.frombuffer(b"".join(e["regs"] for e in m), dtype=np.uint16).reshape(-1, len(_A))))
-            (xi, xc, xn, xr), (yi, yc, yn, yr) = sides
-            for i in range(len(xi)):
-                e = estimate((yr == xr[i]).mean(axis=1), np.full(len(yi), xn[i]), yn)
-                hit = (e >= floor) & (yc != xc[i]) & (yi < xi[i] if row["same"] else True)
-                if hit.any():
-                    other = yi[hit]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(other, xi[i])), pa.array(np.minimum(other, xi[i]))], ["a", "b"])
+        (xo, xi, xc, xn, xr), (yo, yi, yc, yn, yr) = (_members(batch.column(c)) for c in (0, 1))
+        same = batch.column(2).to_pylist()
+        out_a, out_b = [], []
+        for row in range(batch.num_rows):
+            y = slice(yo[row], yo[row + 1])
+            ids, comps, sizes, regs = yi[y], yc[y], yn[y], yr[y]
+            for i in range(xo[row], xo[row + 1]):
+                other = (comps != xc[i]) & (ids < xi[i]) if same[row] else comps != xc[i]
+                at = np.flatnonzero(other)
+                if len(at):
+                    e = estimate((regs[at] == xr[i]).mean(axis=1), np.full(len(at), xn[i]), sizes[at])
+                    hit = ids[at[e >= floor]]
+                    out_a.append(np.maximum(hit, xi[i]))
+                    out_b.append(np.minimum(hit, xi[i]))
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 70) -> DataFrame:
@@ -174,7 +190,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets is at least ``threshold`` times that of the union; ``component_id`` is the
     smallest id reachable over links and ``kept`` says that the document has that
     id. ``class_id`` is the smallest id with an equal set, ``n_links`` the number
-    of verified links of that class. Null and empty texts, and texts without
+    of that class's links that were verified (a link inside what others join already needs no proof). Null and empty texts, and texts without
     words, have an empty set, are linked with nothing and are kept. Rows that
     repeat an id are one document with several rows, all with the same result.
     A null id is linked with nothing (its ``component_id`` is null) and kept. An empty table gives an empty
@@ -184,6 +200,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     feats = written(features(docs, id_col, text_col), "features")
     if feats.isEmpty():
         return feats.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    repeated = not feats.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
     full = feats.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     first = full.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
@@ -195,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = written(members.join(shared, "key"), "members")
     slim = reps.select("rep", "n", "regs")
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(docs, id_col, text_col, stars, slim, threshold)
+    links = _confirmed(docs, id_col, text_col, stars, slim, threshold, repeated)
     comps = components(links.select("a", "b"))
 
     # bands whose members are not yet one component: each pair of components is tried, in blocks
@@ -210,7 +227,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         floor = floor_of(threshold / 100)
         more = pairs.repartition(partitions(spark)).mapInArrow(lambda it: _cross(it, floor), "a long, b long").distinct()
         more = more.join(links.select("a", "b"), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(_confirmed(docs, id_col, text_col, more, None, threshold))
+        links = links.unionByName(_confirmed(docs, id_col, text_col, more, None, threshold, repeated))
         comps = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
@@ -235,16 +252,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, slim: DataFrame | None, threshold: int) -> DataFrame:
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, slim: DataFrame | None, threshold: int, repeated: bool) -> DataFrame:
     """The written links among ``pairs`` (``a`` > ``b``): estimated where ``slim`` has registers, then verified on the texts."""
     if slim is not None:
         floor = floor_of(threshold / 100)
         left, right = (slim.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), F.col("regs").alias(f"{s}r")) for s in ("a", "b"))
         pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ar", "br").mapInArrow(lambda it: _close(it, floor), "a long, b long")
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(wanted, "id").dropDuplicates(["id"])
-    texts = written(texts, "candidates")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(wanted) if few else wanted, "id")
+    texts = written(texts.groupBy("id").agg(F.min("t").alias("t")) if repeated else texts, "candidates")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
     return written(both.select("a", "b", "at", "bt").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"), "links")
 
@@ -252,5 +270,6 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, sl
 def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 70) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id."""
     result = near_dedup(docs, id_col, text_col, threshold)
-    gone = result.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = written(result.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
