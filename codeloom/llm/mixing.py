@@ -5,7 +5,8 @@ Each row gets a hash-random key (MD5 of its id). Rows fall, in key order, into
 so that only the one range that holds a source's cut is ever sorted row by row.
 A target of ``e`` whole epochs and a rest takes every row ``e`` times and the rows
 before the cut once more. Of the rows behind the cut the one whose size best
-fills what is still missing is taken too, if it brings the source nearer its target.
+fills what is still missing is taken too, if it brings the source nearer its target,
+so that what is taken differs from a target by half of the row at the cut at most.
 """
 
 from __future__ import annotations
