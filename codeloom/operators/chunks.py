@@ -27,20 +27,20 @@ def cuts(text: str, window: int = WINDOW, least: int = LEAST) -> list[tuple[int,
     return out
 
 
-def hard_split(docs: DataFrame, key: str, text: str, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """``<key>, seq, start, end, start_line, end_line, content`` of each chunk that isn't blank; offsets in characters, from 0, lines from 1.
+def hard_split(docs: DataFrame, keep: list[str], text: str, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+    """``<keep>, seq, start, end, start_line, end_line, content`` of each chunk that isn't blank; offsets in characters, from 0, lines from 1.
 
     Time is linear in a text's length, and a text is never split between tasks. A null text has no chunk.
     """
-    kind = dict(docs.dtypes)[key]
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "seq", "start", "end", "start_line", "end_line", "content"]
+        names = [*keep, "seq", "start", "end", "start_line", "end_line", "content"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             source: list[int] = []
             rows: list[tuple] = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for i, t in enumerate(batch.column(len(keep)).to_pylist()):
                 line = 1
                 for seq, (a, b) in enumerate(cuts(t or "", window, least), 1):
                     part = t[a:b]
@@ -50,10 +50,11 @@ def hard_split(docs: DataFrame, key: str, text: str, window: int = WINDOW, least
                         rows.append((seq, a, b, line, line + more, part))
                     line += more
             columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, types)]], names)
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(len(keep))], *[pa.array(c, k) for c, k in zip(columns, types)]], names)
 
-    schema = f"key {kind}, seq int, start long, end long, start_line int, end_line int, content string"
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "seq int, start long, end long, start_line int, end_line int, content string"])
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
 def first_in_file(node: str, file: str, order: str) -> Column:

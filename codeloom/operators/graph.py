@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 
+#: Offsets of a file are joined by stretches of this length.
+BUCKET = 4096
+
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
     return nodes.select(F.col("node_id").alias(f"{name}_id"), F.col("file_path").alias("file"), F.col("start_line").alias("line"))
@@ -63,19 +66,30 @@ def neighbours(nodes: DataFrame, direction: str, of: DataFrame | None = None) ->
     """
     if direction not in ("next", "prev"):
         raise ValueError(f"direction must be 'next' or 'prev', not {direction!r}")
-    cur = nodes if of is None else nodes.join(of.select("node_id"), "node_id", "left_semi")
-    a = cur.select("node_id", "file_id", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    b = nodes.select("file_id", F.col("node_id").alias("neighbour_id"), "start_line", "end_line", "start")
-    on = (F.col("start_line") >= F.col("e")) if direction == "next" else (F.col("end_line") <= F.col("s"))
-    order = [F.asc("start_line"), F.asc("start"), F.asc("neighbour_id")] if direction == "next" else [F.desc("end_line"), F.desc("start"), F.desc("neighbour_id")]
-    pairs = a.join(b, "file_id").filter(on & (F.col("node_id") != F.col("neighbour_id")))
-    return pairs.withColumn("n", F.row_number().over(Window.partitionBy("node_id").orderBy(*order))).filter("n = 1").select("node_id", "neighbour_id")
+    line, limit = ("start_line", "end_line") if direction == "next" else ("end_line", "start_line")
+    turn = F.desc if direction == "next" else F.asc
+    order = [turn("line"), turn("start"), turn("id")]
+    chunk = nodes.select("file_id", F.col(line).alias("line"), "start", F.col("node_id").alias("id"))
+    # the candidate behind each one, for a chunk whose nearest candidate is itself
+    chunk = chunk.withColumn("found", F.struct("id", F.lag("id").over(Window.partitionBy("file_id").orderBy(*order)).alias("other"))).withColumn("ask", F.lit(0))
+    asked = nodes if of is None else nodes.join(of.select("node_id"), "node_id", "left_semi")
+    if of is not None:
+        chunk = chunk.join(asked.select("file_id").distinct(), "file_id", "left_semi")
+    ask = asked.select("file_id", F.col(limit).alias("line"), "start", F.col("node_id").alias("id"), F.lit(None).cast(chunk.schema["found"].dataType).alias("found"), F.lit(1).alias("ask"))
+    # one sort of each file: going towards the chunk asked for, the last candidate passed is the nearest
+    passed = Window.partitionBy("file_id").orderBy(turn("line"), "ask", turn("start"), turn("id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = chunk.unionByName(ask).withColumn("near", F.last("found", ignorenulls=True).over(passed)).filter("ask = 1")
+    found = F.when(F.col("near.id") == F.col("id"), F.col("near.other")).otherwise(F.col("near.id"))
+    return near.select(F.col("id").alias("node_id"), found.alias("neighbour_id")).filter("neighbour_id is not null")
 
 
 def enclosing(refs: DataFrame, nodes: DataFrame, tolerance: int = 1) -> DataFrame:
     """``ref, node_id``: the smallest node of the file that encloses each reference (``ref, path, start, end``), give or take ``tolerance``."""
+    bucket = lambda x: F.floor(x / F.lit(BUCKET)).cast("long")
     n = nodes.select(F.col("file_path").alias("path"), "node_id", F.col("start").alias("a"), F.col("end").alias("b"))
-    hit = refs.join(n, "path").filter((F.col("a") <= F.col("start") + tolerance) & (F.col("b") >= F.col("end") - tolerance))
+    # a node lies in each stretch of its file that it touches, a reference in that of its start
+    n = n.withColumn("bucket", F.explode(F.sequence(bucket(F.col("a") - tolerance), bucket(F.col("b") + tolerance))))
+    hit = refs.withColumn("bucket", bucket(F.col("start"))).join(n, ["path", "bucket"]).filter((F.col("a") <= F.col("start") + tolerance) & (F.col("b") >= F.col("end") - tolerance))
     smallest = Window.partitionBy("ref").orderBy(F.col("b") - F.col("a"), "a", "node_id")
     return hit.withColumn("n", F.row_number().over(smallest)).filter("n = 1").select("ref", "node_id")
 

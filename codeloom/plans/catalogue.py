@@ -104,7 +104,7 @@ def q_json_access(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT doc_id, seq, start, \"end\", content FROM nodes", "nodes"))
 def q_hard_split(spark: SparkSession, d: str) -> DataFrame:
-    return chunks.hard_split(corpus.documents(spark, d), "doc_id", "text").select("doc_id", "seq", "start", "end", "content")
+    return chunks.hard_split(corpus.documents(spark, d), ["doc_id"], "text").select("doc_id", "seq", "start", "end", "content")
 
 
 @query(sql("SELECT doc_id, seq, start_line, end_line FROM nodes", "nodes"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.columns import category_of, label_of, search_tags, stable_id
 from ..operators.chunks import first_in_file, hard_split
+from .scratch import kept
 
 ROLES = ("entry_point", "api_endpoint", "test_case", "class", "function")
 EXTENSIONS = (".py", ".js", ".md", ".json", ".txt")
@@ -42,23 +43,31 @@ def files(spark: SparkSession, sf_dir: str, snapshot: str = "s2") -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str, snapshot: str = "s2", content: bool = True) -> DataFrame:
-    """``node_id, doc_id, seq, file_id, file_path, language, category, start, end, start_line, end_line, chunk_hash, matches, tags`` and ``content`` of all chunks."""
+    """``node_id, doc_id, seq, file_id, file_path, language, category, start, end, start_line, end_line, chunk_hash, matches, tags`` and ``content`` of all chunks; chunked once per application."""
+    out = kept(spark, f"{sf_dir}/documents.parquet", f"nodes-{snapshot}", lambda: _nodes(spark, sf_dir, snapshot))
+    return out if content else out.drop("content")
+
+
+def _nodes(spark: SparkSession, sf_dir: str, snapshot: str) -> DataFrame:
     d = documents(spark, sf_dir)
     d = d.filter("doc_id % 2 = 0") if snapshot == "s1" else d
-    chunks = hard_split(d, "doc_id", "text")
-    about = files(spark, sf_dir, snapshot).select("doc_id", "file_id", F.col("path").alias("file_path"), "language", "category")
-    made = chunks.join(about, "doc_id")
+    path = F.col("path")
+    d = d.select("doc_id", stable_id(F.lit(snapshot), path).alias("file_id"), path.alias("file_path"), F.col("lang").alias("language"), category_of(path).alias("category"), "text")
+    made = hard_split(d, ["doc_id", "file_id", "file_path", "language", "category"], "text")
     role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), (F.col("doc_id") % 5 + 1).cast("int"))
     kind = F.when(F.col("seq") % 2 == 0, "function").otherwise("class")
     match = lambda c, v: F.struct(F.lit(c).alias("category"), v.alias("value"), label_of(v).alias("label"))
     matches = F.when(F.col("doc_id") % 11 != 0, F.array(match("type", kind), match("role", role))).cast(schema.MATCHES)
     out = made.withColumn("node_id", stable_id(F.col("file_id"), F.col("start").cast("string"), F.col("end").cast("string"))).withColumn("chunk_hash", F.sha2("content", 256)).withColumn("matches", matches)
-    out = out.withColumn("tags", F.coalesce(search_tags(F.col("matches")), F.lit("")))
-    return out if content else out.drop("content")
+    return out.withColumn("tags", F.coalesce(search_tags(F.col("matches")), F.lit("")))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``source_id, target_id, relation_type, symbol``: fragments to their file's first one, and relations between documents' chunks."""
+    """``source_id, target_id, relation_type, symbol``: fragments to their file's first one, and relations between documents' chunks; derived once per application."""
+    return kept(spark, f"{sf_dir}/documents.parquet", "edges", lambda: _edges(spark, sf_dir))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark, sf_dir, content=False).select("node_id", "doc_id", "seq", "file_id")
     first = n.withColumn("first", first_in_file("node_id", "file_id", "seq"))
     child = first.filter("node_id <> first").select(F.col("node_id").alias("source_id"), F.col("first").alias("target_id"), F.lit("child_of").alias("relation_type"), F.lit(None).cast("string").alias("symbol"))
