@@ -37,7 +37,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents"))
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from __future__ import annotations
+
+from .license_scan import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_exact_dedup"] = """
@@ -45,3 +49,48 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (epochs + pick + CASE WHEN n = 1 AND pick = 0 AND size > 0 AND gap > 0.5 AND size < 2 * gap THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM f
 """
+
+ORACLES["op3_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, CAST(sum(hash(g)) AS VARCHAR) || ' ' || CAST(sum(hash(g || 'x')) AS VARCHAR) AS whole FROM s GROUP BY 1),
+c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, whole) AS class_id FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 70 * (a.n + b.n - k)),
+r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, t.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) t ON t.x = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept, coalesce(class_id, d.doc_id) AS class_id
+FROM documents d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+ORACLES["op7_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+_LIST = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+ORACLES["op2_license_scan"] = f"""
+WITH t AS (SELECT name, {_WORDS} AS w FROM (VALUES {_LIST}) AS v(name, text)),
+ts AS (SELECT DISTINCT name, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT name, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM t)),
+tn AS (SELECT name, count(*) AS n, max(len(w) - 2) AS wide FROM ts JOIN t USING (name) GROUP BY 1),
+ds AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)),
+h AS (SELECT doc_id, name, i, g, wide FROM ds JOIN ts USING (g) JOIN tn USING (name)),
+k AS (
+  SELECT a.doc_id, a.name, a.i, count(DISTINCT b.g) AS k FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.name = b.name AND b.i >= a.i AND b.i < a.i + a.wide
+  GROUP BY 1, 2, 3),
+f AS (SELECT DISTINCT doc_id, name FROM k JOIN tn USING (name) WHERE k >= 0.8 * n)
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1
+"""
