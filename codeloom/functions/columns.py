@@ -117,6 +117,13 @@ def in_pruned_dir(path: Column) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in PRUNED_DIRS]))
 
 
+def should_process(path: Column) -> Column:
+    """Whether a path is source by its names alone: not below a pruned or hidden directory, no hidden file and no ``.lock``."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return ~in_pruned_dir(path) & ~F.exists(folders, lambda d: F.startswith(d, F.lit("."))) & ~F.startswith(base_name(path), F.lit(".")) & ~F.endswith(path, F.lit(".lock"))
+
+
 def prompt(path: Column, language: Column, category: Column, matches: Column, defines: Column, content: Column) -> Column:
     """The text that is embedded for a node; lines without a value are left out."""
     line = lambda name, x: F.when(F.length(x) > 0, F.concat(F.lit(name + ": "), x))

@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import chunks, embedding, fts, fusion, graph, lifecycle, reader, vectors, writes
 from ..operators.filters import build_predicate
 from ..sources import corpus
+from ..sources.scratch import kept
 from .oracle import CATEGORY, COSINE, LABEL, NEWLINES, STOP, TOKENS, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +89,15 @@ def q_pruned_dirs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.files(spark, d).select("path", (C.in_pruned_dir(F.col("path")) | tests).alias("pruned"))
 
 
+@query(sql("""SELECT p, NOT (list_has_any(string_split(p, '/')[:-2], ['.git','node_modules','__pycache__','.venv','dist','build','target','vendor'])
+  OR len(list_filter(string_split(p, '/')[:-2], lambda x: starts_with(x, '.'))) > 0 OR starts_with(string_split(p, '/')[-1], '.') OR ends_with(p, '.lock')) AS processed
+  FROM (SELECT CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN '.cache/' || path WHEN 2 THEN 'build/' || path ELSE path || '.lock' END AS p FROM files)""", "files"))
+def q_should_process(spark: SparkSession, d: str) -> DataFrame:
+    p, n = F.col("path"), F.col("doc_id") % 4
+    made = F.when(n == 0, p).when(n == 1, F.concat(F.lit(".cache/"), p)).when(n == 2, F.concat(F.lit("build/"), p)).otherwise(F.concat(p, F.lit(".lock")))
+    return corpus.files(spark, d).select(made.alias("p")).withColumn("processed", C.should_process(F.col("p")))
+
+
 @query(f"""SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty_node_content' ELSE t END AS cleaned, md5(url) AS url_md5
   FROM (SELECT *, substring(replace(html, chr(10), ' '), 1, 25000) AS t FROM pages)""")
 def q_text_cleanup(spark: SparkSession, d: str) -> DataFrame:
@@ -232,6 +242,14 @@ def q_fts_postings(spark: SparkSession, d: str) -> DataFrame:
     return fts.postings(_nodes(spark, d))
 
 
+@query(sql(f"SELECT node_id, {_rank(['apache', 'license'])} AS score FROM ({_TERMS}) WHERE {_HAS('apache')} AND {_HAS('license')} ORDER BY score DESC, node_id LIMIT 50", "nodes"))
+def q_fts_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best nodes by the inverted index, of which only the postings of the words are read."""
+    n = _nodes(spark, d)
+    index = kept(spark, f"{d}/documents.parquet", "postings", lambda: fts.postings(n).sort("term"))
+    return fts.search_postings(index, ["apache", "license"], 50)
+
+
 @query(sql("""SELECT item_id, len(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3)))) AS n,
   list_sort(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3))))[1] AS first FROM benchmark"""))
 def q_trigram(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,11 @@ def test_paths_and_urls(spark):
     assert p(C.in_pruned_dir, "a/node_modules/x.js") and not p(C.in_pruned_dir, "node_modules.js")
 
 
+def test_should_process(spark):
+    p = lambda v: one(spark, C.should_process(F.col("x")), x=v)
+    assert [p(x) for x in ("src/app.py", ".env", "node_modules/lib/index.js", "src/package-lock.json", ".github/x.py", "yarn.lock")] == [True, False, False, True, False, False]
+
+
 def test_skip_reason(spark):
     r = lambda size, head: one(spark, C.skip_reason(F.lit("p"), F.col("s"), F.col("h")), s=size, h=head)
     assert r(3 << 20, "") == "File too large (3.00 MB)" and r(1, "a\0") == "Binary file detected" and r(1, "x" * 1001) == "Minified" and r(1, "# do not edit") == "Generated" and r(1, "ok") is None
