@@ -27,7 +27,7 @@ PIECES: dict[str, tuple[list[str], str]] = {
         CAST(strlen(text) AS BIGINT) AS size_bytes, {CATEGORY.format('path')} AS category FROM d"""),
     "files1": (["d"], f"""SELECT doc_id, sha256('s1|' || path) AS file_id, 's1' AS snapshot_id, source, path, lang AS language, sha256(text) AS file_hash,
         CAST(strlen(text) AS BIGINT) AS size_bytes, {CATEGORY.format('path')} AS category FROM d WHERE doc_id % 2 = 0"""),
-    "cut": (["d"], f"""SELECT doc_id, 1 AS seq, 0 AS a, {_NEXT.format('0')} AS b FROM d WHERE text <> ''
+    "cut": (["d"], f"""SELECT doc_id, 1 AS seq, CAST(0 AS BIGINT) AS a, {_NEXT.format('0')} AS b FROM d WHERE text <> ''
         UNION ALL SELECT d.doc_id, seq + 1, b, {_NEXT.format('b')} FROM cut JOIN d USING (doc_id) WHERE b < length(text)"""),
     "n0": (["files", "cut"], f"""SELECT doc_id, seq, file_id, files.path AS file_path, language, category, a AS start, b AS "end",
         sha256(file_id || '|' || a || '|' || b) AS node_id, substring(text, a + 1, b - a) AS content,
