@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -192,15 +192,44 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id. ``class_id`` is the smallest id with an equal set, ``n_links`` the number
     of that class's links that were verified (a link inside what others join already needs no proof). Null and empty texts, and texts without
     words, have an empty set, are linked with nothing and are kept. Rows that
-    repeat an id are one document with several rows, all with the same result.
+    repeat id and text have equal results; rows with one id and different texts are
+    documents of their own, of which the smaller id names a component.
     A null id is linked with nothing (its ``component_id`` is null) and kept. An empty table gives an empty
     result. Ids must be integers.
     """
+    return _named(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "class_id", "n_links")
+
+
+def _row_key(id_col: str, text_col: str, repeated: bool) -> Column:
+    """What tells documents apart: the id, or if ids repeat a hash of id and text; null for a null id."""
+    own = F.col(id_col).cast("long")
+    return F.when(own.isNotNull(), F.xxhash64(own, F.coalesce(F.col(text_col).cast("string"), F.lit("")))) if repeated else own
+
+
+def _repeat(docs: DataFrame, id_col: str) -> bool:
+    return not docs.select(F.col(id_col).alias("id")).filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """The result of ``near_dedup`` with ``id`` and ``row_key``."""
+    repeated = _repeat(docs, id_col)
+    keyed = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col, repeated).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    found = _linked(keyed.select("row_key", "text"), "row_key", "text", threshold, repeated)
+    if not repeated:
+        return found.withColumn("id", F.col("row_key").cast(dict(docs.dtypes)[id_col])).withColumn("kept", F.col("row_key").eqNullSafe(F.col("component_id")))
+    names = written(keyed.select("row_key", "id").filter("row_key is not null").distinct(), "names")
+    known = written(found.join(names, "row_key", "left"), "keyed")
+    least = lambda c: known.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias(f"least_{c}"))
+    out = known.join(least("component_id"), "component_id", "left").join(least("class_id"), "class_id", "left")
+    return out.select("id", "row_key", "n_shingles", F.col("least_component_id").alias("component_id"), F.col("id").eqNullSafe(F.col("least_component_id")).alias("kept"), F.col("least_class_id").alias("class_id"), "n_links")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeated: bool) -> DataFrame:
+    """The result of ``near_dedup`` for documents whose ids repeat only with their text."""
     spark = docs.sparkSession
     feats = written(features(docs, id_col, text_col), "features")
     if feats.isEmpty():
-        return feats.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.lit(True).alias("kept"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    repeated = not feats.filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
+        return feats.select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     full = feats.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = written(full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     first = full.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
@@ -247,7 +276,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.coalesce("component", "rep"))
     return joined.select(
-        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
     )
 
@@ -268,8 +297,11 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, sl
 
 
 def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 70) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest id."""
-    result = near_dedup(docs, id_col, text_col, threshold)
-    gone = written(result.filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    """The rows of ``docs`` that stay, with all their columns: of each component those with the smallest id.
+
+    That is one row of each component, unless rows repeat both id and text, or one id has several texts of a component.
+    """
+    result = _named(docs, id_col, text_col, threshold)
+    gone = written(result.filter(~F.col("kept")).select(F.col("row_key").alias("__gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, _row_key(id_col, text_col, _repeat(docs, id_col)) == F.col("__gone"), "left_anti")

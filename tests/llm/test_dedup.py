@@ -8,7 +8,7 @@ from codeloom.llm.exact_dedup import build_directory, exact_dedup, exact_dedup_r
 from codeloom.llm.near_dedup import estimate, near_dedup, near_dedup_rows, registers
 from codeloom.llm.suffix_dedup import suffix_dedup
 
-from .cases import SCHEMA, docs, empty, texts
+from .cases import SCHEMA, docs, empty, prose, texts
 
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -93,6 +93,14 @@ def test_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_one_id_with_several_texts(spark):
+    base = prose(5, 100)
+    rows = [(7, base, "a"), (7, base + " more", "a"), (7, prose(6, 100), "a"), (9, prose(6, 100) + " end", "a"), (3, prose(8, 50), "a"), (3, base + " other", "a")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup(docs(spark, rows)).collect())
+    assert got == [(3, 46, 3, True), (3, 97, 3, True), (7, 96, 3, False), (7, 96, 7, True), (7, 97, 3, False), (9, 97, 7, False)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup_rows(docs(spark, rows)).collect()) == sorted([(3, rows[4][1]), (3, rows[5][1]), (7, rows[2][1])])
+
+
 def test_estimate_is_close():
     import numpy as np
 
