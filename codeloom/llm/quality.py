@@ -84,11 +84,11 @@ def vectors(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """``first text, end text, vectors`` of parts of a batch, of at most 512 texts each."""
+    """``first text, end text, vectors`` of parts of a batch, of at most 256 texts each."""
     buf, offsets = texts_of(column)
-    for a, b in pieces(offsets, 1 << 19):
-        for i in range(a, b, 512):
-            j = min(b, i + 512)
+    for a, b in pieces(offsets):
+        for i in range(a, b, 256):
+            j = min(b, i + 256)
             yield i, j, vectors(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 

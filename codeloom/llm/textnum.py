@@ -63,7 +63,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return buf[first : int(offsets[-1])] if len(offsets) else buf, (offsets - first if len(offsets) else np.zeros(1, dtype=np.int64))
 
 
-def pieces(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of about ``size`` bytes each; a longer text is a range of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:

@@ -116,7 +116,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(offsets):
             text, bucket = _present(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             for label in (0, 1):
-                have[label] += np.bincount(bucket[y[a + text] == label], minlength=1 << BITS)
+                np.add.at(have[label], bucket[y[a + text] == label], 1)
     if rows.any():
         at = np.flatnonzero(have.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[1, at], rows[1])), pa.array(np.append(have[0, at], rows[0]))], ["bucket", "pos", "neg"])
@@ -176,7 +176,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         slot = _slots(machine.buckets)
         for batch in batches:
             buf, offsets = texts_of(batch.column(1))
-            for i, j in pieces(offsets, 1 << 18):
+            for i, j in pieces(offsets):
                 z = machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
 
@@ -209,7 +209,7 @@ def toxicity_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         for batch in batches:
             buf, offsets = texts_of(batch.column(len(names)))
             keep = [np.zeros(0, dtype=bool)]
-            for i, j in pieces(offsets, 1 << 18):
+            for i, j in pieces(offsets):
                 keep.append(machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot)) < 0)
             yield batch.filter(pa.array(np.concatenate(keep))).select(list(range(len(names))))
 
