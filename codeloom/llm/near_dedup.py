@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import partitions, written
-from .textnum import U, distinct, mix64, pieces, shingles, texts_of, words
+from .textnum import U, distinct, mix64, pieces, shingles, texts_of, trim, words
 
 BANDS, ROWS = 32, 3
 MANTISSA = 10
@@ -120,6 +120,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ],
                     ["id", "n_shingles", "d1", "d2", "bands", "regs"],
                 )
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n_shingles long, d1 long, d2 long, bands array<long>, regs binary")
 
@@ -150,6 +151,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
             both = len(np.intersect1d(mine, last[1], assume_unique=True))
             keep[i] = 100 * both >= threshold * (len(mine) + len(last[1]) - both)
         yield batch.select([0, 1]).filter(pa.array(keep))
+    trim()
 
 
 def _members(lists: pa.ListArray) -> list[np.ndarray]:

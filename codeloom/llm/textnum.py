@@ -7,6 +7,8 @@ sums of powers of an odd base, modulo 2^64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,13 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as a worker process stays for later tasks that need other things."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -15,7 +15,7 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .textnum import U, mix64, span_hash
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
-MAX_CACHED = 1_000_000
+MAX_CACHED = 300_000
 
 
 def _byte_chars() -> dict[int, str]:

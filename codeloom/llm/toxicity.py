@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import labelled, terms
-from .textnum import pieces, texts_of
+from .textnum import pieces, texts_of, trim
 
 BITS = 20
 GRAM = 5
@@ -120,6 +120,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows.any():
         at = np.flatnonzero(have.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[1, at], rows[1])), pa.array(np.append(have[0, at], rows[0]))], ["bucket", "pos", "neg"])
+    del have
+    trim()
 
 
 def _features(buf: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +181,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             for i, j in pieces(offsets):
                 z = machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
@@ -212,5 +215,6 @@ def toxicity_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for i, j in pieces(offsets):
                 keep.append(machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot)) < 0)
             yield batch.filter(pa.array(np.concatenate(keep))).select(list(range(len(names))))
+        trim()
 
     return docs.select("*", F.col(text_col).cast("string").alias("__judged")).mapInArrow(run, docs.schema)
