@@ -10,8 +10,10 @@ the full sets.
 A pair at the threshold agrees in a band with probability ``0.7^3`` and misses
 all 32 bands with probability 1.5e-6. No candidate is left out: documents with
 equal sets are collapsed first; then each band's members are tried against the
-smallest of them, and what these links do not join is tried member by member, in
-blocks, inside the tasks, which emit only pairs whose estimate is close enough.
+smallest of them, and all others member by member, in blocks, inside the tasks,
+which emit only pairs whose estimate is close enough, in the first band that a
+pair shares. Where only components are asked for, pairs that are already in one
+component are passed over.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ MARGIN = 5.0
 #: Ids of candidates are broadcast up to this number (8 bytes each), and joined beyond it.
 BROADCAST_IDS = 4_000_000
 BLOCK = 2048
+#: About so many texts of one neighbourhood are verified together.
+GROUP = 128
 _A = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0xA24BAED4963EE407)) | U(1)
 
 
@@ -136,21 +140,26 @@ def _close(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Recor
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs ``a, b, at, bt`` (two texts), those with 100 * intersection >= threshold * union."""
+    """Of pairs, those with 100 * intersection >= threshold * union.
+
+    Rows ``g, a, b, t`` in order of ``g``, in which the texts ``t`` of a group (``b`` is null) come before its pairs.
+    """
+    group: int | None = None
+    sets: dict[int, np.ndarray] = {}
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
-        last: tuple[object, np.ndarray] = (None, np.zeros(0, dtype=U))
-        (xb, xo), (yb, yo) = texts_of(batch.column(2)), texts_of(batch.column(3))
-        hubs = batch.column(1).to_pylist()
-        for i in range(batch.num_rows):
-            if last[0] != hubs[i]:
-                t = yb[yo[i] : yo[i + 1]]
-                last = (hubs[i], distinct(*shingles(*words(t, np.array([0, len(t)])), SHINGLE))[0])
-            t = xb[xo[i] : xo[i + 1]]
-            mine = distinct(*shingles(*words(t, np.array([0, len(t)])), SHINGLE))[0]
-            both = len(np.intersect1d(mine, last[1], assume_unique=True))
-            keep[i] = 100 * both >= threshold * (len(mine) + len(last[1]) - both)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+        buf, o = texts_of(batch.column(3))
+        for i, (g, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            if g != group:
+                group, sets = g, {}
+            if b is None:
+                t = buf[o[i] : o[i + 1]]
+                sets[a] = distinct(*shingles(*words(t, np.array([0, len(t)])), SHINGLE))[0]
+            else:
+                x, y = sorted((sets[a], sets[b]), key=len)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep[i] = 100 * both >= threshold * (len(x) + len(y) - both)
+        yield batch.select([1, 2]).filter(pa.array(keep))
     trim()
 
 
@@ -165,10 +174,10 @@ def _members(lists: pa.ListArray) -> list[np.ndarray]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
-    """Close pairs of two blocks of one band's members, given as lists, whose components differ."""
+    """Close pairs of two blocks of one band's members, given as lists, whose components differ, and that share no earlier band."""
     for batch in batches:
         (xo, xi, xc, xn, xr), (yo, yi, yc, yn, yr) = (_members(batch.column(c)) for c in (0, 1))
-        same = batch.column(2).to_pylist()
+        same, bands = (batch.column(c).to_pylist() for c in (2, 3))
         out_a, out_b = [], []
         for row in range(batch.num_rows):
             y = slice(yo[row], yo[row + 1])
@@ -177,8 +186,11 @@ def _cross(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Recor
                 other = (comps != xc[i]) & (ids < xi[i]) if same[row] else comps != xc[i]
                 at = np.flatnonzero(other)
                 if len(at):
-                    e = estimate((regs[at] == xr[i]).mean(axis=1), np.full(len(at), xn[i]), sizes[at])
-                    hit = ids[at[e >= floor]]
+                    agree = regs[at] == xr[i]
+                    close = np.flatnonzero(estimate(agree.mean(axis=1), np.full(len(at), xn[i]), sizes[at]) >= floor)
+                    agree = agree[close]
+                    shared = np.logical_and.reduce([agree[:, r::ROWS] for r in range(ROWS)])
+                    hit = ids[at[close[shared.argmax(axis=1) == bands[row]]]]
                     out_a.append(np.maximum(hit, xi[i]))
                     out_b.append(np.minimum(hit, xi[i]))
         if out_a:
@@ -192,14 +204,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets is at least ``threshold`` times that of the union; ``component_id`` is the
     smallest id reachable over links and ``kept`` says that the document has that
     id. ``class_id`` is the smallest id with an equal set, ``n_links`` the number
-    of that class's links that were verified (a link inside what others join already needs no proof). Null and empty texts, and texts without
+    of other classes that class is linked with. Null and empty texts, and texts without
     words, have an empty set, are linked with nothing and are kept. Rows that
     repeat id and text have equal results; rows with one id and different texts are
     documents of their own, of which the smaller id names a component.
     A null id is linked with nothing (its ``component_id`` is null) and kept. An empty table gives an empty
     result. Ids must be integers.
     """
-    return _named(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "class_id", "n_links")
+    return _named(docs, id_col, text_col, threshold, True).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "class_id", "n_links")
 
 
 def _row_key(id_col: str, text_col: str, repeated: bool) -> Column:
@@ -212,11 +224,11 @@ def _repeat(docs: DataFrame, id_col: str) -> bool:
     return not docs.select(F.col(id_col).alias("id")).filter("id is not null").groupBy("id").count().filter("count > 1").isEmpty()
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
-    """The result of ``near_dedup`` with ``id`` and ``row_key``."""
+def _named(docs: DataFrame, id_col: str, text_col: str, threshold: int, counted: bool) -> DataFrame:
+    """The result of ``near_dedup`` with ``id`` and ``row_key``; ``n_links`` is whole only if ``counted``."""
     repeated = _repeat(docs, id_col)
     keyed = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col, repeated).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    found = _linked(keyed.select("row_key", "text"), "row_key", "text", threshold, repeated)
+    found = _linked(keyed.select("row_key", "text"), "row_key", "text", threshold, repeated, counted)
     if not repeated:
         return found.withColumn("id", F.col("row_key").cast(dict(docs.dtypes)[id_col])).withColumn("kept", F.col("row_key").eqNullSafe(F.col("component_id")))
     names = written(keyed.select("row_key", "id").filter("row_key is not null").distinct(), "names")
@@ -226,8 +238,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataF
     return out.select("id", "row_key", "n_shingles", F.col("least_component_id").alias("component_id"), F.col("id").eqNullSafe(F.col("least_component_id")).alias("kept"), F.col("least_class_id").alias("class_id"), "n_links")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeated: bool) -> DataFrame:
-    """The result of ``near_dedup`` for documents whose ids repeat only with their text."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeated: bool, counted: bool) -> DataFrame:
+    """The result of ``near_dedup`` for documents whose ids repeat only with their text; without ``counted``, only links that components need."""
     spark = docs.sparkSession
     feats = written(features(docs, id_col, text_col), "features")
     if feats.isEmpty():
@@ -238,28 +250,27 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeate
     reps = written(first.select(F.col("id").cast("long").alias("rep"), F.col("n_shingles").alias("n"), "bands", "regs"), "reps")
 
     # members of bands that more than one class shares, and the smallest of each band as its hub
-    members = reps.select("rep", F.explode("bands").alias("key"))
+    members = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(members.join(shared, "key"), "members")
     slim = reps.select("rep", "n", "regs")
     stars = shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    links = _confirmed(docs, id_col, text_col, stars, slim, threshold, repeated)
-    comps = components(links.select("a", "b"))
-
-    # bands whose members are not yet one component: each pair of components is tried, in blocks
-    label = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_bands = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("size").alias("size")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > 2)).select("key")
-    rest = written(label.join(open_bands, "key").select("key", "rep", "comp", "size"), "open")
-    if not rest.isEmpty():
-        full_rest = rest.join(slim, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        grouped = written(full_rest.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("rep", "comp", "n", "regs")).alias("m")), "blocks")  # a block holds about BLOCK members
-        left = grouped.select("key", F.col("block").alias("i"), F.col("m").alias("x"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
-        pairs = left.join(grouped.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"]).select("x", "y", (F.col("i") == F.col("j")).alias("same"))
-        floor = floor_of(threshold / 100)
-        more = pairs.repartition(partitions(spark)).mapInArrow(lambda it: _cross(it, floor), "a long, b long").distinct()
-        more = more.join(links.select("a", "b"), ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(_confirmed(docs, id_col, text_col, more, None, threshold, repeated))
+    if counted:  # all pairs of all bands; a band of two has no more than its star
+        close = _estimated(stars, slim, threshold)
+        more = _blocks(shared.filter("size > 2").withColumn("comp", F.col("rep")), slim, threshold).join(stars, ["a", "b"], "left_anti")
+        links = _confirmed(docs, id_col, text_col, close.unionByName(more), threshold, repeated)
         comps = components(links.select("a", "b"))
+    else:
+        links = _confirmed(docs, id_col, text_col, _estimated(stars, slim, threshold), threshold, repeated)
+        comps = components(links.select("a", "b"))
+        # bands whose members are not yet one component: each pair of components is tried
+        label = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+        open_bands = label.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("size").alias("size")).filter((F.col("c0") < F.col("c1")) & (F.col("size") > 2)).select("key")
+        rest = written(label.join(open_bands, "key").select("key", "band", "rep", "comp", "size"), "open")
+        if not rest.isEmpty():
+            more = _blocks(rest, slim, threshold).join(stars, ["a", "b"], "left_anti")
+            links = links.unionByName(_confirmed(docs, id_col, text_col, more, threshold, repeated))
+            comps = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     # a class with many copies: its members are narrow rows, and the table of such classes is small enough to broadcast
@@ -283,19 +294,45 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeate
     )
 
 
-def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, slim: DataFrame | None, threshold: int, repeated: bool) -> DataFrame:
-    """The written links among ``pairs`` (``a`` > ``b``): estimated where ``slim`` has registers, then verified on the texts."""
-    if slim is not None:
-        floor = floor_of(threshold / 100)
-        left, right = (slim.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), F.col("regs").alias(f"{s}r")) for s in ("a", "b"))
-        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ar", "br").mapInArrow(lambda it: _close(it, floor), "a long, b long")
+def _estimated(pairs: DataFrame, slim: DataFrame, threshold: int) -> DataFrame:
+    """Of ``pairs``, those whose registers, from ``slim``, are close enough to be verified."""
+    floor = floor_of(threshold / 100)
+    left, right = (slim.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), F.col("regs").alias(f"{s}r")) for s in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ar", "br").mapInArrow(lambda it: _close(it, floor), "a long, b long")
+
+
+def _blocks(members: DataFrame, slim: DataFrame, threshold: int) -> DataFrame:
+    """The close pairs ``a``, ``b`` of the bands in ``members`` (``key, band, rep, comp, size``) between different ``comp``, once each."""
+    full = members.join(slim, "rep").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    grouped = written(full.groupBy("key", "band", "block", "blocks").agg(F.collect_list(F.struct("rep", "comp", "n", "regs")).alias("m")), "blocks")  # a block holds about BLOCK members
+    left = grouped.select("key", "band", F.col("block").alias("i"), F.col("m").alias("x"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("j"))
+    pairs = left.join(grouped.select("key", F.col("block").alias("j"), F.col("m").alias("y")), ["key", "j"]).select("x", "y", (F.col("i") == F.col("j")).alias("same"), "band")
+    floor = floor_of(threshold / 100)
+    return pairs.repartition(partitions(members.sparkSession)).mapInArrow(lambda it: _cross(it, floor), "a long, b long")
+
+
+def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, threshold: int, repeated: bool) -> DataFrame:
+    """The written links among ``pairs`` (``a`` > ``b``), verified on the texts.
+
+    Documents that are paired with the same smallest one are neighbours, in groups of about ``GROUP``; a text goes once
+    to each group, or pair of groups, that has a pair of it, not to each pair.
+    """
     pairs = written(pairs, "pairs")
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("id"), F.col("b").alias("other")))
+    near = ends.groupBy("id").agg(F.min("other").alias("least"))
+    sizes = near.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    wanted = written(near.join(sizes, "least").select("id", F.xxhash64("least", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("u")), "wanted")
+    u = lambda s: wanted.select(F.col("id").alias(s), F.col("u").alias(f"{s}u"))
+    placed = written(pairs.join(u("a"), "a").join(u("b"), "b").select("a", "b", F.xxhash64(F.least("au", "bu"), F.greatest("au", "bu")).alias("g")), "placed")
     few = wanted.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(wanted) if few else wanted, "id")
+    names = wanted.select("id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(names) if few else names, "id")
     texts = written(texts.groupBy("id").agg(F.min("t").alias("t")) if repeated else texts, "candidates")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("at")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("bt")), "b")
-    return written(both.select("a", "b", "at", "bt").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"), "links")
+    goes = placed.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = goes.join(texts, "id").select("g", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
+    rows = rows.unionByName(placed.select("g", "a", "b", F.lit(None).cast("string").alias("t")))
+    ordered = rows.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g", F.col("b").asc_nulls_first())
+    return written(ordered.mapInArrow(lambda it: _verify(it, threshold), "a long, b long"), "links")
 
 
 def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 70) -> DataFrame:
@@ -303,7 +340,7 @@ def near_dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     That is one row of each component, unless rows repeat both id and text, or one id has several texts of a component.
     """
-    result = _named(docs, id_col, text_col, threshold)
+    result = _named(docs, id_col, text_col, threshold, False)
     gone = written(result.filter(~F.col("kept")).select(F.col("row_key").alias("__gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, _row_key(id_col, text_col, _repeat(docs, id_col)) == F.col("__gone"), "left_anti")

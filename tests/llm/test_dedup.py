@@ -93,6 +93,22 @@ def test_chain_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in near_dedup(docs(spark, rows)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_links_inside_a_component_are_counted(spark):
+    """Variants of one template, most of which link with each other, in more than one group of texts."""
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        own = words[:]
+        for j in range(1 + i % 8):
+            own[(i * 37 + j * 11) % 200] = f"x{i}"
+        rows.append((i, " ".join(own), "a"))
+    rows += [(1000, rows[7][1], "a"), (1001, prose(1, 80), "a")]
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t, _ in rows if i != 1000}
+    want = {i: sum(j != i and 100 * len(s & u) >= 70 * len(s | u) for j, u in sets.items()) for i, s in sets.items()}
+    assert max(want.values()) > 200 and want[1001] == 0 and len(set(want.values())) > 5
+    assert {r.doc_id: r.n_links for r in near_dedup(docs(spark, rows)).collect()} == want | {1000: want[7]}
+
+
 def test_one_id_with_several_texts(spark):
     base = prose(5, 100)
     rows = [(7, base, "a"), (7, base + " more", "a"), (7, prose(6, 100), "a"), (9, prose(6, 100) + " end", "a"), (3, prose(8, 50), "a"), (3, base + " other", "a")]
