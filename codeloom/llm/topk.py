@@ -109,10 +109,16 @@ class BitSlicedBlock:
                     carry = None
             b += 1
 
-    def kth(self, total: list[np.ndarray], k: int) -> int:
-        """The ``k``-th highest rounded sum, read from the most significant slice downward."""
+    def others(self, query_id: int) -> np.ndarray:
+        """The bitmap of the rows with another id, however often the query's own is repeated."""
+        bits = np.zeros(self.words * 64, dtype=bool)
+        bits[: len(self.ids)] = self.ids != query_id
+        return pack(bits)
+
+    def kth(self, total: list[np.ndarray], k: int, live: np.ndarray) -> int:
+        """The ``k``-th highest rounded sum of the rows in ``live``, read from the most significant slice downward."""
         sure = np.zeros(self.words, dtype=np.uint64)
-        open_ = self.live.copy()
+        open_ = live.copy()
         value = 0
         for b in range(len(total) - 1, -1, -1):
             high = open_ & total[b]
@@ -142,7 +148,7 @@ class BitSlicedBlock:
         return np.flatnonzero(np.unpackbits((above | equal).view(np.uint8), bitorder="little"))
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The positions in the block of the ``k`` highest scores (ties to smaller ids), without the query's own row, and the scores."""
+        """The positions in the block of the ``k`` highest scores (ties to smaller ids), without the query's own rows, and the scores."""
         n = len(self.ids)
         rows = np.arange(n)
         most = int(np.abs(query).max()) if len(query) else 0
@@ -153,7 +159,7 @@ class BitSlicedBlock:
             # score = unit * step * sum + a constant of the query, up to these bounds
             step = float(1 << self.shift)
             slack = unit * np.sqrt((w.astype(float) ** 2).sum()) * self.error + np.sqrt(((query - unit * w) ** 2).sum()) * self.norm
-            value = self.kth(total, k + 1)  # one more, as the query's own row may be among them
+            value = self.kth(total, k, self.others(query_id))
             rows = self.at_least(total, value - int(2 * slack / (unit * step)) - 2)
         rows = rows[self.ids[rows] != query_id]
         scores = self.vectors[rows] @ query

@@ -64,6 +64,20 @@ def test_topk_is_exact(spark):
     assert exact_topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_with_a_hot_repeated_id(spark):
+    x = np.floor(1024 * vectors(600, 9, 3).astype(float)).astype(np.int64)
+    ids = np.arange(600)
+    ids[200:240], x[200:240] = 100, 3 * x[100]  # copies of the query's id that score highest
+    ids[300:320], x[300:320] = 7, x[7]  # a candidate that is repeated
+    rows = [(int(i), (v / 1024).tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    asked = [(int(i), v) for i, v in zip(ids, x) if i % 100 == 0]
+    s = {q: sorted((-int(v @ u), int(i)) for p, v in asked if p == q for i, u in zip(ids, x) if i != q)[:10] for q, _ in asked}
+    want = sorted((q, r + 1, i, -y) for q, found in s.items() for r, (y, i) in enumerate(found))
+    got = exact_topk(df, df.filter("vec_id % 100 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want and len(want) == 10 * len(s)
+
+
 def test_bitmaps_select_few_rows():
     x = np.floor(1024 * vectors(5000, 16, 2, 0.25).astype(float)).astype(np.int64)
     b = BitSlicedBlock(np.arange(5000), x)
