@@ -3,11 +3,15 @@
 The byte-level BPE splits a text into pre-tokens before it merges, so a text's
 ids are those of its pre-tokens in order. The splits are found with array
 operations over code points, and only pre-tokens not met before go to the
-tokenizer. Character classes are asked from the tokenizer's own splitter.
+tokenizer. Character classes are asked from the tokenizer's own splitter. As in
+the tokenizer at its defaults, literals of added tokens such as ``<|endoftext|>``
+are cut out first and have their own ids.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
@@ -34,6 +38,11 @@ class BatchEncoder:
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.split = ByteLevel(add_prefix_space=False)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Tokens that take white space beside them or look at what is beside them are left to the tokenizer.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.literals = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.kind = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         self._classify(np.arange(128))
         self._clear()
@@ -92,6 +101,39 @@ class BatchEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the bounds of each text's ids."""
+        held = [i for i, t in enumerate(texts) if self.literals.search(t)] if self.literals else []
+        if not held:
+            return self._encode(texts)
+        # each text as parts between the literals; those of the literals are empty
+        parts: list[str] = []
+        own: dict[int, list[int]] = {}  # ids in the place of a part
+        ends = np.zeros(len(texts) + 1, dtype=np.int64)
+        among = set(held)
+        for i, t in enumerate(texts):
+            if i not in among:
+                parts.append(t)
+            elif not self.plain:
+                own[len(parts)] = self.tokenizer.encode(t, add_special_tokens=False).ids
+                parts.append("")
+            else:
+                at = 0
+                for m in self.literals.finditer(t):
+                    parts.append(t[at : m.start()])
+                    own[len(parts)] = [self.added[m[0]]]
+                    parts.append("")
+                    at = m.end()
+                parts.append(t[at:])
+            ends[i + 1] = len(parts)
+        ids, bounds = self._encode(parts)
+        counts = np.diff(bounds)
+        for k, x in own.items():
+            counts[k] = len(x)
+        out_bounds = np.concatenate(([0], np.cumsum(counts)))
+        places = np.array(list(own), dtype=np.int64)
+        return np.insert(ids, np.repeat(bounds[places], counts[places]), np.array([i for x in own.values() for i in x], dtype=np.uint32)), out_bounds[ends]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts taken as they are."""
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         out_bounds = np.zeros(len(texts) + 1, dtype=np.int64)
         full = np.flatnonzero(lengths)

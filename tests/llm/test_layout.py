@@ -61,6 +61,22 @@ def test_encoder_equals_the_tokenizer(some):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]
 
 
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<|", " ", "\n", "a b", "it's", "é日😀", "12 "]), max_size=8).map("".join), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_encoder_cuts_out_added_tokens(some):
+    t = Tokenizer.from_file(VOCABULARY)  # at its defaults
+    for texts_ in (some, ["a <|endoftext|> b", *some, "<|endoftext|><|endoftext|>"]):
+        ids, bounds = encoder(VOCABULARY).encode(texts_)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in t.encode_batch(texts_, add_special_tokens=False)]
+
+
+def test_packing_of_a_text_with_an_added_token(spark):
+    rows = [(1, "a <|endoftext|> b", "a"), (2, prose(1, 20), "a")]
+    got = {r.doc_id: r for r in pack(docs(spark, rows), VOCABULARY, with_ids=True).collect()}
+    t = Tokenizer.from_file(VOCABULARY)
+    assert got[1].ids == [64, 220, 50256, 275, 2] and got[2].ids == [*t.encode(rows[1][1], add_special_tokens=False).ids, 2]
+
+
 def test_packing_round_trip(spark):
     rows = texts()
     got = pack(docs(spark), VOCABULARY, with_ids=True).collect()
