@@ -272,8 +272,7 @@ def _first_vector(spark: SparkSession, d: str) -> list[float]:
 
 @query(sql(f"SELECT id, node_id, round({COSINE.format('embedding', 'v')}, 6) AS score FROM emb, q ORDER BY score DESC, id LIMIT 20", "emb", "q"))
 def q_knn(spark: SparkSession, d: str) -> DataFrame:
-    best = vectors.knn(corpus.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").join(corpus.documents(spark, d).select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi"), _first_vector(spark, d), 20)
-    return best.join(_slim(spark, d).filter("seq = 1").select(F.col("doc_id").alias("id"), "node_id"), "id").select("id", "node_id", "score")
+    return vectors.knn(corpus.embeddings(spark, d), _first_vector(spark, d), 20, keep=["node_id"])
 
 
 @query(sql(f"SELECT id, round({COSINE.format('embedding', 'v')}, 6) AS score FROM emb, q WHERE language = 'en' AND category <> 'test' AND has_matches AND role IN ('class', 'function') ORDER BY score DESC, id LIMIT 20", "emb", "q"))

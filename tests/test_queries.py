@@ -34,5 +34,18 @@ def test_matches_duckdb(spark, duck, name):
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(want.fetchall(), names)
 
 
+def test_knn_passes_over_documents_without_first_chunk(spark, tmp_path):
+    c = duckdb.connect()
+    for p in Path(SF).iterdir():
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    best = [r[0] for r in c.execute(catalogue.ORACLES["q_knn"]).fetchall()]
+    c.execute(f"CREATE TABLE d AS SELECT * REPLACE (CASE WHEN doc_id IN ({', '.join(map(str, best[:3]))}) THEN NULL WHEN doc_id IN ({', '.join(map(str, best[3:9]))}) THEN repeat(' ', 800) || text ELSE text END AS text) FROM documents")
+    c.execute(f"COPY d TO '{tmp_path}/documents.parquet'; COPY embeddings TO '{tmp_path}/embeddings.parquet'; DROP VIEW documents; ALTER TABLE d RENAME TO documents")
+    got = catalogue.QUERIES["q_knn"](spark, str(tmp_path))
+    want = c.execute(catalogue.ORACLES["q_knn"])
+    names = [x[0] for x in want.description]
+    assert normal([tuple(r) for r in got.collect()], got.columns) == normal(want.fetchall(), names) and got.count() == 20
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns and set(entry.oracle_sql()) <= set(entry.queries())
