@@ -42,7 +42,8 @@ def terms(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> list[tuple
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written sample ``t, y``: the documents of at most ``rows`` labelled ids, chosen by hash.
 
-    An id with several labels counts with the highest. Labels that are null, or
+    An id with several labels counts with the highest, an id with several texts with the one whose
+    SHA-256 is smallest, so that the sample is the same whatever the partitions. Labels that are null, or
     whose id is null, don't count.
     """
     one = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null")
@@ -50,4 +51,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: C
         one = one.filter(where)
     one = one.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(one), "id")
-    return written(sample.dropDuplicates(["id"]).select("t", "y"), "sample")
+    once = sample.groupBy("id", "y").agg(F.min_by("t", F.sha2(F.coalesce("t", F.lit("")), 256)).alias("t"))
+    return written(once.select("t", "y"), "sample")

@@ -7,6 +7,7 @@ the loss of an executor never loses a result that a later step needs.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,13 +19,15 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, one
-    machine) a temporary folder is made and set. The folder is deleted when the
-    application ends.
+    The setting is read from the session. Only in local mode (tests, one machine) a temporary
+    folder is made and set where it is unset; on a cluster, whose executors wouldn't share it, that
+    raises ``ValueError``. The folder is deleted when the application ends.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="codeloom-")
             spark.sparkContext.setCheckpointDir(base)

@@ -2,12 +2,16 @@ import collections
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pytest
 from codeloom.llm import packing
 from codeloom.llm.mixing import mix, mix_rows, source_targets
 from codeloom.llm.packing import best_fit, crossover, evolve, pack
 from codeloom.llm.sharding import place, shard
+from codeloom.llm.sql import ORACLES
 from codeloom.llm.tokens import encoder
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,10 +145,31 @@ def words(t):
     return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
 
 
-def test_targets_stop_and_share_again():
-    got = source_targets({"a": 10, "b": 1000, "c": 1000, None: 5})
+def brute_targets(sizes, weights=None):
+    """Shares by weight; as long as some are above their limit these stop there and the rest is shared again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
+    w = weights or {s: i % 3 + 1 for i, s in enumerate(names)}
+    stopped = set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in stopped)
+        out = {s: 3.0 * sizes[s] if s in stopped else left * w[s] / sum(w[x] for x in names if x not in stopped) for s in names}
+        more = {s for s in names if s not in stopped and out[s] > 3 * sizes[s]}
+        if not more:
+            return out
+        stopped |= more
+
+
+def targets(spark, sizes, weights=None):
+    return {r.s: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "s string, source_size long"), weights).collect()}
+
+
+def test_targets_stop_and_share_again(spark):
+    got = targets(spark, {"a": 10, "b": 1000, "c": 1000, None: 5})
     assert got["a"] == 30 and got[None] == 15 and abs(sum(got.values()) - 2015) < 1e-6 and abs(got["c"] / got["b"] - 1.5) < 1e-9
-    assert source_targets({}) == {} and source_targets({"a": 0}) == {"a": 0}
+    assert targets(spark, {}) == {} and targets(spark, {"a": 0}) == {"a": 0}
+    for sizes, weights in (({chr(97 + i): (i * 7919) % 5000 for i in range(20)} | {None: 3}, None), ({"x": 9, "é": 100, "😀": 2}, {"x": 5, "é": 1, "😀": 1})):
+        want = brute_targets(sizes, weights)
+        assert all(abs(x - want[s]) < 1e-6 for s, x in targets(spark, sizes, weights).items())
 
 
 def test_mixing(spark):
@@ -154,10 +179,10 @@ def test_mixing(spark):
     sizes = collections.Counter()
     for _, t, s in rows:
         sizes[s] += words(t)
-    want = source_targets(dict(sizes))
+    want = brute_targets(dict(sizes))
     taken = collections.Counter()
     for r in got:
-        assert r.target == want[r.source] and r.source_size == sizes[r.source] and r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size
+        assert abs(r.target - want[r.source]) < 1e-6 and r.source_size == sizes[r.source] and r.taken % max(r.size, 1) == 0 and r.taken <= 3 * r.size
         taken[r.source] += r.taken
     # the row at the cut takes its source at most half its size away from the target
     largest = {s: max(words(t) for _, t, x in rows if x == s) for s in want}
@@ -168,10 +193,37 @@ def test_mixing(spark):
 
 
 def test_mixed_rows_are_those_taken(spark):
-    rows = [r for r in texts() if r[0] not in (None, 12)] + [(5000 + i, prose(i, 30 + i % 50), "abc"[i % 3]) for i in range(300)]
+    rows = texts() + [(5000 + i, prose(i, 30 + i % 50), "abc"[i % 3]) for i in range(300)]
     d = docs(spark, rows)
     out = mix_rows(d)
     assert out.schema == d.schema
-    got = collections.Counter(r.doc_id for r in out.collect())
-    assert got == {r.doc_id: r.times for r in mix(d).collect() if r.times}
+    got, want = collections.Counter(), collections.Counter()
+    for r in out.collect():
+        got[(r.doc_id, words(r.text), r.source)] += 1
+    for r in mix(d).collect():
+        want[(r.doc_id, r["size"], r.source)] += r.times
+    assert got == +want
     assert mix_rows(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_repeated_rows_at_the_cut(spark, size):
+    """One row repeated, of any size and of null or equal ids: as many of its copies are taken as come nearest to the target."""
+    for ident in (7, None):
+        rows = [(100 + i, "w " * 5, "a") for i in range(35)] + [(ident, "w " * size, "b")] * 21 + [(3000 + i, None, "b") for i in range(4)]
+        d = docs(spark, rows)
+        want = brute_targets({"a": 175, "b": 21 * size})
+        got = mix(d).collect()
+        for s, largest in (("a", 5), ("b", size)):
+            taken = sum(r.taken for r in got if r.source == s)
+            assert abs(taken - want[s]) <= largest / 2 + 1e-6, (s, taken, want[s])
+        out = collections.Counter((r.doc_id, r.source) for r in mix_rows(d).collect())
+        times = collections.Counter()
+        for r in got:
+            times[(r.doc_id, r.source)] += r.times
+        assert out == +times
+        sql = duckdb.connect()
+        sql.register("t", pd.DataFrame({"doc_id": pd.array([i for i, _, _ in rows], dtype="Int64"), "text": [t for _, t, _ in rows], "source": [s for *_, s in rows]}))
+        sql.execute("CREATE VIEW documents AS SELECT * FROM t")
+        twin = sql.execute("SELECT doc_id, size, source_size, target, taken FROM (" + ORACLES["op10_mixing"] + ")").fetchall()
+        assert sorted(map(repr, twin)) == sorted(repr((r.doc_id, r["size"], r.source_size, r.target, r.taken)) for r in got)
