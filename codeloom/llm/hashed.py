@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textnum import BYTE_VALUE, IS_SPACE, LOWER, U, mix64, powers, spans, span_hash
+from .textnum import BYTE_VALUE, LOWER, U, mix64, powers, spans, span_hash
 
 #: Bytes of letters: A-Z, a-z and all of other scripts.
 IS_LETTER = np.zeros(256, dtype=bool)
@@ -30,13 +30,11 @@ def grams(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.n
     return h, bounds
 
 
-def terms(buf: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashed buckets of the words, and of the runs of ``n`` bytes, of texts in lower case; white space is one space each."""
+def terms(buf: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed buckets of the words of texts (runs of letters, A-Z in lower case), repeats included, and their bounds."""
     low = LOWER[buf]
-    low[IS_SPACE[low]] = 32
     starts, ends = spans(IS_LETTER[low], offsets)
-    words = (span_hash(BYTE_VALUE[low], starts, ends) >> U(64 - bits)).astype(np.int64)
-    return [(words, np.searchsorted(starts, offsets).astype(np.int64)), grams(low, offsets, n, bits)]
+    return (span_hash(BYTE_VALUE[low], starts, ends) >> U(64 - bits)).astype(np.int64), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,19 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the words of a text and its runs of ``GRAM`` bytes, in lower case, hashed to
-``2^BITS`` buckets. Of these, the ``FEATURES`` buckets whose presence tells most about the
-label (chi-square over the training rows) are features, so that the length of a
-text adds nothing to its score. The machine has a weight for each feature and a
-vector of ``RANK`` factors, whose inner products weigh pairs of features that a text
-has both; an insult that only counts when a group is named beside it is such a pair.
-
-Scoring is one narrow pass over whole texts; what goes to the tasks has a bound of
-``FEATURES * (RANK + 1)`` numbers.
+Terms are the words of a text in lower case, hashed to ``2^BITS`` buckets; a text has a term or
+hasn't, so that its length adds nothing to its score. All terms of the training texts go to the
+machine: it has a weight for each term and a vector of ``RANK`` factors, whose inner products weigh pairs of
+terms that a text has both; an insult that only counts when a group is named beside it is such a pair.
+
+Weights and factors are learnt by follow-the-regularised-leader with an L1 penalty (McMahan et al. 2013), which
+keeps a number at zero as long as the gradients for it are no more than what ``EVIDENCE`` (``PAIR_EVIDENCE``) toxic texts say in all
+epochs. Factors join after ``ALONE`` epochs of weights alone, when what is left to explain isn't the work of single terms. They
+must begin at random, as zeros never move; after two more epochs that start is withdrawn, so that only factors
+for which the data speak remain. A text moves a factor by no more than one term alone would, so that long texts
+don't learn themselves by heart.
+
+The machine is fitted in one task on a sample of bounded size. What isn't zero in it is small, and goes to
+the tasks that score whole texts in one narrow pass.
 """
 
 from __future__ import annotations
@@ -25,19 +30,20 @@ from .hashed import labelled, terms
 from .textnum import pieces, texts_of, trim
 
 BITS = 20
-GRAM = 5
-FEATURES = 4096
 RANK = 4
 #: The model is fitted on this many labelled documents at most, chosen by hash.
 TRAIN_ROWS = 20_000
-EPOCHS = 25
-#: A feature's chi-square, well above what chance gives to one of 2^BITS buckets.
-LEAST_CHI2 = 40.0
+EPOCHS = 10
+ALONE = 4
+EVIDENCE, PAIR_EVIDENCE = 1.67, 5.0
+STEP = 0.1
+START = 0.1
+BATCH = 128
 
 
 @dataclass
 class Machine:
-    """A fitted factorization machine: the bucket, weight and factors of each feature, and the bias."""
+    """A fitted factorization machine: the bucket, weight and factors of each term that has any, and the bias."""
 
     buckets: np.ndarray
     bias: float
@@ -45,94 +51,95 @@ class Machine:
     factors: np.ndarray
 
     def logits(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The logit of each row of features ``ids``."""
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        n = len(bounds) - 1
-        out = self.bias + np.bincount(row, self.weights[ids], n)
-        for f in range(self.factors.shape[1]):
-            v = self.factors[ids, f]
-            out += 0.5 * (np.bincount(row, v, n) ** 2 - np.bincount(row, v * v, n))
-        return out
-
-
-def fit(buckets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """AdaGrad on the logistic loss, both labels with equal weight, over rows of features ``ids``; without rows, or with one class only, the score is the share of label 1."""
+        """The logit of each row of terms ``ids`` (numbers of buckets)."""
+        s, squares = sums(self.factors[ids], bounds), sums(self.factors[ids] ** 2, bounds)
+        return self.bias + sums(self.weights[ids], bounds) + 0.5 * (s**2 - squares).sum(axis=1)
+
+
+def sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``x`` between ``bounds``, which only depends on that run."""
+    out = np.zeros((len(bounds) - 1, *x.shape[1:]))
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        out[full] = np.add.reduceat(x, bounds[:-1][full], axis=0)
+    return out
+
+
+class _Leader:
+    """Follow-the-regularised-leader over an array of numbers: a number is zero while its sum of gradients is within ``penalty``."""
+
+    def __init__(self, start: np.ndarray, penalty: float, step: float):
+        self.value, self.penalty, self.step = start.copy(), penalty, step
+        self.start = -(np.sign(start) * penalty + start / step)  # the sum that gives this value
+        self.total, self.square = self.start.copy(), np.zeros_like(start)
+
+    def _set(self, at: np.ndarray | slice) -> None:
+        z = self.total[at]
+        self.value[at] = np.where(np.abs(z) <= self.penalty, 0.0, -(z - np.sign(z) * self.penalty) * self.step / (1 + np.sqrt(self.square[at])))
+
+    def update(self, at: np.ndarray, gradient: np.ndarray) -> None:
+        old = self.square[at]
+        new = old + gradient**2
+        self.total[at] += gradient - (np.sqrt(new) - np.sqrt(old)) / self.step * self.value[at]
+        self.square[at] = new
+        self._set(at)
+
+    def withdraw_start(self) -> None:
+        self.total -= self.start
+        self._set(slice(None))
+
+
+def fit(buckets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EPOCHS, alone: int = ALONE, seed: int = 7) -> Machine:
+    """Fit on rows of distinct terms ``ids`` (numbers of ``buckets``), both labels with equal weight; without rows, or with one class only, the score is the share of label 1."""
     rng = np.random.default_rng(seed)
     n, k = len(y), len(buckets)
     share = (float(y.sum()) + 0.5) / (n + 1)
-    m = Machine(buckets, float(np.log(share / (1 - share))), np.zeros(k), rng.normal(0, 0.05, (k, rank)))
     if n == 0 or y.min() == y.max() or k == 0:
-        m.factors[:] = 0
-        return m
-    gw, gv, gb = np.full(k, 1e-2), np.full((k, rank), 1e-2), 1e-2
-    m.bias = 0.0
+        return Machine(buckets[:0], float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    step, decay, size = 0.15, 1e-5, 256
-    for _ in range(epochs):
+    w = _Leader(np.zeros(k), EVIDENCE * epochs * weight.max() * 0.8, STEP)
+    v = _Leader(rng.normal(0, START, (k, rank)), PAIR_EVIDENCE * (epochs - alone) * weight.max(), STEP)
+    bias, square = 0.0, 1e-2
+    for epoch in range(epochs):
+        pairs = rank > 0 and epoch >= alone
+        if rank and epoch == alone + 2:
+            v.withdraw_start()
         order = rng.permutation(n)
-        for a in range(0, n, size):
-            take = order[a : a + size]
-            count = np.diff(bounds)[take]
+        for a in range(0, n, BATCH):
+            rows = order[a : a + BATCH]
+            count = np.diff(bounds)[rows]
             b = np.concatenate(([0], np.cumsum(count)))
-            x = ids[np.repeat(bounds[take] - b[:-1], count) + np.arange(b[-1])]
-            p = 1 / (1 + np.exp(-np.clip(m.logits(x, b), -30, 30)))
-            g = (p - y[take]) * weight[take] / len(take)
-            row = np.repeat(np.arange(len(take)), count)
-            m_sum = np.zeros((len(take), rank))
-            np.add.at(m_sum, row, m.factors[x])
-            dw = np.bincount(x, g[row], k) + decay * m.weights
-            dv = np.zeros((k, rank))
-            for f in range(rank):
-                dv[:, f] = np.bincount(x, g[row] * (m_sum[row, f] - m.factors[x, f]), k)
-            dv += decay * m.factors
-            db = g.sum()
-            gw += dw**2
-            gv += dv**2
-            gb += db**2
-            m.weights -= step * dw / np.sqrt(gw)
-            m.factors -= 0.3 * step * dv / np.sqrt(gv)
-            m.bias -= step * db / np.sqrt(gb)
-    return m
+            x = ids[np.repeat(bounds[rows] - b[:-1], count) + np.arange(b[-1])]
+            z = bias + sums(w.value[x], b)
+            if pairs:
+                factors = v.value[x]
+                s = sums(factors, b)
+                z = z + 0.5 * (s**2 - sums(factors**2, b)).sum(axis=1)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * weight[rows]
+            row = np.repeat(np.arange(len(rows)), count)
+            seen, at = np.unique(x, return_inverse=True)
+            w.update(seen, np.bincount(at, g[row], len(seen)))
+            if pairs:
+                others = np.clip(s[row] - factors, -1, 1) * g[row, None]
+                v.update(seen, np.stack([np.bincount(at, others[:, f], len(seen)) for f in range(rank)], axis=1))
+            square += g.sum() ** 2
+            bias -= STEP * g.sum() / np.sqrt(square)
+    used = np.flatnonzero((w.value != 0) | (v.value != 0).any(axis=1))
+    return Machine(buckets[used], float(bias), w.value[used], v.value[used])
 
 
 def _present(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of each text, as text numbers and buckets."""
-    rows, found = [], []
-    for h, bounds in terms(buf, offsets, GRAM, BITS):
-        rows.append(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
-        found.append(h)
-    key = np.unique((np.concatenate(rows) << BITS) | np.concatenate(found))
-    return key >> BITS, key & ((1 << BITS) - 1)
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``bucket, pos, neg``: documents of a task that have each bucket, by label; bucket -1 counts all."""
-    have = np.zeros((2, 1 << BITS), dtype=np.int64)
-    rows = np.zeros(2, dtype=np.int64)
-    for batch in batches:
-        buf, offsets = texts_of(batch.column(0))
-        y = batch.column(1).to_numpy(zero_copy_only=False) > 0
-        rows += [(~y).sum(), y.sum()]
-        for a, b in pieces(offsets):
-            text, bucket = _present(buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for label in (0, 1):
-                np.add.at(have[label], bucket[y[a + text] == label], 1)
-    if rows.any():
-        at = np.flatnonzero(have.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(have[1, at], rows[1])), pa.array(np.append(have[0, at], rows[0]))], ["bucket", "pos", "neg"])
-    del have
-    trim()
-
-
-def _features(buf: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct features of each text and their bounds; ``slot`` has the feature of each bucket, or -1."""
-    rows, found = [], []
-    for h, bounds in terms(buf, offsets, GRAM, BITS):
-        s = slot[h]
-        hit = np.flatnonzero(s >= 0)
-        rows.append(np.searchsorted(bounds, hit, side="right") - 1)
-        found.append(s[hit].astype(np.int64))
-    key = np.unique((np.concatenate(rows) << 32) | np.concatenate(found))
+    """The distinct buckets of each text and their bounds."""
+    h, bounds = terms(buf, offsets, BITS)
+    key = np.unique((np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) << BITS) | h)
+    return key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(len(offsets)))
+
+
+def _known(buf: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text that the machine knows and their bounds; ``slot`` has the number of each bucket, or -1."""
+    h, bounds = terms(buf, offsets, BITS)
+    hit = np.flatnonzero(slot[h] >= 0)
+    key = np.unique(((np.searchsorted(bounds, hit, side="right") - 1) << 32) | slot[h[hit]].astype(np.int64))
     return key & 0xFFFFFFFF, np.searchsorted(key >> 32, np.arange(len(offsets)))
 
 
@@ -142,36 +149,39 @@ def _slots(buckets: np.ndarray) -> np.ndarray:
     return slot
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, where: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, where: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> Machine:
     """Fit on at most ``rows`` labelled documents, of the labels that fulfil ``where`` (over ``id`` and ``y``)."""
     sample = labelled(docs, labels, label, rows, where, id_col, text_col)
-    counts = sample.mapInArrow(_counts, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    all_rows = counts.filter("bucket = -1").collect()
-    pos, neg = (all_rows[0].pos, all_rows[0].neg) if all_rows else (0, 0)
-    buckets = np.zeros(0, dtype=np.int64)
-    if pos and neg:
-        a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
-        c, d = F.lit(float(pos)) - a, F.lit(float(neg)) - b
-        chi2 = (a * d - b * c) ** 2 * (pos + neg) / ((a + b) * (c + d) * pos * neg)
-        best = counts.filter((F.col("bucket") >= 0) & (c + d > 0)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-        buckets = np.array(sorted(r.bucket for r in best.orderBy(F.desc("chi2"), "bucket").limit(FEATURES).collect()), dtype=np.int64)
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = _slots(buckets)
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = texts_of(batch.column(0))
             for i, j in pieces(offsets):
-                ids, bounds = _features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["y", "f"])
+                h, bounds = _present(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.astype(np.int32)))], ["y", "h"])
 
-    got = sample.mapInArrow(rows_of, "y int, f array<int>").orderBy(F.hash("f", "y"), "y", F.to_json(F.struct("f"))).collect()  # at most ``rows``, in an order of their own
-    bounds = np.concatenate(([0], np.cumsum([len(r.f) for r in got]))).astype(np.int64)
-    ids = np.array([x for r in got for x in r.f], dtype=np.int64)
-    return fit(buckets, ids, bounds, np.array([min(max(r.y, 0), 1) for r in got], dtype=float))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, found, counts = [np.zeros(0)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for batch in batches:
+            y.append(np.clip(batch.column(0).to_numpy(zero_copy_only=False), 0, 1).astype(float))
+            found.append(batch.column(1).flatten().to_numpy())
+            counts.append(batch.column(1).value_lengths().to_numpy())
+        buckets, ids = np.unique(np.concatenate(found), return_inverse=True)
+        m = fit(buckets.astype(np.int64), ids, np.concatenate(([0], np.cumsum(np.concatenate(counts)))), np.concatenate(y), rank)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.buckets, np.array([m.bias]), m.weights, m.factors)], ["buckets", "bias", "weights", "factors"])
+        trim()
+
+    # one task, of at most ``rows`` rows in an order that only depends on them
+    ordered = sample.mapInArrow(terms_of, "y int, h array<int>").withColumn("o", F.xxhash64("h", "y")).repartition(1).sortWithinPartitions("o", "y", F.col("h").cast("string"))
+    r = ordered.select("y", "h").mapInArrow(learn, "buckets binary, bias binary, weights binary, factors binary").first()
+    if r is None:  # no partition at all
+        return fit(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(0), rank)
+    buckets = np.frombuffer(r.buckets, dtype=np.int64)
+    return Machine(buckets, float(np.frombuffer(r.bias)[0]), np.frombuffer(r.weights), np.frombuffer(r.factors).reshape(len(buckets), rank))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id>, score`` of every row; null and empty texts have the score of a text without features."""
+    """``<id>, score`` of every row; null and empty texts have the score of a text without known terms."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +189,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for batch in batches:
             buf, offsets = texts_of(batch.column(1))
             for i, j in pieces(offsets):
-                z = machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot))
+                z = machine.logits(*_known(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
         trim()
 
@@ -191,13 +201,14 @@ def held_out(column: F.Column) -> F.Column:
     return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK) -> DataFrame:
     """One row per row of ``docs``: ``<id>, held_out, score, predicted``, by a machine fitted on labels that aren't held out.
 
     Rows that repeat have equal scores. Without any label, or with one class
     only, all scores are equal. An empty table gives an empty result. Other columns are never read.
+    With ``rank`` 0 the model is linear.
     """
-    machine = train(docs, labels, where=~held_out(F.col("id")), id_col=id_col, text_col=text_col)
+    machine = train(docs, labels, where=~held_out(F.col("id")), id_col=id_col, text_col=text_col, rank=rank)
     out = score(docs, machine, id_col, text_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -213,7 +224,7 @@ def toxicity_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             buf, offsets = texts_of(batch.column(len(names)))
             keep = [np.zeros(0, dtype=bool)]
             for i, j in pieces(offsets):
-                keep.append(machine.logits(*_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot)) < 0)
+                keep.append(machine.logits(*_known(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], slot)) < 0)
             yield batch.filter(pa.array(np.concatenate(keep))).select(list(range(len(names))))
         trim()
 

@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 from codeloom.llm import quality as Q
 from codeloom.llm import toxicity as X
+from codeloom.llm.hashed import labelled
 from codeloom.llm.queries import op4_toxicity, op9_quality
 from pyspark.sql import functions as F
 
@@ -18,17 +21,58 @@ def corpus(spark, n=400):
     return docs(spark, rows + [(None, None, None), (9999, "", "a")]), labels(spark, [(i, 0 if i % 4 == 0 else 2, int(i % 4 == 0)) for i in range(n)] + [(None, 1, 1), (5, None, None)])
 
 
-def test_factors_learn_what_weights_cannot():
-    """Two features that only count together or not at all: no sum of weights tells that."""
-    rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 2, 2000), rng.integers(0, 2, 2000)
-    rows = [[0] * x + [1] * y for x, y in zip(a, b)]
-    ids, bounds = np.array([i for r in rows for i in r]), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    y = (a == b).astype(float)
-    m = X.fit(np.arange(2), ids, bounds, y, epochs=40)
-    assert (((m.logits(ids, bounds) > 0) == (y > 0)).mean()) == 1.0
-    m.factors[:] = 0
-    assert (((m.logits(ids, bounds) > 0) == (y > 0)).mean()) < 0.9
+PAIRS = [("skunkish", "outgroup"), ("vermin", "newcomers"), ("skunkish", "newcomers"), ("vermin", "outgroup"), ("skunkish",), ("vermin",), ("outgroup",), ("newcomers",), ()]
+
+
+def paired(spark, n):
+    """Each of four words is harmless alone, and so are two of their pairs; two other pairs are toxic."""
+    which = [PAIRS[i % len(PAIRS)] for i in range(n)]
+    rows = []
+    for i, w in enumerate(which):
+        own = prose(i, 30).split()
+        for k, x in enumerate(w):
+            own.insert((7 * i + 11 * k) % 30, x.title() if i % 2 else x)
+        rows.append((i, " ".join(own), "a"))
+    return docs(spark, rows), labels(spark, [(i, 0, int(w in PAIRS[:2])) for i, w in enumerate(which)])
+
+
+def test_pairs_of_terms_decide(spark):
+    """No sum of weights tells the toxic pairs from the harmless ones; the machine does, on rows that it never saw."""
+    d, l = paired(spark, 3000)
+    truth = l.select("doc_id", "toxic")
+    wrong = {}
+    for rank in (0, X.RANK):
+        got = X.toxicity(d, l, rank=rank).filter("held_out").join(truth, "doc_id").toPandas()
+        wrong[rank] = ((got.predicted != got.toxic).mean(), (got.predicted[got.toxic == 1] == 1).mean())
+    assert wrong[0][0] > 0.2 and wrong[X.RANK][0] < 0.02 and wrong[X.RANK][1] > 0.9, wrong
+
+
+def test_score_equals_the_sum_over_all_pairs(spark):
+    d, l = paired(spark, 1500)
+    m = X.train(d, l)
+    assert (m.factors != 0).any()
+    number = {b: i for i, b in enumerate(m.buckets.tolist())}
+    some = docs(spark, texts() + [(90, "Vermin! vermin newcomers, OUTGROUP", "a"), (91, "skunkish " * 50 + "outgroup", "a")])
+    want = {}
+    for i, t in [(r.doc_id, r.text) for r in some.collect()]:
+        found = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())):
+            h, _ = X.terms(np.frombuffer(word, dtype=np.uint8), np.array([0, len(word)]), X.BITS)
+            found |= {number[x] for x in h.tolist() if x in number}
+        own = sorted(found)
+        z = m.bias + sum(m.weights[x] for x in own) + sum(float(m.factors[x] @ m.factors[y]) for a, x in enumerate(own) for y in own[:a])
+        want.setdefault(i, set()).add(round(1 / (1 + np.exp(-z)), 9))
+    assert len({x for v in want.values() for x in v}) > 2
+    assert all(round(r.score, 9) in want[r.doc_id] for r in X.score(some, m).collect())
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    """An id with several texts is learnt from with the same one in any run."""
+    d, l = paired(spark, 300)
+    twice = d.unionByName(d.withColumn("text", F.concat("text", F.lit(" vermin newcomers"))))
+    a, b = (sorted(map(tuple, labelled(x, l, "toxic", 200).collect())) for x in (twice, twice.repartition(5, "text")))
+    assert a == b and len(a) == 200
+    assert sorted(map(tuple, X.toxicity(twice, l).collect())) == sorted(map(tuple, X.toxicity(twice.repartition(7), l).collect()))
 
 
 def test_toxicity_finds_the_insult(spark):
@@ -57,8 +101,9 @@ def test_held_out_labels_are_not_learnt(spark):
 
 
 def test_toxicity_query_on_held_out_rows(spark):
-    got = op4_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").toPandas()
-    assert ((got.predicted == 1) & (got.toxic == 0)).sum() == 0 and ((got.predicted == 1) & (got.toxic == 1)).sum() >= 0.4 * (got.toxic == 1).sum()
+    """A seventh of the toxic labels of these tables is on texts without any insult, which nothing can find."""
+    got = op4_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert ((got.predicted == 1) & (got.toxic == 0)).sum() <= 4 and ((got.predicted == 1) & (got.toxic == 1)).sum() >= 0.82 * (got.toxic == 1).sum()
 
 
 def test_ordered_grades():
