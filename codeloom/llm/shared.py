@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
@@ -76,3 +77,26 @@ def release(spark: SparkSession) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot if its rows are more than this part of what a task gets on average.
+HOT_SHARE = 16
+
+
+def hot_limit(spark: SparkSession, total: int) -> int:
+    """The number of rows above which a key is hot. There are at most ``HOT_SHARE`` hot keys for each shuffle partition."""
+    return max(total // (HOT_SHARE * partitions(spark)), 1000)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """The inner join of ``rows`` (``total`` in all) with ``table``, a written table of a line for each key whose number of rows is ``n``.
+
+    Lines of hot keys are broadcast, of which the number of partitions bounds the number, so
+    that their rows stay where they are; the others are joined by a shuffle. ``n`` is dropped.
+    """
+    limit = hot_limit(rows.sparkSession, total)
+    hot = table.filter(F.col(n) > limit)
+    if hot.isEmpty():
+        return rows.join(table.drop(n).hint("shuffle_hash"), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(n) <= limit).drop(n).hint("shuffle_hash"), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop(n)), keys))

@@ -1,25 +1,26 @@
-"""Removal of repeated byte strings by prefix doubling over ranked positions.
+"""Removal of repeated byte strings by distributed prefix doubling over named positions.
 
-A position is removed if the ``threshold`` bytes behind it also start earlier.
-Ranks are 64-bit names of the bytes behind a position, and rounds run at growing
-lengths; a position leaves as soon as its rank is unique, or is known to repeat.
+A position is removed if the ``threshold`` bytes behind it also start earlier. Ranks of the bytes behind a
+position come from pairs of ranks of their parts; a round gives equal pairs one rank, and a position leaves as soon as its
+rank is unique, or is known to repeat.
 
 1. Every window of ``threshold`` bytes names one position in it, the one with the
-   smallest rank of ``SEED`` bytes (leftmost first). Equal windows name the same one, so
-   only named positions, some 3 % of all, are ranked over the corpus. A run of
+   smallest hash of ``SEED`` bytes (leftmost first). Equal windows name the same one, so
+   only named positions, some 3 % of all, are ranked at first, by their ``SEED`` bytes. A run of
    windows that name one position is a unit. Units with a unique rank leave.
-2. The units that are left are ranked by their whole bytes. All windows of a unit
+2. The units that are left are compared as a whole. All windows of a unit
    that also starts earlier repeat. What is left of a rank of round 1 with only
    one kind of unit is unique and leaves.
-3. Windows of the units that are left are ranked again in groups of up to ``GROUP`` at fixed
-   distances from their named position, first by the ``threshold - GROUP + 1`` bytes that all of the
-   group share, then by all bytes of the group, with the same outcomes.
-4. Single windows of the groups that are left are ranked by all their bytes; all
+3. Windows of the units that are left form groups of up to ``GROUP`` at fixed distances from their named position.
+   Two positions of a group, the start of what its windows share and the one from which half of it reaches the end, are ranked
+   by twice the bytes: Spark sorts the pairs of names of both halves, and each pair that occurs again has its place in that order for a rank.
+   A group of which a position is unique leaves.
+4. The pair of both positions' ranks, whose bytes overlap, ranks all that the group's windows share, with the outcomes of rounds 1 and 2.
+5. Single windows of the groups that are left are ranked by that rank and by what they have besides; all
    but the first of each rank repeat.
 
-Names come from the bytes alone, so a round needs no sort of all positions before
-it can name; the shuffles carry only what the round before left undecided. Every
-aggregate combines before its shuffle; no group is collected.
+The shuffles carry only what the round before left undecided. Every aggregate combines before its shuffle, the rows of hot
+ranks aren't shuffled to be joined with them, and no group is collected.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .shared import drop_scratch, release, written
+from .shared import drop_scratch, join_counted, release, written
 from .textnum import BYTE_VALUE, U, mix64, pieces, powers, texts_of
 
 THRESHOLD = 100
@@ -114,8 +115,16 @@ def _units(batches: Iterator[pa.RecordBatch], threshold: int, seed: int) -> Iter
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s0 + begin), pa.array(count.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64))], ["doc", "v", "s0", "cnt", "off", "h", "u"])
 
 
+def halves(threshold: int) -> tuple[int, int, int]:
+    """Lengths of what a group's windows share, of the parts ranked in round 3, and of the names that these begin with."""
+    core = threshold - GROUP + 1
+    name = max(SEED, -(-core // 4))
+    return core, min(2 * name, core), name
+
+
 def _groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """The groups of windows of ``doc, v, t, r`` (a list of s0, cnt and off), with the rank of each window."""
+    """The groups of windows of ``doc, v, t, r`` (a list of s0, cnt and off): names of the halves of two positions, of the whole, and of what each window has besides."""
+    core, part, name = halves(threshold)
     for batch in batches:
         buf, offsets = texts_of(batch.column(2))
         lists = batch.column(3)
@@ -133,18 +142,21 @@ def _groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Re
             at = np.flatnonzero(begin)
             count = np.diff(np.append(at, len(s)))
             x = s - low
-            shared = (s0 + off)[unit[at]] - GROUP * j[at] - low
-            core = gram(sums, shared, shared + threshold - GROUP + 1) + j[at].astype(U)
+            p = (s0 + off)[unit] - GROUP * j - low  # of each window, where its group's shared bytes begin
+            q = p[at] + core - part
+            names = [gram(sums, a, a + name) for a in (p[at], p[at] + part - name, q, q + part - name)]
+            names[0] = names[0] + j[at].astype(U)
             whole = gram(sums, x[at], x[at] + count - 1 + threshold) + count.astype(U)
-            w = gram(sums, x, x + threshold)
+            ends = mix64(gram(sums, x, p) * U(0x9E3779B97F4A7C15) + gram(sums, p + core, x + threshold) + (p - x).astype(U))
             k = len(at)
             for c in range(0, k, 100_000):
                 d = min(k, c + 100_000)
                 e = np.append(at, len(s))[c : d + 1]
-                ranks = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(w[e[0] : e[-1]].view(np.int64)))
+                rest = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(ends[e[0] : e[-1]].view(np.int64)))
+                own = [pa.array(np.full(d - c, batch.column(z)[i].as_py())) for z in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(d - c, batch.column(0)[i].as_py())), pa.array(np.full(d - c, batch.column(1)[i].as_py())), pa.array(s[at[c:d]]), pa.array(count[c:d].astype(np.int32)), pa.array(core[c:d].view(np.int64)), pa.array(whole[c:d].view(np.int64)), ranks],
-                    ["doc", "v", "s0", "cnt", "h", "u", "w"],
+                    [*own, pa.array(s[at[c:d]]), pa.array(count[c:d].astype(np.int32)), *(pa.array(y[c:d].view(np.int64)) for y in (*names, whole)), rest],
+                    ["doc", "v", "s0", "cnt", "a1", "a2", "b1", "b2", "u", "w"],
                 )
 
 
@@ -190,31 +202,46 @@ def _order(bounds: Row) -> Column:
     return F.struct("doc", "s0")
 
 
-def _round(table: DataFrame, bounds: Row) -> DataFrame:
+def _round(table: DataFrame, keys: list[str], bounds: Row) -> DataFrame:
     """One round over runs of windows: those that are ``later``, and those not decided yet.
 
-    ``h`` ranks the bytes that all windows of a run share, ``u`` all bytes of the run. A run with
-    a unique ``h`` is unique; one whose ``u`` starts earlier repeats; one whose ``h`` goes
+    ``keys`` rank the bytes that all windows of a run share, ``u`` all bytes of the run. A run with
+    a unique rank is unique; one whose ``u`` starts earlier repeats; one whose rank goes
     with no other ``u`` is the first of its kind and has no other windows to meet.
     ``table`` is dropped.
     """
     spark = table.sparkSession
-    again = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1").select("h", (F.col("u0") != F.col("u1")).alias("kinds"))
+    again = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1")).filter("n > 1").select(*keys, "n", (F.col("u0") != F.col("u1")).alias("kinds"))
     again = written(again, "again")
     release(spark)
-    undecided = written(table.join(again.hint("shuffle_hash"), "h"), "undecided")
+    undecided = written(join_counted(table, again, keys, table.count()), "undecided")
     drop_scratch(table)
     drop_scratch(again)
     release(spark)
     at = _order(bounds)
-    ranked = undecided.groupBy("u").agg(F.min(at).alias("first"))
-    judged = undecided.join(ranked.hint("shuffle_hash"), "u").withColumn("later", at > F.col("first")).filter("later or kinds").drop("first", "kinds", "u")
+    ranked = written(undecided.groupBy("u").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    judged = join_counted(undecided, ranked, ["u"], undecided.count()).withColumn("later", at > F.col("first")).filter("later or kinds").drop("first", "kinds", "u")
     judged = written(judged, "judged")
     drop_scratch(undecided)
+    drop_scratch(ranked)
     release(spark)
     return judged
 
 
+def _doubled(groups: DataFrame) -> DataFrame:
+    """``item, ra, rb`` of the groups both of whose positions occur again: the ranks of the pairs of names at each.
+
+    The pairs that occur more than once are sorted; the place in that order is the rank.
+    """
+    side = lambda n, x, y: groups.select("item", F.lit(n).cast("byte").alias("side"), F.col(x).alias("k1"), F.col(y).alias("k2"))
+    positions = side(0, "a1", "a2").unionByName(side(1, "b1", "b2"))
+    pairs = positions.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").sort("k1", "k2")
+    ranks = written(pairs.withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    release(groups.sparkSession)
+    ranked = join_counted(positions, ranks, ["k1", "k2"], 2 * groups.count()).select("item", "side", "rank")
+    return ranked.groupBy("item").agg(F.max(F.when(F.col("side") == 0, F.col("rank"))).alias("ra"), F.max(F.when(F.col("side") == 1, F.col("rank"))).alias("rb")).filter("ra is not null and rb is not null")
+
+
 def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: ``<id>, n_bytes, n_removed, n_spans, kept_sha256``; with ``with_text`` also ``kept`` (bytes) and ``spans`` (bounds of removed runs).
 
@@ -224,8 +251,10 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     the smallest. Rows that repeat both id and text are one document and get
     the same result; of rows with one id and different texts the earlier start
     comes first. A text shorter than the threshold stays whole; an empty table gives an
-    empty result. Ids must be integers; ``threshold`` is from 64 to 1000.
+    empty result. Ids must be integers; a ``threshold`` that isn't from 64 to 1000 raises ``ValueError``.
     """
+    if not 64 <= threshold <= 1000:
+        raise ValueError(f"the threshold must be from 64 to 1000, not {threshold}")
     spark = docs.sparkSession
     seed = SEED
     kind = dict(docs.dtypes)[id_col]
@@ -238,20 +267,26 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     table = written(base.select("doc", "v", "t").filter(F.octet_length("t") >= threshold).mapInArrow(lambda it: _units(it, threshold, seed), "doc long, v long, s0 long, cnt int, off int, h long, u long"), "units")
     bounds = table.agg(F.min("doc"), F.max("doc"), F.max("s0")).first()
     whole = [F.col("doc"), F.col("v"), F.col("s0"), F.col("cnt")]
-    judged = _round(table, bounds)
+    judged = _round(table, ["h"], bounds)
     per_doc = judged.filter("not later").groupBy("doc", "v").agg(F.collect_list(F.struct("s0", "cnt", "off")).alias("r"))  # bounded by the text's length
     once = base.select("doc", "v", "t").dropDuplicates(["doc", "v"]) if repeated else base.select("doc", "v", "t")
-    groups = written(once.join(per_doc, ["doc", "v"]).select("doc", "v", "t", "r").mapInArrow(lambda it: _groups(it, threshold), "doc long, v long, s0 long, cnt int, h long, u long, w array<long>"), "groups")
+    made = once.join(per_doc, ["doc", "v"]).select("doc", "v", "t", "r").mapInArrow(lambda it: _groups(it, threshold), "doc long, v long, s0 long, cnt int, a1 long, a2 long, b1 long, b2 long, u long, w array<long>")
+    groups = written(made.withColumn("item", F.monotonically_increasing_id()), "groups")
+    release(spark)
+    table = written(groups.select("item", "doc", "v", "s0", "cnt", "u").join(_doubled(groups).hint("shuffle_hash"), "item"), "doubled")
+    release(spark)
+    judged2 = _round(table, ["ra", "rb"], bounds)
+    left = judged2.filter("not later").select("item", "doc", "v", "s0", "ra", "rb").hint("shuffle_hash").join(groups.select("item", "w"), "item")
+    windows = written(left.select("doc", "v", "s0", "ra", "rb", F.posexplode("w").alias("i", "w")).select("doc", "v", (F.col("s0") + F.col("i")).alias("s0"), F.lit(1).cast("int").alias("cnt"), "ra", "rb", "w"), "windows")
+    drop_scratch(groups)
     release(spark)
-    judged2 = _round(groups, bounds)
-    windows = judged2.filter("not later").select("doc", "v", "s0", "h", F.posexplode("w").alias("i", "w")).select("doc", "v", (F.col("s0") + F.col("i")).alias("s0"), F.lit(1).cast("int").alias("cnt"), "h", "w")
     at = _order(bounds)
-    first = windows.groupBy("h", "w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w", "first")
-    single = windows.join(first.hint("shuffle_hash"), ["h", "w"]).filter(at > F.col("first")).select(*whole)
+    first = written(windows.groupBy("ra", "rb", "w").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    single = join_counted(windows, first, ["ra", "rb", "w"], windows.count()).filter(at > F.col("first")).select(*whole)
     later = judged.filter("later").select(*whole).unionByName(judged2.filter("later").select(*whole)).unionByName(single)
     removed = written(later.groupBy("doc", "v").agg(F.collect_set(F.struct("s0", "cnt")).alias("r")), "removed")
-    drop_scratch(judged)
-    drop_scratch(judged2)
+    for x in (judged, judged2, windows, first):
+        drop_scratch(x)
     release(spark)
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if with_text else "")
     out = base.join(removed, ["doc", "v"], "left").select("id", "t", "r").mapInArrow(lambda it: _cut(it, threshold, with_text), schema)

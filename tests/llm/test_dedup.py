@@ -163,6 +163,43 @@ def test_suffix_dedup(spark):
     assert suffix_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [64, 100, 300])
+def test_suffix_dedup_of_shifted_and_nested_repeats(spark, monkeypatch, threshold):
+    """Passages that begin and end anywhere, lie in one another, repeat within a text and differ in one byte; one on half of all rows."""
+    import random
+
+    from codeloom.llm import shared
+
+    monkeypatch.setattr(shared, "hot_limit", lambda *_: 20)
+    r = random.Random(threshold)
+    source = "".join(chr(r.randrange(97, 107)) for _ in range(3000)) + "é日" * 400 + "ab" * 500
+    rows = []
+    for i in range(160):
+        a = r.randrange(len(source))
+        cut = source[a : a + r.randrange(20, 900)]
+        k = r.randrange(max(1, len(cut)))
+        rows.append((r.randrange(10**9), cut[:k] + r.choice(["", "#", str(i)]) + cut[k:] + (source[200:900] if i % 2 else ""), "a"))
+    got = suffix_dedup(docs(spark, rows), threshold=threshold).collect()
+    assert sorted(repr(tuple(x)) for x in got) == brute_suffix([(i, t) for i, t, _ in rows], threshold)
+    for bad in (63, 1001):
+        with pytest.raises(ValueError):
+            suffix_dedup(docs(spark), threshold=bad)
+
+
+def test_suffix_dedup_of_a_text_in_segments(spark, monkeypatch):
+    """A text above 8 MiB is cut into segments that overlap; repeats across their bounds are found."""
+    from codeloom.llm import suffix_dedup as S
+
+    long = "".join(chr(97 + (x * x * 7 + x // 3) % 23) + str(x) for x in range(1_300_000))
+    at = S.SEGMENT - 150
+    assert len(long) > S.SEGMENT + 1000
+    rows = [(1, long), (2, "zz" + long[at : at + 400] + "zz"), (3, long[-130:] + long[:120])]
+    got = {r.doc_id: r for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()}
+    assert got[1].n_removed == 0 and got[1].n_bytes == len(long)
+    assert got[2].spans == [2, 402] and bytes(got[2].kept) == b"zzzz"
+    assert got[3].spans == [0, 250]
+
+
 def test_suffix_dedup_returns_texts(spark):
     d = spark.createDataFrame([(1, "x" * 3 + "q" * 10 + "abcdefghij" * 9), (2, "é" + "abcdefghij" * 9 + "z")], "doc_id int, text string")
     got = {r.doc_id: r for r in suffix_dedup(d, threshold=80, with_text=True).collect()}
