@@ -1,6 +1,8 @@
 import re
 
 import numpy as np
+import pytest
+from codeloom.llm import topk
 from codeloom.llm.license_scan import TEMPLATES, license_scan
 from codeloom.llm.topk import BitSlicedBlock, exact_topk
 
@@ -78,21 +80,50 @@ def test_topk_with_a_hot_repeated_id(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want and len(want) == 10 * len(s)
 
 
+def search(block, q, v, k):
+    return block.search(np.array([q]), v[None, :], k)[0]
+
+
 def test_bitmaps_select_few_rows():
     x = np.floor(1024 * vectors(5000, 16, 2, 0.25).astype(float)).astype(np.int64)
     b = BitSlicedBlock(np.arange(5000), x)
     seen = []
     inner = b.at_least
-    b.at_least = lambda t, v: (lambda r: (seen.append(len(r)), r)[1])(inner(t, v))
-    for q in range(0, 5000, 500):
-        rows, scores = b.search(q, x[q], 10)
-        assert [(q, r + 1, int(i), int(s)) for r, (i, s) in enumerate(zip(rows, scores))] == brute_topk(list(enumerate(x)), [(q, x[q])], 10)
+    b.at_least = lambda *a: (lambda r: (seen.append(len(r)), r)[1])(inner(*a))
+    asked = np.arange(0, 5000, 500)
+    want = brute_topk(list(enumerate(x)), [(q, x[q]) for q in asked.tolist()], 10)
+    for group in (1, 1 << 16):
+        topk.TOGETHER = group
+        got = [(int(q), r + 1, int(i), int(s)) for q, (rows, scores) in zip(asked, b.search(asked, x[asked], 10)) for r, (i, s) in enumerate(zip(rows, scores))]
+        assert sorted(got) == want
+    topk.TOGETHER = 4096
     assert np.mean(seen) < 1000
 
 
 def test_constant_and_extreme_vectors():
     x = np.tile(np.array([[5, -7, 0]]), (200, 1))
     b = BitSlicedBlock(np.arange(200), x)
-    rows, scores = b.search(3, x[0], 4)
+    rows, scores = search(b, 3, x[0], 4)
     assert rows.tolist() == [0, 1, 2, 4] and set(scores.tolist()) == {74}
-    assert b.search(-1, np.zeros(3, dtype=np.int64), 2)[1].tolist() == [0, 0]
+    assert search(b, -1, np.zeros(3, dtype=np.int64), 2)[1].tolist() == [0, 0]
+    few = BitSlicedBlock(np.arange(3), x[:3])
+    assert search(few, 1, x[0], 10)[0].tolist() == [0, 2]
+
+
+def test_large_components(spark):
+    """Components beyond 32 bits are exact, as long as the inner products fit in 64 bits."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in r.integers(-3_000_000, 3_000_000, 4)]) for i in range(300)]
+    whole = {i: [int(np.floor(1024 * v)) for v in x] for i, x in rows}
+    small = {i: [v / 4096 for v in x] for i, x in rows if i % 100 == 0}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x) for i, x in small.items()], "vec_id long, embedding array<double>")
+    want = []
+    for q, x in small.items():
+        w = [int(np.floor(1024 * v)) for v in x]
+        found = sorted((-sum(a * b for a, b in zip(w, u)), i) for i, u in whole.items() if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in exact_topk(df, asked, chunk_bytes=1, query_block=1).collect()) == sorted(want)
+    assert max(abs(v) for u in whole.values() for v in u) > 1 << 31
+    with pytest.raises(Exception, match="64"):
+        exact_topk(df.unionByName(df.selectExpr("vec_id + 1000 AS vec_id", "transform(embedding, x -> x * 1e9) AS embedding")), df.filter("vec_id = 0")).collect()
