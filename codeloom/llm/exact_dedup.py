@@ -9,10 +9,11 @@ compares the bytes of the texts with equal keys, so that different texts with
 one key chain up as separate entries, and writes its entries to its files.
 
 Data flow: one narrow pass writes digests (id, key, length, SHA-256); from
-their counts the driver lays out the directory (at most ``2^MAX_DEPTH`` slots,
-whatever the input); one pass sends each text once to its owner. Keys with more
-than a thousandth of all rows (fewer than a thousand keys) are first collapsed
-under a salt, so that no task sees all copies of a hot text.
+their counts the driver lays out the directory (at most ``2^MAX_DEPTH`` slots, as
+buckets hold more keys where there are more than ``2^MAX_DEPTH`` buckets could of ``CAPACITY``); one pass sends each
+text once to its owner. Copies of hot keys, those with more than a part of a task's share of rows, are first collapsed
+within the tasks that read them and under a salt, so that no task sees all copies of a hot text. A row
+finds its entry through the directory: its slot gives the bucket, the bucket's entries with its key are compared by SHA-256.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, scratch_path, written
+from .shared import hot_limit, join_counted, partitions, scratch_path, written
 
 MAX_DEPTH = 20
 CAPACITY = 1 << 16
@@ -74,7 +75,7 @@ def _prefix(key: Column, depth: int) -> Column:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The digests of all rows and the index over them, both as written tables.
 
-    Digests: ``id, key, n_bytes, sha``. Index: ``owner, bucket, key, chain,
+    Digests: ``id, key, n_bytes, sha`` and the ``bucket`` of the key's slot. Index: ``owner, bucket, key, chain,
     n_bytes, sha, keep_id, group_size`` and, with ``carry``, ``row``, the whole
     row that stays. See ``exact_dedup`` for nulls, ties and empty tables.
     """
@@ -83,34 +84,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     digests = written(base.select("id", F.xxhash64("t").alias("key"), F.octet_length("t").cast("long").alias("n_bytes"), F.unhex(F.sha2("t", 256)).alias("sha")), "digests")
 
-    keys = digests.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("b"))
+    keys = written(digests.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("n_bytes").alias("b")), "keys")
     total = digests.count()
     owners = partitions(spark)
     if capacity is None:
-        capacity = min(CAPACITY, max(1, total // (8 * owners)))
+        capacity = max(min(CAPACITY, max(1, total // (8 * owners))), -(-total // (1 << (MAX_DEPTH - 3))))
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / capacity)) + 3))
-    hot_above = max(total // 1000, 1000)
-    seen = keys.groupBy(_prefix(F.col("key"), depth).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("b").alias("b"),
-        F.collect_list(F.when(F.col("n") > hot_above, F.col("key"))).alias("hot"),
-    ).collect()
-    hot = [k for r in seen for k in r.hot]
+    seen = keys.groupBy(_prefix(F.col("key"), depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect()  # at most 2^MAX_DEPTH rows
     slots = build_directory({r.prefix: (r.n, r.b) for r in seen}, depth, capacity, owners)
     global_depth = (len(slots) - 1).bit_length()
-    directory = spark.createDataFrame(slots, T.StructType([T.StructField(c, T.IntegerType()) for c in ("prefix", "bucket", "local_depth", "owner")]))
-    directory.coalesce(1).write.parquet(scratch_path(spark, "directory"))
+    directory = written(spark.createDataFrame(slots, T.StructType([T.StructField(c, T.IntegerType()) for c in ("prefix", "bucket", "local_depth", "owner")])).coalesce(1), "directory")
+    slot = F.broadcast(directory.select("prefix", "bucket", "owner"))
+    hot = written(keys.filter(F.col("n") > hot_limit(spark, total)).select("key"), "hot")
 
     def entry(grouped: GroupedData) -> DataFrame:
         last = [F.max_by("row", F.struct("keep_id")).alias("row")] if carry else []
         return grouped.agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"), *last)
 
-    keyed = base.withColumn("key", F.xxhash64("t"))
-    cold = keyed.withColumn("n", F.lit(1).cast("long")).withColumnRenamed("id", "keep_id")
-    if hot:
-        is_hot = F.col("key").isin(hot)
-        salted = entry(cold.filter(is_hot).groupBy("key", "t", F.pmod(F.xxhash64("keep_id"), F.lit(SALTS)).alias("salt"))).drop("salt")
-        cold = cold.filter(~is_hot).unionByName(salted)
-    placed = cold.join(F.broadcast(directory.drop("local_depth")), _prefix(F.col("key"), global_depth) == F.col("prefix")).drop("prefix")
+    cold = base.withColumn("key", F.xxhash64("t")).withColumn("n", F.lit(1).cast("long")).withColumnRenamed("id", "keep_id")
+    if not hot.isEmpty():
+        few = F.broadcast(hot)  # their number is bounded by that of the owners
+        salted = entry(cold.join(few, "key", "left_semi").groupBy("key", "t", (F.spark_partition_id() % SALTS).alias("salt"))).drop("salt")
+        cold = cold.join(few, "key", "left_anti").unionByName(salted)
+    placed = cold.join(slot, _prefix(F.col("key"), global_depth) == F.col("prefix")).drop("prefix")
     owned = placed.repartitionById(owners, F.col("owner"))
     entries = entry(owned.groupBy("owner", "bucket", "key", "t"))
     chained = entries.select(
@@ -119,7 +115,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     if not carry:
         chained = chained.withColumn("chain", F.row_number().over(Window.partitionBy("owner", "bucket", "key").orderBy("n_bytes", "sha", "keep_id")))
-    return digests, written(chained, "index")
+    found = digests.join(slot, _prefix(F.col("key"), global_depth) == F.col("prefix")).drop("prefix", "owner")
+    return found, written(chained, "index")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> DataFrame:
@@ -133,17 +130,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their names.
     """
     digests, index = build_index(docs, id_col, text_col, capacity=capacity)
-    found = index.select("key", "sha", "keep_id", "group_size", "bucket", "chain")
-    # hot keys are few (fewer than a thousand), each with a handful of entries: they never meet in one task
-    total = max(digests.count() // 1000, 1000)
-    hot = [r.key for r in index.filter(F.col("group_size") > total).select("key").distinct().collect()]
-    parts = [(digests, found, False)]
-    if hot:
-        parts = [(digests.filter(~F.col("key").isin(hot)), found.filter(~F.col("key").isin(hot)), False), (digests.filter(F.col("key").isin(hot)), found.filter(F.col("key").isin(hot)), True)]
-    out = None
-    for left, right, small in parts:
-        one = left.join(F.broadcast(right) if small else right, ["key", "sha"])
-        out = one if out is None else out.unionByName(one)
+    found = index.select("bucket", "key", "sha", "keep_id", "group_size", "chain", F.col("group_size").alias("n"))
+    out = join_counted(digests, found, ["bucket", "key", "sha"], digests.count())
     return out.select(
         F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), F.col("bucket").cast("long").alias("bucket"), F.col("chain").cast("long").alias("chain"),

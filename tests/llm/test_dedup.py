@@ -45,10 +45,31 @@ def test_exact_dedup_rows_keep_columns(spark):
     assert exact_dedup_rows(empty(spark)).count() == 0 and exact_dedup(empty(spark)).count() == 0
 
 
-def test_hot_text(spark):
+def test_hot_text(spark, monkeypatch):
+    """A text on two thirds of all rows, above the limit and below it; no task gets more than a part of its copies."""
+    from codeloom.llm import exact_dedup as E
+    from codeloom.llm import shared
+
     rows = [(i, "hot" if i % 3 else f"text {i}", "a") for i in range(6000)]
-    got = exact_dedup(docs(spark, rows))
-    assert got.filter("kept").count() == 2001 and got.filter("group_size = 4000 and keep_id = 5999").count() == 4000
+    for limit in (100, 10**9):
+        for m in (E, shared):
+            monkeypatch.setattr(m, "hot_limit", lambda *_: limit)
+        got = exact_dedup(docs(spark, rows).repartition(20))
+        assert got.filter("kept").count() == 2001 and got.filter("group_size = 4000 and keep_id = 5999").count() == 4000
+        assert {r.doc_id for r in exact_dedup_rows(docs(spark, rows)).collect()} == {i for i, t, _ in rows if t != "hot"} | {5999}
+
+
+def test_lookup_goes_through_the_directory(spark):
+    """A row's bucket is that of its slot: the directory's bucket for the first bits of its key."""
+    found, index = E_index(spark)
+    assert found.select("bucket").distinct().count() > 4
+    assert found.join(index, ["bucket", "key", "sha"]).count() == found.count() == 500
+
+
+def E_index(spark):
+    from codeloom.llm.exact_dedup import build_index
+
+    return build_index(docs(spark, [(i, f"text {i % 300}", "a") for i in range(500)]), capacity=16)
 
 
 def brute_components(rows):
