@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, written
+from .shared import join_counted, partitions, written
 from .textnum import U, distinct, mix64, pieces, shingles, texts_of, trim, words
 
 BANDS, ROWS = 32, 3
@@ -273,19 +273,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeate
             comps = components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = classes.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    # a class with many copies: its members are narrow rows, and the table of such classes is small enough to broadcast
-    hot = max(1000, feats.count() // 1000)
-    large = [r.rep for r in classes.filter(F.col("copies") > hot).select("rep").collect()]
     key = ["d1", "d2", "n_shingles"]
+    named = written(named.join(classes.select(*key, F.col("copies").alias("n")), key), "named")
     slim_feats = feats.select("id", *key)
-    if large:
-        big = F.broadcast(named.filter(F.col("rep").isin(large)))
-        slim_feats = slim_feats.join(big, key, "left")
-        done = slim_feats.filter(F.col("rep").isNotNull())
-        todo = slim_feats.filter(F.col("rep").isNull()).select("id", *key)
-        joined = done.unionByName(todo.join(named.filter(~F.col("rep").isin(large)), key, "left").select(done.columns))
-    else:
-        joined = slim_feats.join(named, key, "left")
+    filled = slim_feats.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
+    joined = join_counted(filled, named, key, filled.count())
+    rest = slim_feats.filter((F.col("n_shingles") == 0) | F.col("id").isNull())
+    joined = joined.unionByName(rest, allowMissingColumns=True)
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.coalesce("component", "rep"))
     return joined.select(

@@ -37,7 +37,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(_table(spark, sf_dir, "documents")).drop("n_links")
+    return near_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(_table(spark, sf_dir, "documents"), SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return shard(_table(spark, sf_dir, "documents"), SHARDS, VOCABULARY)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,8 +63,11 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT r.a, t.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) t ON t.x = r.b)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept, coalesce(class_id, d.doc_id) AS class_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept, coalesce(class_id, d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
 FROM documents d JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+LEFT JOIN (
+  SELECT x.class_id, count(DISTINCT y.class_id) AS n_links FROM (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) t JOIN c x ON x.doc_id = t.x JOIN c y ON y.doc_id = t.y
+  WHERE x.class_id <> y.class_id GROUP BY 1) l USING (class_id)
 """
 
 ORACLES["op7_topk"] = """

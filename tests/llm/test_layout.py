@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-from codeloom.llm import packing
+from codeloom.llm import packing, sharding
 from codeloom.llm.mixing import mix, mix_rows, source_targets
 from codeloom.llm.packing import best_fit, crossover, evolve, mutation, pack, place, tokenize_pieces
 from codeloom.llm.sharding import place as place_groups
@@ -23,6 +23,10 @@ from .cases import docs, empty, prose, texts
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def words(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
 def size(t):
     return len((t or "").encode()) + 8
 
@@ -40,20 +44,52 @@ def test_sharding_covers_everything(spark):
     assert shard(empty(spark), 5).count() == 0
 
 
-def test_sharding_is_even(spark):
-    rows = [(i, prose(i % 900, 10 + i % 60), "a") for i in range(3000)] + [(9000 + i, "same text again", "a") for i in range(1500)]
-    got = shard(docs(spark, rows), 8).collect()
-    for of in (lambda r: r.size, lambda r: 1):
-        sums = [sum(of(r) for r in got if r.shard == s) for s in range(8)]
-        assert max(sums) < 1.05 * sum(sums) / 8
+def test_sharding_is_even(spark, monkeypatch):
+    """Bytes, tokens and rows are even, with a text on a third of all rows, and with light groups in one cell or in many."""
+    rows = [(i, prose(i % 900, 10 + i % 60), "a") for i in range(3000)] + [(9000 + i, "same text again", "a") for i in range(1500)] + [(None, "no id", "a")] * 30
+    for size in (sharding.CELL_GROUPS, 100):
+        monkeypatch.setattr(sharding, "CELL_GROUPS", size)
+        got = shard(docs(spark, rows), 8, VOCABULARY).collect()
+        assert len(got) == len(rows)
+        for of in (lambda r: r["size"], lambda r: r.n_tokens, lambda r: 1):
+            sums = [sum(of(r) for r in got if r.shard == s) for s in range(8)]
+            assert max(sums) < 1.05 * sum(sums) / 8
+        where = collections.defaultdict(set)
+        for r in got:
+            where[r.text_crc32].add(r.shard)
+        assert len(where) == 902 and sorted(len(s) for s in where.values())[-2] == 1  # all but the hot group are whole
+        for s in range(8):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    t = Tokenizer.from_file(VOCABULARY)
+    texts_ = {i: x for i, x, _ in rows}
+    assert all(r.n_tokens == len(t.encode(texts_[r.doc_id], add_special_tokens=False).ids) for r in got[:200])
+
+
+def test_light_groups_go_where_the_room_is(spark):
+    """Against a plain loop: each group, largest first, goes to the fitting shard with the highest dot product."""
+    rows = [(i, "x" * (1 + (i * 7919) % 3000) + " y" * ((i * 31) % 50), "a") for i in range(300)]
+    got = {r.doc_id: r.shard for r in shard(docs(spark, rows), 4).collect()}
+    vec = {i: [len(t) + 8, words(t), 1] for i, t, _ in rows}
+    total = [sum(v[d] for v in vec.values()) for d in range(3)]
+    # what the loop doesn't know is the order among equal groups: sums by shard are compared
+    left = [[1.0] * 3 for _ in range(4)]
+    sums = [[0] * 3 for _ in range(4)]
+    for i in sorted(vec, key=lambda i: (-max(v * 4 / t for v, t in zip(vec[i], total)), -vec[i][0])):
+        v = [x * 4 / t for x, t in zip(vec[i], total)]
+        fits = [s for s in range(4) if all(a >= b for a, b in zip(left[s], v))] or list(range(4))
+        s = max(fits, key=lambda s: (sum(a * b for a, b in zip(left[s], v)), -s))
+        left[s] = [a - b for a, b in zip(left[s], v)]
+        sums[s] = [a + b for a, b in zip(sums[s], vec[i])]
+    mine = [[sum(vec[i][d] for i in vec if got[i] == s) for d in range(3)] for s in range(4)]
+    assert all(abs(a - b) <= 0.02 * t / 4 + 1 for d, t in enumerate(total) for a, b in zip(sorted(x[d] for x in sums), sorted(x[d] for x in mine)))
 
 
 def test_placement_is_whole():
     items = np.random.default_rng(0).random((500, 3))
-    where = place_groups(items, 7)
+    where = place_groups(items, np.repeat(items.sum(axis=0)[None, :] / 7, 7, axis=0))
     sums = np.array([items[where == s].sum(axis=0) for s in range(7)])
     assert (sums.max(axis=0) / sums.mean(axis=0) < 1.05).all()
-    assert place_groups(np.zeros((0, 3)), 4).tolist() == []
+    assert place_groups(np.zeros((0, 3)), np.ones((4, 3))).tolist() == []
 
 
 @given(st.lists(st.text(alphabet="a b'sTtre llve\n\t é1２½!.…d日😀\x1c\x85", max_size=60), max_size=8))
