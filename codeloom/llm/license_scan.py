@@ -4,14 +4,14 @@ Words are runs of letters and digits in lower case; a shingle is ``SHINGLE``
 neighbouring words. A template of ``n`` words is in a text if some window of ``n`` words
 holds at least ``threshold`` of the template's shingles.
 
-Templates are put into size classes. For a class of up to ``c`` words a text is cut into
-steps of ``c / 4`` words, and some five neighbouring steps make a window, so that each stretch of ``c``
-words lies whole in a window. Windows and templates have
+A template of ``m`` shingles belongs to the windows of ``W`` shingles, the power of two from ``4/3 m`` on. These begin at every ``W / 4``-th
+shingle, so that each stretch of ``m`` lies whole in one. Windows and templates have
 ``BANDS`` MinHash bands of one row; a template is retrieved for the windows that agree with it in
-any band. A window that holds a template at the threshold shares at least a third
-of the union of both sets (classes are a factor of ``2^(1/4)`` apart), and misses all bands with a
-probability of at most ``(1 - 0.33)^48 < 5e-9``. The windows retrieved are
-verified by exact containment.
+any band. A window that holds a template at the threshold shares more than a fourth
+of the union of both sets, and misses all bands with a
+probability of at most ``(1 - 0.28)^48 < 2e-7``. The windows retrieved are
+verified by exact containment. A window of length ``2 W`` has the smaller of the minima of two of length ``W``, so
+that the windows of all lengths cost little more than the longest.
 
 One narrow pass over whole texts; the templates have a documented size limit and go to every task.
 """
@@ -35,9 +35,17 @@ THRESHOLD = 0.8
 MAX_TEMPLATE_BYTES = 16_000_000
 IS_WORD = IS_LETTER.copy()
 IS_WORD[48:58] = True
-_A = mix64(np.arange(1, BANDS + 1, dtype=U) * U(0x9FB21C651E98DF25)) | U(1)
+_A = (mix64(np.arange(1, BANDS + 1, dtype=U) * U(0x9FB21C651E98DF25)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
-#: Notices and short licenses that are published for reuse.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_NOTICE = ' The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. '
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. '
+_BSD_NAMES = '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. '
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'
+_ISC_END = ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+
+#: Notices, and licenses that are published for reuse, in full (``-text``).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -46,12 +54,21 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC": _ISC,
     "MIT": "Released under the MIT License.",
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Rights-reserved": "All rights reserved.",
+    "BSD-2-Clause-text": _BSD + _BSD_END,
+    "BSD-3-Clause-text": _BSD + _BSD_NAMES + _BSD_END,
+    "ISC-text": _ISC + _ISC_END,
 }
+TEMPLATES["MIT-text"] = TEMPLATES["MIT-grant"] + _NOTICE + _AS_IS
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """32 of the 64 bits of hashes, for MinHash."""
+    return (h >> U(32)).astype(np.uint32)
 
 
 def word_shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,12 +79,6 @@ def word_shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return *shingles(h, bounds, SHINGLE), starts, bounds
 
 
-def size_of(c: int) -> tuple[int, int]:
-    """Of class ``c``: the shingles of a step, and the steps of a window, which holds any ``c`` words whole."""
-    step = max(1, c // 4)
-    return step, max(0, -(-(c - SHINGLE + 1) // step)) + 1
-
-
 class Templates:
     """The templates by size class, with their MinHash bands."""
 
@@ -79,21 +90,21 @@ class Templates:
         h, bounds, _, word_bounds = word_shingles(*texts_of(column))
         self.words = np.diff(word_bounds)
         self.sets = [np.unique(h[bounds[i] : bounds[i + 1]]) for i in range(len(self.names))]
+        #: By the logarithm of the windows' length: the templates.
         self.classes: dict[int, list[int]] = {}
         for i, n in enumerate(self.words.tolist()):
             if n:
-                c = n if n <= 12 else int(2 ** (np.ceil(np.log2(n) * 4) / 4))
-                self.classes.setdefault(c, []).append(i)
-        self.known = np.unique(np.concatenate([*self.sets, np.zeros(0, dtype=U)]))
-        self.filter = np.zeros(1 << 16, dtype=bool)
-        self.filter[(self.known >> U(48)).astype(np.int64)] = True
-        #: By class: sorted (band's minimum, template) of all bands.
+                m = max(1, n - SHINGLE + 1)
+                self.classes.setdefault(max(1, (-(-4 * m // 3) - 1).bit_length()), []).append(i)
+        #: By class and band: sorted minima and their templates, and a filter by the minima's high bits.
         self.bands = {c: [self._band(own, a) for a in _A] for c, own in self.classes.items()}
 
-    def _band(self, own: list[int], a: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        least = np.array([(self.sets[i] * a).min() for i in own], dtype=U)
+    def _band(self, own: list[int], a: np.uint32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        least = np.array([(short(self.sets[i]) * a).min() for i in own], dtype=np.uint32)
         order = np.argsort(least)
-        return least[order], np.array(own)[order]
+        known = np.zeros(1 << 16, dtype=bool)
+        known[least >> np.uint32(16)] = True
+        return least[order], np.array(own)[order], known
 
     def verify(self, h: np.ndarray, t: int) -> tuple[float, int]:
         """The greatest share of template ``t``'s shingles in a window of as many words, and the first such window, of shingles ``h``."""
@@ -121,53 +132,41 @@ class Templates:
     def scan(self, h: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, int, float, int]]:
         """``text, template, containment, first shingle`` of each template that a text holds, at its best place."""
         found: dict[tuple[int, int], tuple[float, int]] = {}
-        # a band agrees only over a shingle of a template, so texts without any need no MinHash
-        maybe = np.flatnonzero(self.filter[(h >> U(48)).astype(np.int64)])
-        maybe = maybe[np.isin(h[maybe], self.known)]
-        some = np.unique(np.searchsorted(bounds, maybe, side="right") - 1)
-        if not len(some):
-            return []
-        counts = np.diff(bounds)[some]
-        inside = np.concatenate(([0], np.cumsum(counts)))
-        h = h[np.repeat(bounds[some] - inside[:-1], counts) + np.arange(inside[-1])]
-        bounds = inside
-        for c, (steps, text, start, pairs) in self._retrieve(h, bounds).items():
-            for w, t in pairs:
-                i = int(text[start[w]])
-                a = int(steps[start[w]])
-                share, at = self.verify(h[a : min(int(bounds[i + 1]), a + size_of(c)[0] * size_of(c)[1])], t)
+        for c, start, t in self._retrieve(h):
+            end = min(start + (1 << c), len(h))
+            first, last = (int(x) for x in np.searchsorted(bounds, [start, end - 1], side="right") - 1)
+            for i in range(first, last + 1):  # a window may reach into the next texts
+                a, b = max(start, int(bounds[i])), min(end, int(bounds[i + 1]))
+                if a >= b:
+                    continue
+                share, at = self.verify(h[a:b], t)
                 old = found.get((i, t))
                 new = (share, a + at - int(bounds[i]))
                 if share >= threshold and (old is None or (-new[0], new[1]) < (-old[0], old[1])):
                     found[(i, t)] = new
-        return [(int(some[i]), t, share, at) for (i, t), (share, at) in sorted(found.items())]
-
-    def _retrieve(self, h: np.ndarray, bounds: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-        """By class: the steps' first shingles and texts, the windows' first steps, and the pairs (window, template) that agree in a band."""
-        counts = np.diff(bounds)
-        lay = {}
-        for c in self.classes:
-            step, wide = size_of(c)
-            per = -(-counts // step)  # steps by text; some texts have none
-            text = np.repeat(np.arange(len(counts)), per)
-            first = np.cumsum(per) - per
-            own = np.arange(len(text))
-            steps = (own - first[text]) * step + bounds[:-1][text]
-            last = (first + per - 1)[text]
-            start = np.unique(np.maximum(np.minimum(own, last - wide + 1), first[text]))  # none begins so late that it overhangs, but in short texts
-            lay[c] = (steps, text, start, [np.minimum(start + k, last[start]) for k in range(wide)], set())
+        return [(i, t, share, at) for (i, t), (share, at) in sorted(found.items())]
+
+    def _retrieve(self, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """Class, first shingle and template of each window that agrees with a template in a band."""
+        pairs: set[tuple[int, int, int]] = set()
+        if not len(h) or not self.classes:
+            return []
+        top = max(self.classes)
+        low = short(h)
+        x = np.full(len(h) + (1 << top), 0xFFFFFFFF, dtype=np.uint32)
         for j, a in enumerate(_A):
-            x = h * a
-            for c, (steps, _, _, parts, pairs) in lay.items():
-                m = np.minimum.reduceat(x, steps)
-                w = m[parts[0]]
-                for k in parts[1:]:
-                    w = np.minimum(w, m[k])
-                least, own = self.bands[c][j]
-                lo = np.searchsorted(least, w, "left")
-                for i in np.flatnonzero(least[np.minimum(lo, len(least) - 1)] == w).tolist():
-                    pairs |= {(i, int(t)) for t in own[lo[i] : np.searchsorted(least, w[i], "right")]}
-        return {c: (steps, text, start, sorted(pairs)) for c, (steps, text, start, _, pairs) in lay.items()}
+            np.multiply(low, a, out=x[: len(h)])
+            w = x
+            for c in range(1, top + 1):
+                w = np.minimum(w[: -(1 << (c - 1))], w[1 << (c - 1) :])
+                if c in self.classes:
+                    step = max(1, (1 << c) // 4)
+                    least, own, known = self.bands[c][j]
+                    some = w[: len(h) : step]
+                    for k in np.flatnonzero(known[some >> np.uint32(16)]).tolist():
+                        lo, hi = np.searchsorted(least, some[k], "left"), np.searchsorted(least, some[k], "right")
+                        pairs |= {(c, k * step, int(t)) for t in own[lo:hi]}
+        return sorted(pairs)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

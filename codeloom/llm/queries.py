@@ -33,7 +33,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_licenses", "licenses")
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    place = F.transform("matches", lambda m: F.concat_ws("@", m["name"], F.round(m["containment"] * 1000).cast("int").cast("string"), m["first_word"].cast("string")))
+    return found.select("doc_id", "n_licenses", "licenses", F.array_join(place, ",").alias("places"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,7 @@ h AS (SELECT doc_id, name, i, g, wide FROM ds JOIN ts USING (g) JOIN tn USING (n
 k AS (
   SELECT a.doc_id, a.name, a.i, count(DISTINCT b.g) AS k FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.name = b.name AND b.i >= a.i AND b.i < a.i + a.wide
   GROUP BY 1, 2, 3),
-f AS (SELECT DISTINCT doc_id, name FROM k JOIN tn USING (name) WHERE k >= 0.8 * n)
-SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY k DESC, i) AS best FROM k),
+f AS (SELECT doc_id, name, name || '@' || CAST(round(1000 * CAST(k AS DOUBLE) / n) AS INTEGER) || '@' || (i - 1) AS place FROM b JOIN tn USING (name) WHERE best = 1 AND k >= 0.8 * n)
+SELECT doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, coalesce(string_agg(place, ',' ORDER BY name), '') AS places FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1
 """

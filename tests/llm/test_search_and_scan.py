@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from codeloom.llm import topk
-from codeloom.llm.license_scan import TEMPLATES, license_scan
+from codeloom.llm.license_scan import TEMPLATES, Templates, license_scan, word_shingles
+from codeloom.llm.textnum import texts_of
 from codeloom.llm.topk import BitSlicedBlock, exact_topk
 
 from .cases import docs, empty, prose, texts
@@ -35,6 +37,25 @@ def test_license_scan(spark):
     want = sorted(((i, brute_licenses(t), len([x for x in brute_licenses(t).split(",") if x])) for i, t, _ in rows), key=repr)
     assert got == want and sum(n for *_, n in want) >= 20
     assert license_scan(empty(spark)).count() == 0
+    assert {"MIT-text", "BSD-3-Clause-text", "ISC-text"} <= {x for _, names, _ in want for x in names.split(",")}
+
+
+def test_bands_retrieve_each_template(spark):
+    """Every template with a word changed in every eleventh place, somewhere in other words, at a text's end and over a text's bound."""
+    index = Templates(TEMPLATES)
+    texts_ = []
+    for k, name in enumerate(index.names):
+        w = TEMPLATES[name].split()
+        w = [x + "x" if len(w) > 11 and i % 11 == 10 and i > 40 else x for i, x in enumerate(w)]
+        texts_ += [prose(k, 37 * k % 91) + " " + " ".join(w), " ".join(w[: len(w) // 3]), prose(k, 3)]
+    h, bounds, _, _ = word_shingles(*texts_of(pa.array(texts_, pa.string())))
+    got = {(i, index.names[t]) for i, t, _, _ in index.scan(h, bounds, 0.6)}
+    want = set()
+    for i, t in enumerate(texts_):
+        for j, name in enumerate(index.names):
+            if index.verify(h[bounds[i] : bounds[i + 1]], j)[0] >= 0.6:
+                want.add((i, name))
+    assert got == want and len(want) > 24
 
 
 def brute_topk(rows, queries, k):
