@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from .units import Capture, Unit
 
+_DEFINED = ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef
 _HTTP = {"get", "post", "put", "delete", "patch", "route", "websocket"}
 
 
-class _Lines:
+class Lines:
     def __init__(self, data: bytes):
         self.data = data
         self.starts = [0]
@@ -20,6 +22,17 @@ class _Lines:
         return self.starts[line - 1] + column
 
 
+_KEYWORD = re.compile(rb"(?:async\s+)?(?:def|class)\s+")
+
+
+def name_of(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef, data: bytes, lines: Lines) -> tuple[int, int]:
+    """The bytes of a definition's name, behind its keyword."""
+    start = lines.at(node.lineno, node.col_offset)
+    keyword = _KEYWORD.match(data, start)
+    at = data.find(node.name.encode(), keyword.end() if keyword else start)
+    return at, at + len(node.name.encode())
+
+
 def _dotted(node: ast.expr) -> str:
     node = node.func if isinstance(node, ast.Call) else node
     if isinstance(node, ast.Attribute):
@@ -30,16 +43,11 @@ def _dotted(node: ast.expr) -> str:
 def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
     """The units of a module and its captures; ``SyntaxError`` if it doesn't parse."""
     tree = ast.parse(data)
-    lines = _Lines(data)
+    lines = Lines(data)
     captures: list[Capture] = []
 
-    def name_span(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[int, int]:
-        start = lines.at(node.lineno, node.col_offset)
-        at = data.find(node.name.encode(), start)
-        return at, at + len(node.name.encode())
-
     def capture(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) -> None:
-        a, b = name_span(node)
+        a, b = name_of(node, data, lines)
         decorators = [_dotted(d) for d in node.decorator_list]
         if isinstance(node, ast.ClassDef):
             captures.append(Capture(a, b, "type", "class"))
@@ -60,7 +68,10 @@ def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
         start = lines.at(node.lineno, node.col_offset) if first == node.lineno else lines.starts[first - 1] + len(lines.data[lines.starts[first - 1] : lines.starts[first]]) - len(lines.data[lines.starts[first - 1] : lines.starts[first]].lstrip())
         end = lines.at(node.end_lineno, node.end_col_offset)
         u = Unit(start, end)
-        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
+        for inner in () if isinstance(node, _DEFINED) else ast.walk(node):  # below if, try, with and loops
+            if isinstance(inner, _DEFINED):
+                capture(inner)
+        if isinstance(node, _DEFINED):
             capture(node)
             u.container = True
             u.body = scope(node.body, isinstance(node, ast.ClassDef))

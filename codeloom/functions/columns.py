@@ -117,11 +117,15 @@ def in_pruned_dir(path: Column) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(d) for d in PRUNED_DIRS]))
 
 
-def should_process(path: Column) -> Column:
-    """Whether a path is source by its names alone: not below a pruned or hidden directory, no hidden file and no ``.lock``."""
+#: Extensions that are left out although their language is known.
+EXCLUDED_EXTENSIONS = {"javascript": ("min.js", "bundle.js"), "typescript": ("d.ts",), "python": ("pyi",)}
+
+
+def should_process(path: Column, excluded: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Whether a path is source by its names alone: not below a pruned or hidden directory, no hidden file, no ``.lock`` and no extension in ``excluded`` (by language)."""
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return ~in_pruned_dir(path) & ~F.exists(folders, lambda d: F.startswith(d, F.lit("."))) & ~F.startswith(base_name(path), F.lit(".")) & ~F.endswith(path, F.lit(".lock"))
+    return ~in_pruned_dir(path) & ~F.exists(folders, lambda d: F.startswith(d, F.lit("."))) & ~F.startswith(base_name(path), F.lit(".")) & ~F.endswith(path, F.lit(".lock")) & ~any_of([F.lit(False), *(F.endswith(path, F.lit("." + x)) for group in (excluded or {}).values() for x in group)])
 
 
 def prompt(path: Column, language: Column, category: Column, matches: Column, defines: Column, content: Column) -> Column:
@@ -139,6 +143,18 @@ def cleaned_for_embedding(text: Column, limit: int = 25_000) -> Column:
     return F.when(F.trim(flat) == "", "empty_node_content").otherwise(flat)
 
 
+def clean_text(text: str, limit: int | None = None) -> str:
+    """The same for one text on a provider's side; without ``limit`` the whole text, of which a blank one is ``empty``."""
+    flat = text.replace("\n", " ")[:limit]
+    return flat if flat.strip() else "empty" if limit is None else "empty_node_content"
+
+
+def capture_parts(name: Column) -> Column:
+    """``category, value`` of a capture's name, split at its first dot; null for a name without a dot, which only helps a rule."""
+    at = F.instr(name, ".")
+    return F.when(at > 0, F.struct(F.substring(name, F.lit(1), at - 1).alias("category"), F.substring(name, at + 1, F.length(name)).alias("value")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

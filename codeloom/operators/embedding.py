@@ -48,14 +48,25 @@ def split_hits(filled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def embed(missing: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 100) -> DataFrame:
-    """``missing`` with vectors from ``provider``, once for each distinct prompt, in batches inside the tasks."""
+    """``missing`` with ``embedding`` from ``provider``, once for each distinct prompt, in batches inside the tasks, and ``error``.
+
+    A batch that fails leaves its rows without a vector and with what was wrong; the others go on.
+    """
     once = missing.select("vector_hash", "prompt").dropDuplicates(["vector_hash"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a in range(0, len(pdf), batch):
                 part = pdf.iloc[a : a + batch]
-                yield pd.DataFrame({"vector_hash": part.vector_hash, "embedding": [np.asarray(v, dtype=np.float32) for v in provider(part.prompt.tolist())]})
-
-    made = once.mapInPandas(run, "vector_hash string, embedding array<float>")
+                vectors: list = [None] * len(part)
+                error = None
+                try:
+                    vectors = [np.asarray(v, dtype=np.float32) for v in provider(part.prompt.tolist())]
+                    if len(vectors) != len(part):
+                        raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+                except Exception as e:  # noqa: BLE001 - one bad batch must not end the others
+                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"[:500]
+                yield pd.DataFrame({"vector_hash": part.vector_hash, "embedding": pd.Series(vectors, index=part.index, dtype=object), "error": pd.Series([error] * len(part), index=part.index, dtype=object)})
+
+    made = once.mapInPandas(run, "vector_hash string, embedding array<float>, error string")
     return missing.drop("embedding").join(made, "vector_hash")

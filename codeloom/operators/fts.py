@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of
+from ..functions.stemmer import stem
 
 WEIGHTS = {"A": 1.0, "B": 0.4}
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+STOP_WORDS = tuple(
+    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from "
+    "further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our "
+    "ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we "
+    "were what when where which while who whom why will with you your yours yourself yourselves".split()
+)
 TOKEN = "[a-z0-9_]+"
+#: Stored postings lie in so many buckets by term.
+BUCKETS = 16
 
 
-def tokens(text: Column) -> Column:
-    """The words of a text in order, in lower case, without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1), lambda w: ~w.isin(*STOP_WORDS))
+def tokens(text: Column, stems: bool = False) -> Column:
+    """The words of a text in order, in lower case, without stop words; with ``stems`` by their stem (Porter 1980)."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), 1), lambda w: ~w.isin(*STOP_WORDS))
+    if not stems:
+        return words
+
+    @F.pandas_udf("array<string>")
+    def stemmed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else [stem(w) for w in x])
+
+    return stemmed(words)
 
 
 @dataclass
@@ -31,7 +51,7 @@ class Query:
         return sorted({w for g in self.groups for alternative in g for w in alternative})
 
 
-def parse(query: str) -> Query:
+def parse(query: str, stems: bool = False) -> Query:
     """Words and ``"phrases"`` must match; ``or`` joins neighbours into alternatives; a leading ``-`` excludes. Stop words are left out."""
     out, alternative = Query(), False
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
@@ -39,6 +59,7 @@ def parse(query: str) -> Query:
             alternative = True
             continue
         words = [w for w in re.findall(TOKEN, phrase or word) if w not in STOP_WORDS]
+        words = [stem(w) for w in words] if stems else words
         if not words:
             continue
         if minus:
@@ -85,11 +106,58 @@ def search(nodes: DataFrame, query: str, k: int, node_id: str = "node_id", tags:
     return scored.orderBy(F.desc("score"), node_id).limit(k)
 
 
-def postings(nodes: DataFrame, node_id: str = "node_id", tags: str = "tags", content: str = "content") -> DataFrame:
-    """The inverted index: ``term, weight_class, <id>, tf``."""
-    both = F.explode(F.array(F.struct(F.lit("A").alias("weight_class"), tokens(F.col(tags)).alias("terms")), F.struct(F.lit("B").alias("weight_class"), tokens(F.col(content)).alias("terms"))))
-    rows = nodes.select(node_id, both.alias("x")).select(node_id, "x.weight_class", F.explode("x.terms").alias("term"))
-    return rows.groupBy("term", "weight_class", node_id).agg(F.count(F.lit(1)).alias("tf"))
+def postings(nodes: DataFrame, node_id: str = "node_id", tags: str = "tags", content: str = "content", stems: bool = False) -> DataFrame:
+    """The inverted index: ``term, weight_class, <id>, tf``. A node is one row, so that its words are counted where it is read, without a shuffle."""
+    kind = dict(nodes.dtypes)[node_id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, column in (("A", 1), ("B", 2)):
+                lists = batch.column(column)
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                words = lists.flatten().dictionary_encode()
+                known, code = words.dictionary, words.indices.to_numpy()
+                if stems:
+                    once = pa.array([stem(w) for w in known.to_pylist()], pa.string()).dictionary_encode()
+                    known, code = once.dictionary, once.indices.to_numpy()[code]
+                key, count = np.unique(row * max(len(known), 1) + code, return_counts=True)
+                at, term = np.divmod(key, max(len(known), 1))
+                yield pa.RecordBatch.from_arrays([known.take(pa.array(term)), pa.array([name] * len(key), pa.string()), batch.column(0).take(pa.array(at)), pa.array(count, pa.int64())], ["term", "weight_class", node_id, "tf"])
+
+    return nodes.select(node_id, tokens(F.col(tags)).alias("a"), tokens(F.col(content)).alias("b")).mapInArrow(run, f"term string, weight_class string, `{node_id}` {kind}, tf long")
+
+
+def bucket_of(term: Column) -> Column:
+    """The bucket of a term in stored postings."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def search_index(index: DataFrame, nodes: DataFrame, query: str, k: int, node_id: str = "node_id", stems: bool = False, tags: str = "tags", content: str = "content", bucketed: bool = False) -> DataFrame:
+    """``search`` by stored postings: ``<id>, score``. Only the postings of the query's words are read, and with ``bucketed`` only their buckets.
+
+    ``nodes`` are those that may be found; their texts are only read for a query with phrases, of the nodes that have all words of one.
+    """
+    q = parse(query, stems)
+    words = sorted({*q.words(), *(w for p in q.without for w in p)})
+    if not q.groups:
+        return nodes.select(node_id, F.lit(0.0).alias("score")).limit(0)
+    rows = index.filter(F.col("term").isin(words))
+    if bucketed:
+        rows = rows.filter(F.col("bucket").isin(*[bucket_of(F.lit(w)) for w in words]))
+    weight = F.col("tf") * F.when(F.col("weight_class") == "A", WEIGHTS["A"]).otherwise(WEIGHTS["B"])
+    number = {w: i for i, w in enumerate(words)}
+    found = rows.groupBy(node_id).agg(*[F.coalesce(F.sum(F.when(F.col("term") == w, weight)), F.lit(0.0)).alias(f"__w{i}") for w, i in number.items()])
+    has = lambda p: all_of([F.col(f"__w{number[w]}") > 0 for w in p])
+    hit = all_of([any_of([has(p) for p in group]) for group in q.groups])
+    single = [p for p in q.without if len(p) == 1]
+    hit = hit & ~any_of([has(p) for p in single]) if single else hit
+    total = F.lit(0.0)
+    for w in q.words():
+        total = total + F.col(f"__w{number[w]}") / (F.col(f"__w{number[w]}") + 1.0)
+    scored = found.filter(hit).select(node_id, F.round(total, 6).alias("score"))
+    if any(len(p) > 1 for p in [*q.without, *(p for g in q.groups for p in g)]):
+        nodes = nodes.join(scored.select(node_id), node_id, "left_semi").filter(matches(F.concat(tokens(F.col(tags), stems), tokens(F.col(content), stems)), q))
+    return scored.join(nodes.select(node_id), node_id, "left_semi").orderBy(F.desc("score"), node_id).limit(k)
 
 
 def search_postings(index: DataFrame, words: list[str], k: int, node_id: str = "node_id", every: bool = True) -> DataFrame:
@@ -100,17 +168,28 @@ def search_postings(index: DataFrame, words: list[str], k: int, node_id: str = "
     return found.filter(F.col("n") == len(set(words)) if every else F.lit(True)).select(node_id, F.round("score", 6).alias("score")).orderBy(F.desc("score"), node_id).limit(k)
 
 
-def cascade(nodes: DataFrame, query: str, node_id: str = "node_id", content: str = "content") -> DataFrame:
-    """All matches of the first stage that has any: the phrase, all words, any word. ``<id>, stage``."""
+def cascade(nodes: DataFrame, query: str, node_id: str = "node_id", columns: tuple[str, ...] = ("content",), k: int | None = None) -> DataFrame:
+    """Matches of the first stage that has any: the phrase, all words, any word, in any of ``columns``. ``<id>, stage``, or with ``k`` the best ``<id>, stage, score``, by the share of words that are the query's."""
     words = re.findall(TOKEN, query.lower())
     if not words:
-        return nodes.select(node_id, F.lit(0).alias("stage")).limit(0)
-    terms = F.regexp_extract_all(F.lower(F.coalesce(F.col(content), F.lit(""))), F.lit(f"({TOKEN})"), 1)
+        none = nodes.select(node_id, F.lit(0).alias("stage"))
+        return (none if k is None else none.withColumn("score", F.lit(0.0))).limit(0)
+    terms = F.concat(*[F.concat(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(f"({TOKEN})"), 1), F.array(F.lit(" "))) for c in columns])  # a phrase lies within one column
     has = [F.array_contains("__t", w) for w in words]
     stage = F.when(_holds(F.col("__t"), words), 1).when(all_of(has), 2).when(any_of(has), 3)
-    rows = nodes.withColumn("__t", terms).select(node_id, stage.alias("stage")).filter("stage is not null")
+    share = F.size(F.filter("__t", lambda t: t.isin(words))) / (F.size("__t") - len(columns))
+    rows = nodes.withColumn("__t", terms).select(node_id, stage.alias("stage"), F.round(share, 6).alias("score")).filter("stage is not null")
     best = rows.agg(F.min("stage").alias("best"))
-    return rows.join(F.broadcast(best), F.col("stage") == F.col("best")).select(node_id, "stage")  # ``best`` is one row
+    first = rows.join(F.broadcast(best), F.col("stage") == F.col("best")).select(node_id, "stage", "score")  # ``best`` is one row
+    return first.drop("score") if k is None else first.orderBy(F.desc("score"), node_id).limit(k)
+
+
+def trigram_search(nodes: DataFrame, part: str, k: int, node_id: str = "node_id", columns: tuple[str, ...] = ("file_path", "tags", "content")) -> DataFrame:
+    """The first ``k`` nodes, by id, that hold ``part`` (three characters at least) in any case anywhere in ``columns``, as an index of trigrams finds them."""
+    if len(part) < 3:
+        return nodes.select(node_id).limit(0)
+    found = any_of([F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(part.lower())) for c in columns])
+    return nodes.filter(found).select(node_id).orderBy(node_id).limit(k)
 
 
 def trigrams(text: Column) -> Column:

@@ -109,6 +109,56 @@ def resolve_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumn("target_id", target_id).filter("target_id is not null and source_id <> target_id").select("source_id", "target_id", "relation_type", "symbol")
 
 
+def external_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id`` of the phantom nodes: targets outside the snapshot, such as libraries, once each."""
+    return edges.select(F.col("target_id").alias("node_id")).distinct().join(nodes.select("node_id"), "node_id", "left_anti")
+
+
+def with_external(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node_id, file_path, start_line`` of all nodes and of phantom nodes, whose path is their id and whose line is null, so that navigation shows them."""
+    own = nodes.select("node_id", "file_path", F.col("start_line").cast("int").alias("start_line"))
+    return own.unionByName(external_nodes(edges, nodes).select("node_id", F.col("node_id").alias("file_path"), F.lit(None).cast("int").alias("start_line")))
+
+
+def impact_graph(edges: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
+    """``center_id, source, target, relation``: the first ``limit`` references to each node, as edges of its subgraph."""
+    found = incoming(edges, nodes, limit=limit)
+    return found.select(F.col("target_id").alias("center_id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), "relation").distinct()
+
+
+def pipeline_graph(edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_depth: int = 2, fan_out: int = 10) -> DataFrame:
+    """``center_id, source, target, relation``: the call tree below each root, with what occurs in it more than once a single time."""
+    step = outgoing(edges, nodes, limit=fan_out).select(F.col("source_id").alias("at"), F.col("target_id").alias("target"), "relation").distinct()
+    level = roots.select(F.col("node_id").alias("center_id"), F.col("node_id").alias("at"))
+    out = None
+    for _ in range(max_depth):
+        made = level.join(step, "at").select("center_id", F.col("at").alias("source"), "target", "relation").distinct()
+        out = made if out is None else out.unionByName(made)
+        level = made.select("center_id", F.col("target").alias("at")).distinct()
+    return out.distinct()
+
+
+def neighbour_graph(edges: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``center_id, source, target, relation``: each node with the next and the previous chunk of its file and its first parent."""
+    parts = [
+        neighbours(nodes, "next", of).select(F.col("node_id").alias("center_id"), F.col("node_id").alias("source"), F.col("neighbour_id").alias("target"), F.lit("next").alias("relation")),
+        neighbours(nodes, "prev", of).select(F.col("node_id").alias("center_id"), F.col("neighbour_id").alias("source"), F.col("node_id").alias("target"), F.lit("next").alias("relation")),
+        parent_graph(edges if of is None else edges.join(of.select(F.col("node_id").alias("source_id")), "source_id", "left_semi"), nodes),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def parent_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``center_id, source, target, relation``: each node with its first parent."""
+    return parents(edges, nodes).select(F.col("node_id").alias("center_id"), F.col("node_id").alias("source"), F.col("parent_id").alias("target"), F.lit(schema.PARENT).alias("relation"))
+
+
+def subgraph_nodes(links: DataFrame, kind: str) -> DataFrame:
+    """``center_id, node_id, type`` of the subgraphs with these edges; the center is ``center``, all others are ``kind``."""
+    ends = links.select("center_id", F.explode(F.array("center_id", "source", "target")).alias("node_id")).distinct()
+    return ends.withColumn("type", F.when(F.col("node_id") == F.col("center_id"), "center").otherwise(kind))
+
+
 def ego(edges: DataFrame, nodes: DataFrame, center: Column) -> DataFrame:
     """``node_id, via`` around the nodes that fulfil ``center`` (over ``node_id``): itself, outgoing, incoming, parents and children, once for each way."""
     at = nodes.filter(center).select("node_id")

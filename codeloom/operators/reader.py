@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,8 +39,24 @@ def list_directory(paths: DataFrame, directory: str, path: str = "path") -> Data
     directory = directory.strip("/")
     if directory and not paths.filter(F.col(path) == directory).isEmpty():
         raise NotADirectoryError(directory)
-    inside = paths.filter(F.col(path).startswith(directory + "/")) if directory else paths
-    return entries(inside, path).filter(F.col("dir") == directory).select("name", "type", "path").orderBy(F.col("type") != "dir", "name")
+    prefix = directory + "/" if directory else ""
+    below = F.substring(F.col(path), len(prefix) + 1, 1 << 30)
+    name = F.substring_index(below, "/", 1)
+    rows = paths.filter(F.col(path).startswith(prefix)).select(name.alias("name"), F.when(name == below, "file").otherwise("dir").alias("type")).distinct()
+    return rows.withColumn("path", F.concat(F.lit(prefix), "name")).orderBy(F.col("type") != "dir", "name")
+
+
+def file_tree(paths: DataFrame, path: str = "path") -> DataFrame:
+    """``path, name, type, parent, place``: the tree of all paths, each directory's children numbered from 1, directories first."""
+    rows = entries(paths, path).withColumn("type", F.when(F.col("type") == "dir", "directory").otherwise("file"))
+    order = Window.partitionBy("dir").orderBy(F.col("type") != "directory", "name")
+    return rows.select("path", "name", "type", F.col("dir").alias("parent"), F.row_number().over(order).alias("place"))
+
+
+def overlay(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, content, chunks``: each file with the places of its chunks in order (``node_id, start_line, end_line, start, end``)."""
+    places = nodes.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "start_line", "end_line", "node_id"))).alias("chunks"))
+    return read_files(nodes, files).join(files.select("path", "file_id"), "path").join(places, "file_id", "left").select("path", "content", "chunks")
 
 
 def find_directories(paths: DataFrame, part: str, limit: int, path: str = "path") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.fts import STOP_WORDS
+
 TITLE = "array_to_string(list_transform(string_split(replace({0}, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 LABEL = (
     "CASE {0} WHEN 'entry_point' THEN 'Application Entry Point' WHEN 'api_endpoint' THEN 'API Endpoint' WHEN 'test_case' THEN 'Test Case' WHEN 'test_suite' THEN 'Test Suite' "
@@ -12,7 +14,7 @@ CATEGORY = (
     "WHEN regexp_matches(lower({0}), '\\.(md|txt|rst)$') THEN 'docs' ELSE 'code' END"
 )
 NEWLINES = "(length({0}) - length(replace({0}, chr(10), '')))"
-STOP = "['a','an','and','are','as','at','be','by','for','from','in','is','it','of','on','or','that','the','this','to','was','with']"
+STOP = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 TOKENS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+'), lambda w: NOT list_contains(" + STOP + ", w))"
 COSINE = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
 _NEXT = (

@@ -1,13 +1,14 @@
 """The graph's tables as Parquet below one folder, with snapshots as partitions.
 
 Data is written first and never changed; a snapshot becomes visible when its
-repository's pointer file is replaced. All files are reached through Hadoop's file
+repository's pointer file is replaced, in one step. All files are reached through Hadoop's file
 system, so the folder can lie on any storage that the cluster shares.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -16,12 +17,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schema
+from ..operators.fts import bucket_of
 
-TABLES = {"files": schema.FILES, "nodes": schema.NODES, "edges": schema.EDGES, "embeddings": schema.EMBEDDINGS}
+TABLES = {"files": schema.FILES, "nodes": schema.NODES, "edges": schema.EDGES, "embeddings": schema.EMBEDDINGS, "postings": schema.POSTINGS}
+#: A lock that is older was left by a process that is gone.
+LOCK_SECONDS = 6 * 3600
+VERSION = 2
+
+
+def content_bucket(chunk_hash: F.Column) -> F.Column:
+    """The partition of a content: the first digit of its hash."""
+    return F.substring(chunk_hash, 1, 1)
 
 
 class Store:
-    """Tables, pointers, locks and the lifecycle log below ``root``."""
+    """Tables, repositories, pointers, locks and the lifecycle log below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,15 +43,26 @@ class Store:
 
     # small files
 
-    def _create(self, name: str, text: str, overwrite: bool) -> bool:
+    def _create(self, name: str, text: str) -> bool:
+        """Write a file that isn't there yet; whether it was so."""
         try:
-            out = self._fs.create(self._path(name), overwrite)
+            out = self._fs.create(self._path(name), False)
         except Py4JJavaError:
             return False
         out.write(bytearray(text.encode()))
         out.close()
         return True
 
+    def _replace(self, name: str, text: str) -> None:
+        """Put a file in the place of another in one step: readers see the old one or the new one."""
+        fresh = f"{name}.{uuid.uuid4().hex}.tmp"
+        self._create(fresh, text)
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        where = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        where.rename(self._fs.makeQualified(self._path(fresh)), self._fs.makeQualified(self._path(name)), options)
+
     def _text(self, name: str) -> str | None:
         if not self._fs.exists(self._path(name)):
             return None
@@ -51,11 +72,43 @@ class Store:
         finally:
             stream.close()
 
-    def lock(self, repository: str) -> bool:
-        """Take a repository's lock, which only one caller gets; another sets its dirty flag instead."""
-        if self._create(f"locks/{repository}", "", False):
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if n.endswith(".json"))
+
+    def migrate(self) -> int:
+        """Bring an older store to ``VERSION``; its version before. A store that is newer raises ``ValueError``.
+
+        Version 1 had contents in one folder, no postings and one log of all repositories: these are derived anew when
+        snapshots are indexed again, so that only the contents move.
+        """
+        found = int(self._text("version") or (1 if self._fs.exists(self._path("tables")) else VERSION))
+        if found > VERSION:
+            raise ValueError(f"the store has version {found}, this is {VERSION}")
+        if found == 1 and self._fs.exists(self._path("tables/contents")):
+            old, new = self._path("tables/contents"), self._path("tables/contents.v1")
+            self._fs.rename(old, new)
+            self.add_contents(self.spark.read.parquet(f"{self.root}/tables/contents.v1").select("chunk_hash", "content"))
+            self._fs.delete(new, True)
+        self._replace("version", str(VERSION))
+        return found
+
+    # locks
+
+    def lock(self, repository: str, seconds: float = LOCK_SECONDS) -> bool:
+        """Take a repository's lock, which only one caller gets; another sets its dirty flag instead. A lock that is older than ``seconds`` is taken over."""
+        name, mine = f"locks/{repository}", json.dumps({"owner": self.spark.sparkContext.applicationId, "at": time.time()})
+        if self._create(name, mine):
             return True
-        self._create(f"dirty/{repository}", "", True)
+        held = self._text(name)
+        if held is not None and time.time() - (json.loads(held)["at"] if held else 0) > seconds:
+            stale = f"{name}.{uuid.uuid4().hex}.stale"
+            if self._fs.rename(self._path(name), self._path(stale)):  # one caller only
+                self._fs.delete(self._path(stale), False)
+                if self._create(name, mine):
+                    return True
+        self._create(f"dirty/{repository}", "")
         return False
 
     def unlock(self, repository: str) -> None:
@@ -65,42 +118,90 @@ class Store:
         """Whether the dirty flag was set; it is cleared."""
         return bool(self._fs.delete(self._path(f"dirty/{repository}"), False))
 
-    def log(self, repository: str, snapshot: str, commit: str, status: str, **more: object) -> None:
-        """Append an event to the lifecycle log."""
-        seq = len(self.events()) + 1
-        self._create(f"log/{seq:012d}-{uuid.uuid4().hex[:8]}.json", json.dumps({"seq": seq, "repository": repository, "snapshot": snapshot, "commit": commit, "status": status, **more}), False)
+    # repositories and snapshots
+
+    def register(self, repository: str, url: str, branch: str, name: str) -> None:
+        """Insert a repository, or refresh the name of one that is there and keep when it was made."""
+        known = self._text(f"repositories/{repository}.json")
+        now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+        made = json.loads(known)["created_at"] if known else now
+        self._replace(f"repositories/{repository}.json", json.dumps({"id": repository, "url": url, "branch": branch, "name": name, "created_at": made, "updated_at": now}))
+
+    def repositories(self) -> DataFrame:
+        """All repositories, by url and branch."""
+        if not self._names("repositories"):
+            return self.spark.createDataFrame([], schema.REPOSITORIES)
+        return self.spark.read.schema(schema.REPOSITORIES).option("pathGlobFilter", "*.json").json(f"{self.root}/repositories").orderBy("url", "branch")
+
+    def log(self, repository: str, snapshot: str, commit: str | None, status: str, **more: object) -> None:
+        """Append an event to the repository's lifecycle log; events are in order of time."""
+        seq = time.time_ns()
+        self._create(f"log/{repository}/{seq:020d}-{uuid.uuid4().hex[:8]}.json", json.dumps({"seq": seq, "repository": repository, "snapshot": snapshot, "commit": commit, "status": status, "at": seq / 1e9, **more}))
+
+    def events(self, repository: str) -> list[dict]:
+        """The log of one repository, in order."""
+        return [json.loads(self._text(f"log/{repository}/{n}")) for n in self._names(f"log/{repository}")]
 
-    def events(self) -> list[dict]:
+    def snapshots(self) -> DataFrame:
+        """All snapshots with their last status, when they were begun and completed, and the statistics of their completion."""
         if not self._fs.exists(self._path("log")):
-            return []
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("log")) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._text(f"log/{n}")) for n in names]
+            return self.spark.createDataFrame([], schema.SNAPSHOTS)
+        rows = self.spark.read.schema(schema.EVENTS).option("recursiveFileLookup", "true").json(f"{self.root}/log")
+        at = lambda s, f: f(F.when(F.col("status") == s, F.timestamp_seconds("at")))
+        done = rows.groupBy(F.col("snapshot").alias("id")).agg(
+            F.max_by("repository", "seq").alias("repository_id"), F.max_by("commit", "seq").alias("commit_hash"), F.max_by("status", "seq").alias("status"),
+            at("indexing", F.min).alias("created_at"), at("completed", F.max).alias("completed_at"), F.max_by("stats", F.when(F.col("status") == "completed", F.col("seq"))).alias("stats"),
+        )
+        return done.orderBy("created_at", "id")
 
     def completed(self, repository: str, commit: str) -> str | None:
-        """The newest completed snapshot of a commit."""
-        done = [e for e in self.events() if (e["repository"], e["commit"], e["status"]) == (repository, commit, "completed")]
+        """The newest completed snapshot of a commit that wasn't pruned since."""
+        last: dict[str, dict] = {}
+        for e in self.events(repository):
+            last[e["snapshot"]] = e
+        done = [e for e in last.values() if (e["commit"], e["status"]) == (commit, "completed")]
         return max(done, key=lambda e: e["seq"])["snapshot"] if done else None
 
-    def activate(self, repository: str, snapshot: str) -> None:
-        """Replace the repository's pointer."""
-        self._create(f"pointers/{repository}", snapshot, True)
+    def activate(self, repository: str, snapshot: str, commit: str | None, stats: dict) -> None:
+        """Log a snapshot as completed and swap the repository's pointer, last."""
+        self.log(repository, snapshot, commit, "completed", stats=json.dumps(stats))
+        self._replace(f"pointers/{repository}", snapshot)
 
     def active(self, repository: str) -> str | None:
         return self._text(f"pointers/{repository}")
 
+    def prune(self, repository: str, snapshot: str) -> None:
+        """Log a snapshot as pruned, so that it is never returned again, and drop its partitions; shared contents stay (see ``operators.writes.unreferenced``)."""
+        commits = [e["commit"] for e in self.events(repository) if e["snapshot"] == snapshot]
+        self.log(repository, snapshot, commits[-1] if commits else None, "pruned")
+        self.drop(snapshot)
+
+    def drop(self, snapshot: str) -> None:
+        """Drop a snapshot's partitions."""
+        for name in TABLES:
+            self._fs.delete(self._path(f"tables/{name}/snapshot_id={snapshot}"), True)
+
     # tables
 
     def write(self, name: str, df: DataFrame) -> None:
-        """Append rows; those with a ``snapshot_id`` go to its partition."""
-        by = ["snapshot_id"] if "snapshot_id" in df.columns else []
+        """Append rows; those with a ``snapshot_id`` or ``bucket`` go to its partition."""
+        by = [c for c in ("snapshot_id", "bucket") if c in df.columns]
+        if name == "postings":  # a file for each bucket, in order of terms
+            df = df.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
+            by = ["snapshot_id", "bucket"]
         df.write.mode("append").partitionBy(*by).parquet(f"{self.root}/tables/{name}")
 
     def add_contents(self, contents: DataFrame) -> None:
         """Append the contents whose hash isn't stored yet."""
-        self.write("contents", contents.join(self.contents().select("chunk_hash"), "chunk_hash", "left_anti"))
+        new = contents.join(self.contents().select("chunk_hash"), "chunk_hash", "left_anti").withColumn("bucket", content_bucket(F.col("chunk_hash")))
+        self.write("contents", new.repartition("bucket").sortWithinPartitions("bucket", "chunk_hash"))
 
-    def contents(self) -> DataFrame:
-        return self._read("contents", schema.CONTENTS)
+    def contents(self, hashes: list[str] | None = None) -> DataFrame:
+        """All contents, or those of a bounded list of hashes, whose partitions alone are read."""
+        df = self._read("contents", schema.CONTENTS)
+        if hashes is not None:
+            df = df.filter(F.col("bucket").isin(*sorted({h[:1] for h in hashes})) & F.col("chunk_hash").isin(*hashes)) if hashes else df.limit(0)
+        return df.drop("bucket")
 
     def read(self, name: str, snapshot: str | None = None) -> DataFrame:
         """A table, or its rows of one snapshot (only its partition is read)."""
@@ -112,8 +213,3 @@ class Store:
         if not self._fs.exists(self._path(f"tables/{name}")):
             return self.spark.createDataFrame([], kind)
         return self.spark.read.schema(kind).parquet(f"{self.root}/tables/{name}")
-
-    def prune(self, snapshot: str) -> None:
-        """Drop a snapshot's partitions; shared contents stay (see ``operators.writes.unreferenced``)."""
-        for name in TABLES:
-            self._fs.delete(self._path(f"tables/{name}/snapshot_id={snapshot}"), True)

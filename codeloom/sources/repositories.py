@@ -92,9 +92,9 @@ class Volume:
 
 
 def repository_info(path: str) -> dict[str, str]:
-    """``url, name, commit, branch`` of a local folder; a folder without Git has its path for a url and ``unknown`` for the rest."""
+    """``id, url, name, commit, branch`` of a local folder; a folder without Git has its path for a url, the MD5 of it for an id, and ``unknown`` for the rest."""
     info = {"url": os.path.abspath(path), "commit": "unknown", "branch": "unknown"}
     for key, args in (("url", ("config", "--get", "remote.origin.url")), ("commit", ("rev-parse", "HEAD")), ("branch", ("rev-parse", "--abbrev-ref", "HEAD"))):
         with contextlib.suppress(RuntimeError):
             info[key] = strip_credentials(_git(*args, cwd=path)) or info[key]
-    return info | {"name": re.sub(r"\.git$", "", info["url"].rstrip("/").rpartition("/")[2])}
+    return info | {"id": hashlib.md5(info["url"].encode()).hexdigest(), "name": re.sub(r"\.git$", "", info["url"].rstrip("/").rpartition("/")[2])}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,8 +13,10 @@ _KEPT: dict[tuple, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset. It goes with the application."""
+    """A folder below ``spark.checkpoint.dir``; in local mode a temporary one is set where that is unset, on a cluster that raises ``ValueError``. It goes with the application."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
