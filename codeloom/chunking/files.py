@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,24 +64,31 @@ def rows_of(path: str, data: bytes | None, size: int, error: str | None) -> list
     return rows or [about]
 
 
+_TEXT = pa.string()
+_ARROW = pa.schema({
+    "path": _TEXT, "status": _TEXT, "error": _TEXT, "file_hash": _TEXT, "size_bytes": pa.int64(), "seq": pa.int32(), "byte_start": pa.int64(), "byte_end": pa.int64(), "start_line": pa.int32(), "end_line": pa.int32(),
+    "parent": pa.int32(), "chunk_hash": _TEXT, "content": _TEXT, "matches": pa.list_(pa.struct({"category": _TEXT, "value": _TEXT, "label": _TEXT})), "tags": pa.list_(_TEXT),
+})
+
+
 def parse_files(tree: DataFrame) -> DataFrame:
     """Rows of all chunks (``PARSED``) of ``path, size, content, error``; a file whose chunking fails has status ``failed``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.strip().split(" ")[0] for c in PARSED.split(" array<")[0].rsplit(",", 1)[0].split(",")] + ["matches", "tags"]
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows: list[dict] = []
-            for path, size, content, error in zip(pdf.path, pdf["size"], pdf.content, pdf.error):
+            for i in range(batch.num_rows):
+                path, size, content, error = (batch.column(c)[i].as_py() for c in range(4))
                 try:
                     rows += rows_of(path, content, int(size), error)
                 except Exception as e:  # noqa: BLE001 - one bad file must not fail the snapshot
                     rows.append({"path": path, "status": "failed", "error": str(e), "file_hash": "", "size_bytes": 0})
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("seq", "byte_start", "byte_end", "start_line", "end_line", "parent", "size_bytes"):
-                out[c] = out[c].astype("Int64")
-            yield out.astype({c: object for c in ("matches", "tags")}).where(out.notna(), None)
+                if len(rows) > 5000:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows = []
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return tree.mapInPandas(run, PARSED)
+    return tree.select("path", "size", "content", "error").mapInArrow(run, PARSED)
 
 
 def tables(parsed: DataFrame, snapshot: str) -> dict[str, DataFrame]:

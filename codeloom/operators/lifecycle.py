@@ -11,6 +11,12 @@ def state(log: DataFrame, key: str, status: str = "status", sequence: str = "seq
     return log.groupBy(key).agg(F.max_by(status, sequence).alias("status"), F.max(sequence).alias("seq"))
 
 
+def last_of(log: DataFrame, key: str, sequence: str = "seq") -> DataFrame:
+    """The last event of each key, such as ``pruned`` of a snapshot that was completed before."""
+    rest = [c for c in log.columns if c != key]
+    return log.groupBy(key).agg(F.max_by(F.struct(*rest), sequence).alias("__r")).select(key, "__r.*")
+
+
 def locked(log: DataFrame, repository: str, status: str = "status", sequence: str = "seq") -> DataFrame:
     """Repositories whose last status is ``indexing``: a new index request only sets their dirty flag."""
     return state(log, repository, status, sequence).filter("status = 'indexing'").select(repository)

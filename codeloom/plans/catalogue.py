@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..chunking.files import parse_files
 from ..functions import columns as C
 from ..operators import chunks, embedding, fts, fusion, graph, lifecycle, reader, vectors, writes
 from ..operators.filters import build_predicate
@@ -156,8 +157,27 @@ def q_upsert_files(spark: SparkSession, d: str) -> DataFrame:
     return writes.upsert(corpus.files(spark, d, "s1").select(cols), new.select(cols), ["path"], ["file_hash"])
 
 
-@query(sql("SELECT source AS name, arg_max(lang, doc_id) AS branch, arg_max(doc_id, doc_id) AS last FROM d GROUP BY 1", "d"))
+_REPOS = "SELECT source AS url, lang AS branch, CAST(min(doc_id) AS VARCHAR) AS id, '{0} ' || max(doc_id) AS name FROM d {1} GROUP BY 1, 2"
+
+
+def _repos(spark: SparkSession, d: str, where: str, name: str) -> DataFrame:
+    rows = corpus.documents(spark, d).filter(where).groupBy(F.col("source").alias("url"), F.col("lang").alias("branch"))
+    return rows.agg(F.min("doc_id").cast("string").alias("id"), F.concat(F.lit(name + " "), F.max("doc_id").cast("string")).alias("name"))
+
+
+@query(sql(f"SELECT n.url, n.branch, coalesce(o.id, n.id) AS id, n.name FROM ({_REPOS.format('new', '')}) n LEFT JOIN ({_REPOS.format('old', 'WHERE doc_id % 3 = 0')}) o ON o.url IS NOT DISTINCT FROM n.url AND o.branch IS NOT DISTINCT FROM n.branch", "d"))
 def q_upsert_repo(spark: SparkSession, d: str) -> DataFrame:
+    """A repository that is registered again by url and branch keeps its id and takes the new name."""
+    return writes.upsert(_repos(spark, d, "doc_id % 3 = 0", "old"), _repos(spark, d, "true", "new"), ["url", "branch"], ["name"]).select("url", "branch", "id", "name")
+
+
+@query(sql("SELECT url, branch, id, name FROM (SELECT *, row_number() OVER (ORDER BY url, branch) AS n FROM (" + _REPOS.format("new", "") + "))", "d"))
+def q_list_repositories(spark: SparkSession, d: str) -> DataFrame:
+    return _repos(spark, d, "true", "new").orderBy("url", "branch")
+
+
+@query(sql("SELECT source AS name, arg_max(lang, doc_id) AS branch, arg_max(doc_id, doc_id) AS last FROM d GROUP BY 1", "d"))
+def q_last_wins(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.documents(spark, d).select(F.col("source").alias("name"), F.col("lang").alias("branch"), F.col("doc_id").alias("last"), F.col("doc_id").alias("seq"))
     return writes.replace_latest(rows, ["name"], "seq").select("name", "branch", "last")
 
@@ -245,16 +265,43 @@ def q_fts_postings(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(f"SELECT node_id, {_rank(['apache', 'license'])} AS score FROM ({_TERMS}) WHERE {_HAS('apache')} AND {_HAS('license')} ORDER BY score DESC, node_id LIMIT 50", "nodes"))
 def q_fts_index_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best nodes by the inverted index, of which only the postings of the words are read."""
-    n = _nodes(spark, d)
-    index = kept(spark, f"{d}/documents.parquet", "postings", lambda: fts.postings(n).sort("term"))
-    return fts.search_postings(index, ["apache", "license"], 50)
+    return fts.search_index(_index(spark, d), _slim(spark, d), "apache license", 50)
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, f"{d}/documents.parquet", "postings", lambda: fts.postings(_nodes(spark, d)).sort("term"))
+
+
+@query(sql(f"""SELECT node_id, {_rank(['gnu', 'license', 'mit'])} AS score FROM ({_TERMS}) WHERE ({_HAS('mit')} OR {_HAS('gnu')}) AND {_HAS('license')} AND NOT {_HAS('apache')} ORDER BY score DESC, node_id LIMIT 50""", "nodes"))
+def q_fts_index_boolean(spark: SparkSession, d: str) -> DataFrame:
+    return fts.search_index(_index(spark, d), _slim(spark, d), "mit or gnu license -apache", 50)
+
+
+@query(sql(f"""SELECT node_id, {_rank(['reserved', 'rights'])} AS score FROM ({_TERMS}) WHERE contains(' ' || array_to_string(list_concat(ta, tb), ' ') || ' ', ' rights reserved ')
+  AND NOT contains(' ' || array_to_string(list_concat(ta, tb), ' ') || ' ', ' test case ') ORDER BY score DESC, node_id LIMIT 50""", "nodes"))
+def q_fts_index_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return fts.search_index(_index(spark, d), _nodes(spark, d), '"rights reserved" -"test case"', 50)
 
 
-@query(sql("""SELECT item_id, len(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3)))) AS n,
-  list_sort(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3))))[1] AS first FROM benchmark"""))
+@query("""SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substring(lower(text), i, 3)))), '|') AS trigrams FROM benchmark""")
 def q_trigram(spark: SparkSession, d: str) -> DataFrame:
-    t = corpus.table(spark, d, "benchmark").withColumn("g", fts.trigrams(F.col("text")))
-    return t.select("item_id", F.size("g").cast("long").alias("n"), F.array_min("g").alias("first"))
+    return corpus.table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(fts.trigrams(F.col("text"))), "|").alias("trigrams"))
+
+
+@query(sql("SELECT node_id FROM nodes WHERE contains(lower(file_path), 'cense') OR contains(lower(tags), 'cense') OR contains(lower(content), 'cense') ORDER BY node_id LIMIT 100", "nodes"))
+def q_trigram_search(spark: SparkSession, d: str) -> DataFrame:
+    return fts.trigram_search(_nodes(spark, d), "CenSe", 100)
+
+
+_CASCADE = "list_concat(regexp_extract_all(lower(file_path), '[a-z0-9_]+'), [' '], regexp_extract_all(lower(tags), '[a-z0-9_]+'), [' '], regexp_extract_all(lower(content), '[a-z0-9_]+'), [' '])"
+
+
+@query(sql(f"""SELECT node_id, stage, score FROM (SELECT node_id, stage, min(stage) OVER () AS best, score FROM (SELECT node_id, round(len(list_filter(t, lambda x: x IN ('class', 'definition'))) / (len(t) - 3), 6) AS score,
+  CASE WHEN contains(' ' || array_to_string(t, ' ') || ' ', ' class definition ') THEN 1 WHEN list_contains(t, 'class') AND list_contains(t, 'definition') THEN 2
+       WHEN list_contains(t, 'class') OR list_contains(t, 'definition') THEN 3 END AS stage FROM (SELECT node_id, {_CASCADE} AS t FROM nodes)) WHERE stage IS NOT NULL) WHERE stage = best ORDER BY score DESC, node_id LIMIT 40""", "nodes"))
+def q_fts_cascade_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Phrase, all words or any word in path, tags and content, ranked and limited."""
+    return fts.cascade(_nodes(spark, d), "class definition", columns=("file_path", "tags", "content"), k=40)
 
 
 @query(sql("SELECT node_id, tags FROM nodes", "nodes"))
@@ -283,17 +330,25 @@ def q_knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({COSINE.format('a.embedding', 'b.embedding')}, 6) AS score,
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE.format('a.embedding', 'b.embedding')}, 6) DESC, b.vec_id) AS rank
-  FROM (SELECT * FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 40) a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 5""")
 def q_knn_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The neighbours of a batch of queries, which is a limited list of vectors by definition."""
+    """The neighbours of every vector whose id is divisible by 100 among all others."""
     t = corpus.table(spark, d, "embeddings")
-    return vectors.knn_batch(t, t.filter("label = 3").orderBy("vec_id").limit(40), 5, "vec_id")
+    return vectors.knn_batch(t, t.filter("vec_id % 100 = 0"), 5, "vec_id")
+
+
+#: All components of a vector in one exact number.
+_CHECKSUM = "CAST(list_sum(list_transform({0}, lambda x, i: i * CAST(floor(1000000 * CAST(x AS DOUBLE)) AS BIGINT))) AS BIGINT)"
+
 
+def _checksum(vector: str) -> Column:
+    return F.aggregate(F.transform(vector, lambda x, i: (i + 1) * F.floor(x.cast("double") * 1_000_000)), F.lit(0).cast("long"), lambda s, x: s + x)
 
-@query("SELECT label AS vector_hash, arg_min(embedding[1], vec_id) AS first_component FROM embeddings GROUP BY 1")
+
+@query(f"SELECT label AS vector_hash, {_CHECKSUM.format('arg_min(embedding, vec_id)')} AS components FROM embeddings GROUP BY 1")
 def q_vector_cache(spark: SparkSession, d: str) -> DataFrame:
     t = corpus.table(spark, d, "embeddings")
-    return vectors.first_vectors(t, "label", "vec_id").select(F.col("label").alias("vector_hash"), F.element_at("embedding", 1).alias("first_component"))
+    return vectors.first_vectors(t, "label", "vec_id").select(F.col("label").alias("vector_hash"), _checksum("embedding").alias("components"))
 
 
 _VECTOR_HITS = f"SELECT node_id AS id, row_number() OVER (ORDER BY score DESC, node_id) - 1 AS rank, 'vector' AS method FROM (SELECT node_id, round({COSINE.format('embedding', 'v')}, 6) AS score FROM emb, q ORDER BY score DESC, node_id LIMIT 20)"
@@ -328,15 +383,43 @@ def q_hybrid(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT * FROM ({_FUSED}) ORDER BY score DESC, v NULLS LAST, k NULLS LAST, id LIMIT 10) f JOIN nodes n ON n.node_id = f.id
   LEFT JOIN parent p ON p.node_id = f.id LEFT JOIN nodes p2 ON p2.node_id = p.parent_id LEFT JOIN next x ON x.node_id = f.id LEFT JOIN prev y ON y.node_id = f.id""", "emb", "q", "parent", "next", "prev"))
 def q_hydrate(spark: SparkSession, d: str) -> DataFrame:
-    hits, n = _hybrid(spark, d), _nodes(spark, d)
-    at = hits.select(F.col("id").alias("node_id"))
-    side = lambda w: graph.neighbours(_slim(spark, d), w, at).withColumnsRenamed({"node_id": "id", "neighbour_id": f"{w}_id"})
-    up = graph.parents(corpus.edges(spark, d), _slim(spark, d)).select(F.col("node_id").alias("id"), F.col("line").alias("parent_line"))
-    rows = hits.join(n.withColumnRenamed("node_id", "id"), "id").join(up, "id", "left").join(side("next"), "id", "left").join(side("prev"), "id", "left")
+    n = _slim(spark, d)
+    best = _hybrid(spark, d).collect()  # ten rows; the searches run once
+    hits = spark.createDataFrame([(r.id, r.methods) for r in best], "id string, methods string")
+    at = F.broadcast(hits.select(F.col("id").alias("node_id")))
+    side = lambda w: graph.neighbours(n, w, at).withColumnsRenamed({"node_id": "id", "neighbour_id": f"{w}_id"})
+    own = corpus.edges(spark, d).join(at.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
+    up = graph.parents(own, n).select(F.col("node_id").alias("id"), F.col("line").alias("parent_line"))
+    texts = _nodes(spark, d).join(at, "node_id", "left_semi").withColumnRenamed("node_id", "id")
+    rows = hits.join(texts, "id").join(up, "id", "left").join(side("next"), "id", "left").join(side("prev"), "id", "left")
     context = F.when(F.col("parent_line").isNotNull(), C.parent_context(F.lit("block"), F.col("file_path"), F.col("parent_line")))
     return rows.select("id", "methods", "file_path", "start_line", "content", F.array_join(C.distinct_labels(F.col("matches")), ", ").alias("labels"), context.alias("parent_context"), "next_id", "prev_id")
 
 
+#: The forms of two words that share a stem.
+_FORMS = [["license", "licensed", "licenses", "licensing"], ["right", "rights"]]
+_FORM_COUNT = lambda c, forms: f"len(list_filter({c}, lambda t: t IN ({', '.join(repr(x) for x in forms)})))"
+_FORM_WEIGHTS = [f"({_FORM_COUNT('ta', f)} * 1.0 + {_FORM_COUNT('tb', f)} * 0.4)" for f in _FORMS]
+_FORM_RANK = "round(CAST(" + " + ".join(f"{w} / (1 + {w})" for w in _FORM_WEIGHTS) + " AS DOUBLE), 6)"
+
+
+@query(sql(f"""SELECT id, score, file_path, start_line, content, label, parent_id, parent_context, next_id, prev_id FROM (SELECT f.node_id AS id, f.score, n.file_path, n.start_line, n.content,
+  CASE WHEN n.has_matches THEN {LABEL.format('n.role')} ELSE 'Code Block' END AS label, p.parent_id,
+  'Inside ' || CASE WHEN p2.has_matches THEN {LABEL.format('p2.role')} ELSE 'Code Block' END || ' defined in ' || n.file_path || ' (L' || p2.start_line || ')' AS parent_context, x.neighbour_id AS next_id, y.neighbour_id AS prev_id
+  FROM (SELECT node_id, {_FORM_RANK} AS score FROM ({_TERMS}) WHERE ({_FORM_WEIGHTS[0]} > 0 OR {_FORM_WEIGHTS[1]} > 0) AND language IN ('en', 'de') ORDER BY score DESC, node_id LIMIT 15) f JOIN nodes n ON n.node_id = f.node_id
+  LEFT JOIN parent p ON p.node_id = f.node_id LEFT JOIN nodes p2 ON p2.node_id = p.parent_id LEFT JOIN next x ON x.node_id = f.node_id LEFT JOIN prev y ON y.node_id = f.node_id)""", "parent", "next", "prev"))
+def q_engine_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's whole path over a store with these tables: postings, filters, contents of the hits, parents and neighbours."""
+    hits = corpus.engine(spark, d).retrieve("license or rights", snapshot="s2", strategy="keyword", limit=15, filters={"language": ["en", "de"]})
+    return hits.select("id", "score", "file_path", "start_line", "content", "label", "parent_id", "parent_context", "next_id", "prev_id")
+
+
+@query(sql(f"SELECT id, score, methods FROM ({_FUSED}) ORDER BY score DESC, v NULLS LAST, k NULLS LAST, id LIMIT 10", "emb", "q"))
+def q_engine_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's hybrid search, with the stored vectors."""
+    return corpus.engine(spark, d).retrieve("class or definition", snapshot="s2", vector=_first_vector(spark, d), limit=10).select("id", "score", "methods")
+
+
 # graph
 
 
@@ -412,6 +495,58 @@ def q_nav_metadata(spark: SparkSession, d: str) -> DataFrame:
     return n.select("node_id").join(side("next"), "node_id", "left").join(side("prev"), "node_id", "left").join(up, "node_id", "left").join(label, "parent_id", "left").select("node_id", "next_id", "prev_id", "parent_id", "parent_label")
 
 
+@query(sql("""SELECT DISTINCT target_id AS center_id, source_id AS source, target_id AS target, relation FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY file, line, source_id, relation, symbol NULLS FIRST) AS m FROM incoming) WHERE m <= 20""", "incoming"))
+def q_impact_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.impact_graph(corpus.edges(spark, d), _slim(spark, d))
+
+
+@query(sql("""SELECT DISTINCT center_id, source, target, relation FROM (
+  SELECT r.node_id AS center_id, a.source_id AS source, a.target_id AS target, a.relation FROM nodes r JOIN step a ON a.source_id = r.node_id WHERE r.seq = 1
+  UNION ALL SELECT r.node_id, b.source_id, b.target_id, b.relation FROM nodes r JOIN step a ON a.source_id = r.node_id JOIN step b ON b.source_id = a.target_id WHERE r.seq = 1)""", "outgoing").replace("\nSELECT DISTINCT center_id", ", step AS (SELECT DISTINCT source_id, target_id, relation FROM outgoing WHERE n <= 10)\nSELECT DISTINCT center_id", 1))
+def q_pipeline_flat(spark: SparkSession, d: str) -> DataFrame:
+    n = _slim(spark, d)
+    return graph.pipeline_graph(corpus.edges(spark, d), n, n.filter("seq = 1"))
+
+
+@query(sql("""SELECT node_id AS center_id, node_id AS source, neighbour_id AS target, 'next' AS relation FROM next UNION SELECT node_id, neighbour_id, node_id, 'next' FROM prev
+  UNION SELECT node_id, node_id, parent_id, 'child_of' FROM parent""", "next", "prev", "parent"))
+def q_neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbour_graph(corpus.edges(spark, d), _slim(spark, d))
+
+
+@query(sql("""SELECT node_id AS center_id, node_id, 'center' AS type FROM parent UNION SELECT node_id, parent_id, 'parent' FROM parent""", "parent"))
+def q_parent_graph(spark: SparkSession, d: str) -> DataFrame:
+    return graph.subgraph_nodes(graph.parent_graph(corpus.edges(spark, d), _slim(spark, d)), "parent")
+
+
+def _with_libraries(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, and imports of modules outside the snapshot."""
+    own = _slim(spark, d).filter("seq = 1").select(F.col("node_id").alias("source_id"), F.concat(F.lit("lib_"), (F.col("doc_id") % 17).cast("string")).alias("target_id"), F.lit("imports").alias("relation_type"), F.lit("lib").alias("symbol"))
+    return corpus.edges(spark, d).unionByName(own)
+
+
+@query(sql("SELECT DISTINCT 'lib_' || doc_id % 17 AS node_id FROM nodes WHERE seq = 1", "nodes"))
+def q_external_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.external_nodes(_with_libraries(spark, d), _slim(spark, d))
+
+
+@query(sql("SELECT node_id AS source_id, 'lib_' || doc_id % 17 AS target_id, 'lib_' || doc_id % 17 AS file, CAST(NULL AS INTEGER) AS line FROM nodes WHERE seq = 1", "nodes"))
+def q_outgoing_external(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of libraries show in navigation, through their phantom nodes."""
+    edges = _with_libraries(spark, d)
+    found = graph.outgoing(edges, graph.with_external(edges, _slim(spark, d)), ("imports",), None)
+    return found.filter("target_id like 'lib\\_%'").select("source_id", "target_id", "file", "line")
+
+
+@query(sql("""SELECT source_id AS node_id, array_to_string(list_transform(list_sort(list(first))[:5], lambda x: x.symbol), ',') AS symbols
+  FROM (SELECT source_id, symbol, min({'f': file, 'l': line, 't': target_id, 'symbol': symbol}) AS first FROM outgoing WHERE symbol IS NOT NULL AND symbol <> 'unknown' AND NOT contains(symbol, '<') GROUP BY 1, 2) GROUP BY 1""", "outgoing"))
+def q_first_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The first five distinct symbols of what each node refers to, in the order of the references."""
+    sane = graph.outgoing(corpus.edges(spark, d), _slim(spark, d)).filter("symbol is not null and symbol <> 'unknown' and symbol not like '%<%'")
+    inorder = F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "target_id", "symbol"))), lambda x: x["symbol"])
+    return sane.groupBy(F.col("source_id").alias("node_id")).agg(F.array_join(F.slice(F.array_distinct(inorder), 1, 5), ",").alias("symbols"))
+
+
 def _refs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.documents(spark, d).select(F.col("doc_id").alias("ref"), "path", ((F.col("doc_id") * 37) % 1500).alias("start"), ((F.col("doc_id") * 37) % 1500 + 60).alias("end"))
 
@@ -465,6 +600,42 @@ def q_manifest(spark: SparkSession, d: str) -> DataFrame:
     return reader.entries(corpus.files(spark, d))
 
 
+@query(sql(f"""SELECT path, name, CASE WHEN type = 'dir' THEN 'directory' ELSE 'file' END AS type, dir AS parent, CAST(row_number() OVER (PARTITION BY dir ORDER BY type <> 'dir', name) AS INTEGER) AS place FROM ({_TREE})""", "files"))
+def q_file_tree(spark: SparkSession, d: str) -> DataFrame:
+    return reader.file_tree(corpus.files(spark, d))
+
+
+@query(sql("""SELECT path, coalesce(string_agg(content, '' ORDER BY start), '') AS content, count(node_id) AS n, coalesce(string_agg(start || '-' || "end" || ' L' || start_line || '-' || end_line || ' ' || node_id, ',' ORDER BY start), '') AS chunks
+  FROM files LEFT JOIN nodes USING (file_id) GROUP BY path""".replace("SELECT path,", "SELECT files.path,").replace("GROUP BY path", "GROUP BY files.path"), "nodes"))
+def q_file_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Each file with the places of its chunks."""
+    place = F.transform("chunks", lambda c: F.format_string("%d-%d L%d-%d %s", c["start"], c["end"], c["start_line"], c["end_line"], c["node_id"]))
+    rows = reader.overlay(_nodes(spark, d), corpus.files(spark, d))
+    return rows.select("path", "content", F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join(place, ","), F.lit("")).alias("chunks"))
+
+
+@query(sql("SELECT chunk_hash, any_value(content) AS content FROM nodes WHERE seq = 2 GROUP BY 1", "nodes"))
+def q_contents_bulk(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of a list of hashes."""
+    n = _nodes(spark, d)
+    return n.select("chunk_hash", "content").dropDuplicates(["chunk_hash"]).join(n.filter("seq = 2").select("chunk_hash").distinct(), "chunk_hash", "left_semi")
+
+
+@query(sql("SELECT path, file_id, file_hash FROM files WHERE doc_id % 2 = 0 ORDER BY path", "files"))
+def q_files_bulk(spark: SparkSession, d: str) -> DataFrame:
+    """The files of a list of paths, some of which don't exist."""
+    asked = corpus.files(spark, d, "s1").select("path").unionByName(spark.createDataFrame([("none.py",)], "path string"))
+    return corpus.files(spark, d).join(asked, "path", "left_semi").select("path", "file_id", "file_hash").orderBy("path")
+
+
+@query(sql("SELECT node_id, n.file_path, n.start_line, source AS repository, content FROM nodes n JOIN files USING (file_id) WHERE source IN (SELECT max(source) FROM files)", "nodes"))
+def q_nodes_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes with their file's repository, of one repository."""
+    f = corpus.files(spark, d)
+    one = f.join(F.broadcast(f.agg(F.max("source").alias("source"))), "source", "left_semi")  # one row
+    return _nodes(spark, d).join(one.select("file_id", F.col("source").alias("repository")), "file_id").select("node_id", "file_path", "start_line", "repository", "content")
+
+
 # embedding pipeline
 
 _PROMPT = f"""'File: ' || file_path || chr(10) || 'Language: ' || language || chr(10) || 'Category: ' || category || chr(10) || CASE WHEN has_matches THEN 'Role: ' || {LABEL.format('role')} || chr(10) ELSE '' END
@@ -499,10 +670,10 @@ def _staged(spark: SparkSession, d: str) -> DataFrame:
 _FILLED = "SELECT node_id, doc_id % 20 AS h, first_id FROM nodes LEFT JOIN (SELECT label, min(id) AS first_id FROM emb WHERE label % 2 = 0 GROUP BY 1) ON label = doc_id % 20"
 
 
-@query(sql(f"SELECT node_id, round(e.embedding[1]::DOUBLE, 6) AS first_component FROM ({_FILLED}) LEFT JOIN emb e ON e.id = first_id", "emb").replace("SELECT node_id, round", "SELECT f.node_id, round").replace(") LEFT JOIN emb e", ") f LEFT JOIN emb e"))
+@query(sql(f"SELECT f.node_id, {_CHECKSUM.format('e.embedding')} AS components FROM ({_FILLED}) f LEFT JOIN emb e ON e.id = first_id", "emb"))
 def q_backfill(spark: SparkSession, d: str) -> DataFrame:
     filled = embedding.backfill(_staged(spark, d), _history(spark, d))
-    return filled.select("node_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_component"))
+    return filled.select("node_id", _checksum("embedding").alias("components"))
 
 
 @query(sql(f"SELECT node_id FROM ({_FILLED}) WHERE first_id IS NOT NULL", "emb"))
@@ -518,9 +689,9 @@ def q_delta(spark: SparkSession, d: str) -> DataFrame:
 # lifecycle and statistics
 
 
-@query(sql("""SELECT 'files' AS "table", count(*) AS n FROM files UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'embeddings', count(*) FROM emb""", "files", "edges", "emb"))
+@query(sql("""SELECT 'files' AS "table", count(*) AS n FROM files UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'embeddings', count(*) FROM emb UNION ALL SELECT 'contents', count(DISTINCT chunk_hash) FROM nodes""", "files", "edges", "emb"))
 def q_stats(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle.counts({"files": corpus.files(spark, d), "nodes": _slim(spark, d), "edges": corpus.edges(spark, d), "embeddings": corpus.embeddings(spark, d)})
+    return lifecycle.counts({"files": corpus.files(spark, d), "nodes": _slim(spark, d), "edges": corpus.edges(spark, d), "embeddings": corpus.embeddings(spark, d), "contents": _slim(spark, d).select("chunk_hash").distinct()})
 
 
 @query(sql("SELECT repository, max(snapshot) AS snapshot FROM log WHERE status = 'completed' GROUP BY 1", "log"))
@@ -556,6 +727,116 @@ def q_isolation_counts(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("snapshot_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+_DAMAGED = "CASE doc_id % 4 WHEN 0 THEN chr(0) || text WHEN 1 THEN repeat(text || ' ', 2) ELSE text END"
+_BIG = "CASE WHEN doc_id % 10 = 3 THEN 2000000 ELSE strlen(t) END"
+
+
+@query(sql(f"""SELECT status, coalesce(reason, '') AS reason, count(*) AS n FROM (SELECT CASE WHEN reason IS NULL THEN 'success' ELSE 'skipped' END AS status, reason FROM (SELECT
+  CASE WHEN size > 1048576 THEN 'File too large (' || printf('%.2f', size / 1048576.0) || ' MB)' WHEN contains(substring(t, 1, 1024), chr(0)) THEN 'Binary file detected'
+    WHEN len(list_filter(string_split(substring(t, 1, 2048), chr(10))[1:5], lambda x: strlen(x) > 1000)) > 0 THEN 'Minified'
+    WHEN regexp_matches(lower(substring(t, 1, 500)), 'generated by|auto-generated|do not edit') THEN 'Generated' END AS reason
+  FROM (SELECT t, {_BIG} AS size FROM (SELECT doc_id, {_DAMAGED} AS t FROM d)))) GROUP BY 1, 2""", "d"))
+def q_parsing_status(spark: SparkSession, d: str) -> DataFrame:
+    """Files by status and reason, with binary and too large ones among them."""
+    n = F.col("doc_id")
+    t = corpus.documents(spark, d).withColumn("t", F.when(n % 4 == 0, F.concat(F.lit("\0"), "text")).when(n % 4 == 1, F.repeat(F.concat("text", F.lit(" ")), 2)).otherwise(F.col("text")))
+    reason = C.skip_reason(F.col("path"), F.when(n % 10 == 3, 2_000_000).otherwise(F.octet_length("t")), F.col("t"))
+    rows = t.select(reason.alias("reason")).withColumn("status", F.when(F.col("reason").isNull(), "success").otherwise("skipped"))
+    return rows.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN contains(name, '.') THEN split_part(name, '.', 1) END AS category, CASE WHEN contains(name, '.') THEN substring(name, instr(name, '.') + 1) END AS value
+  FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'role.' || event_type ELSE 'type.' || event_type || '.x' END AS name FROM events)""")
+def q_capture_names(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id") % 3
+    name = F.when(n == 0, "name").when(n == 1, F.concat(F.lit("role."), "event_type")).otherwise(F.concat(F.lit("type."), "event_type", F.lit(".x")))
+    return corpus.table(spark, d, "events").select("event_id", C.capture_parts(name).alias("p")).select("event_id", "p.category", "p.value")
+
+
+@query(sql("""SELECT node_id, '{"path":"' || file_path || '","line":' || start_line || ',"tags":' || CASE WHEN tags = '' THEN '[]' ELSE '["' || replace(tags, ' ', '","') || '"]' END || '}' AS json FROM nodes""", "nodes"))
+def q_json_build(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.filter(F.split("tags", " "), lambda x: x != "")
+    return _slim(spark, d).select("node_id", F.to_json(F.struct(F.col("file_path").alias("path"), F.col("start_line").alias("line"), tags.alias("tags"))).alias("json"))
+
+
+@query(sql("SELECT path, NOT (ends_with(p, '.d.ts') OR ends_with(p, '.min.js')) AS processed FROM (SELECT path, CASE doc_id % 3 WHEN 0 THEN path || '.d.ts' WHEN 1 THEN path || '.min.js' ELSE path || '.ts' END AS p FROM files)", "files"))
+def q_excluded_extensions(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("doc_id") % 3
+    p = F.concat("path", F.when(n == 0, ".d.ts").when(n == 1, ".min.js").otherwise(".ts"))
+    return corpus.files(spark, d).select("path", C.should_process(p, C.EXCLUDED_EXTENSIONS).alias("processed"))
+
+
+@query(sql(f"""SELECT node_id, CASE WHEN role <> 'entry_point' THEN 'Inside ' || role || ' defined in ' || file_path || ' (L' || start_line || ')' END AS context FROM (SELECT *, CASE role WHEN 'entry_point' THEN 'module' END AS m FROM nodes)""", "nodes"))
+def q_parent_context(spark: SparkSession, d: str) -> DataFrame:
+    role = F.element_at(F.array(*[F.lit(r) for r in corpus.ROLES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    kind = F.when(role == "entry_point", "module").otherwise(role)
+    return _slim(spark, d).select("node_id", C.parent_context(kind, F.col("file_path"), F.col("start_line")).alias("context"))
+
+
+@query(sql("""SELECT repository, "commit", max(snapshot) AS snapshot FROM (SELECT *, CASE WHEN snapshot % 4 = 0 THEN 'pruned' ELSE status END AS last FROM log) WHERE last = 'completed' GROUP BY 1, 2""", "log"))
+def q_snapshot_not_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """A pruned snapshot isn't used again, although it was completed."""
+    log = corpus.log(spark, d)
+    gone = log.filter("snapshot % 4 = 0").withColumn("status", F.lit("pruned")).withColumn("seq", F.col("seq") + 1_000_000_000)
+    return lifecycle.reusable(lifecycle.last_of(log.unionByName(gone), "snapshot"), "repository", "commit", "snapshot")
+
+
+# chunker
+
+
+@query("""SELECT item_id, lang, seq, byte_start, byte_end, start_line, end_line, kind FROM (
+  SELECT item_id, 'py' AS lang, 0 AS seq, 0 AS byte_start, length(a) - 1 AS byte_end, 1 AS start_line, 61 AS end_line, 'function' AS kind FROM t
+  UNION ALL SELECT item_id, 'py', 1, length(a) - 1, length(a) + length(b) - 1, 61, 92, 'class' FROM t
+  UNION ALL SELECT item_id, 'js', 0, 0, length(e) - 1, 1, 62, 'function' FROM t
+  UNION ALL SELECT item_id, 'js', 1, length(e) - 1, length(e) + length(f) - 1, 62, 94, 'class' FROM t)
+""".replace("SELECT item_id, lang", """WITH t AS (SELECT item_id, 'def f' || item_id || '():' || chr(10) || repeat('    x = 1' || chr(10), 60) AS a, 'class C' || item_id || ':' || chr(10) || repeat('    y = 2' || chr(10), 30) AS b,
+  'function f' || item_id || '() {' || chr(10) || repeat('    x = 1;' || chr(10), 60) || '}' || chr(10) AS e, 'class C' || item_id || ' {' || chr(10) || repeat('    y = 2;' || chr(10), 30) || '}' || chr(10) AS f FROM benchmark)
+SELECT item_id, lang""", 1))
+def q_chunk_source(spark: SparkSession, d: str) -> DataFrame:
+    """A function and a class in a Python and in a JavaScript file for each item: a chunk each, what lies between goes with what follows."""
+    i = F.col("item_id").cast("string")
+    py = F.concat(F.lit("def f"), i, F.lit("():\n"), F.repeat(F.lit("    x = 1\n"), 60), F.lit("class C"), i, F.lit(":\n"), F.repeat(F.lit("    y = 2\n"), 30))
+    js = F.concat(F.lit("function f"), i, F.lit("() {\n"), F.repeat(F.lit("    x = 1;\n"), 60), F.lit("}\nclass C"), i, F.lit(" {\n"), F.repeat(F.lit("    y = 2;\n"), 30), F.lit("}\n"))
+    made = _source(spark, d, {"py": py, "js": js})
+    return made.select("item_id", "lang", "seq", "byte_start", "byte_end", "start_line", "end_line", F.element_at("matches", 1)["value"].alias("kind"))
+
+
+def _source(spark: SparkSession, d: str, files: dict[str, Column]) -> DataFrame:
+    """The chunks of files made from each benchmark item."""
+    t = corpus.table(spark, d, "benchmark")
+    parts = [t.select(F.concat(F.col("item_id").cast("string"), F.lit("." + lang)).alias("path"), F.encode(text, "UTF-8").alias("content")) for lang, text in files.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    parsed = parse_files(rows.select("path", F.octet_length("content").cast("long").alias("size"), "content", F.lit(None).cast("string").alias("error")))
+    return parsed.filter("seq is not null").withColumn("item_id", F.substring_index("path", ".", 1).cast("long")).withColumn("lang", F.substring_index("path", ".", -1))
+
+
+@query("SELECT item_id, CAST(0 AS INTEGER) AS seq, CAST(0 AS INTEGER) AS byte_start FROM benchmark WHERE false")
+def q_chunk_none(spark: SparkSession, d: str) -> DataFrame:
+    """Files that make no chunk: blank ones, and those of unknown languages."""
+    made = _source(spark, d, {"py": F.lit("  \n\n"), "txt": F.lit("text")})
+    return made.select("item_id", "seq", F.col("byte_start").cast("int").alias("byte_start"))
+
+
+@query("""SELECT item_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 0 THEN 0 ELSE 800 * seq - 94 END AS byte_start, least(800 * seq + 706, n) AS byte_end, CASE WHEN seq > 0 THEN 0 END AS parent
+  FROM (SELECT item_id, n, unnest(range(0, CAST(1 + ceil((n - 706) / 800.0) AS BIGINT))) AS seq FROM (SELECT item_id, 1806 + 100 * (item_id % 7) AS n FROM benchmark))""")
+def q_chunk_unparsed(spark: SparkSession, d: str) -> DataFrame:
+    """A file that doesn't parse is split by bytes behind newlines; the later pieces are children of the first."""
+    text = F.concat(F.lit("def (\n"), F.repeat(F.lit("x" * 99 + "\n"), (F.col("item_id") % 7 + 18).cast("int")))
+    return _source(spark, d, {"py": text}).select("item_id", "seq", "byte_start", "byte_end", "parent")
+
+
+@query("""SELECT item_id, u.role AS role, u.value AS value FROM (SELECT item_id, unnest([{'role': 'role', 'value': 'test_suite'}, {'role': 'type', 'value': 'class'}, {'role': 'type', 'value': 'function'}, {'role': 'role', 'value': 'test_case'},
+  {'role': 'type', 'value': 'function'}, {'role': 'role', 'value': 'api_endpoint'}, {'role': 'role', 'value': 'entry_point'}]) AS u FROM benchmark)""")
+def q_chunk_roles(spark: SparkSession, d: str) -> DataFrame:
+    """The captures of a small Python file: a test class with a test in one chunk, an endpoint below ``if`` and the entry point in the next."""
+    i = F.col("item_id").cast("string")
+    text = F.concat(F.lit("class TestC"), i, F.lit(":\n    def test_a(self):\n        pass\nif True:\n    @app.get('/"), i, F.lit("')\n    def d():\n        pass\nif __name__ == '__main__':\n    d()\n"))
+    made = _source(spark, d, {"py": text}).select("item_id", F.explode("matches").alias("m"))
+    return made.select("item_id", F.col("m.category").alias("role"), "m.value")
+
+
 # labels and rendering
 
 

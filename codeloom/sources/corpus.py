@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.columns import category_of, label_of, search_tags, stable_id
 from ..operators.chunks import first_in_file, hard_split
-from .scratch import kept
+from ..operators.fts import postings
+from .scratch import kept, kept_path
 
 ROLES = ("entry_point", "api_endpoint", "test_case", "class", "function")
 EXTENSIONS = (".py", ".js", ".md", ".json", ".txt")
@@ -99,3 +100,25 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"signup": "pending", "view": "indexing", "click": "indexing", "purchase": "completed", "error": "failed"}
     status = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("event_type")]
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("repository"), F.col("event_id").alias("snapshot"), (F.col("event_id") % 3).alias("commit"), status.alias("status"), F.col("event_id").alias("seq"))
+
+
+def engine(spark: SparkSession, sf_dir: str):  # noqa: ANN201 - plans import this module
+    """The engine over a store that has these tables as snapshot ``s2``; written once per application."""
+    from ..plans.engine import Engine
+
+    root = kept_path(spark, f"{sf_dir}/documents.parquet", "store", lambda path: _store(spark, sf_dir, Engine(spark, path).store))
+    return Engine(spark, root)
+
+
+def _store(spark: SparkSession, sf_dir: str, store) -> None:  # noqa: ANN001
+    n = nodes(spark, sf_dir)
+    s = F.lit("s2").alias("snapshot_id")
+    none = F.lit(None).cast("string")
+    f = files(spark, sf_dir).select(F.col("file_id").alias("id"), "snapshot_id", "path", "file_hash", "language", "category", "size_bytes", F.lit("success").alias("parsing_status"), none.alias("parsing_error"))
+    store.write("files", f)
+    store.write("nodes", n.select(F.col("node_id").alias("id"), "file_id", s, "file_path", "chunk_hash", "start_line", "end_line", F.col("start").alias("byte_start"), F.col("end").alias("byte_end"), "matches", F.array().cast("array<string>").alias("tags")))
+    store.write("edges", edges(spark, sf_dir).withColumn("snapshot_id", F.lit("s2")))
+    store.write("postings", postings(n, stems=True).withColumn("snapshot_id", F.lit("s2")))
+    store.add_contents(n.select("chunk_hash", "content").dropDuplicates(["chunk_hash"]))
+    e = embeddings(spark, sf_dir)
+    store.write("embeddings", e.select(F.col("id").cast("string").alias("id"), F.col("node_id").alias("chunk_id"), s, none.alias("vector_hash"), F.lit("model-1").alias("model_name"), "file_path", "language", "category", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("embedding").cast("array<float>").alias("embedding")))

@@ -28,13 +28,18 @@ def _folder(spark: SparkSession) -> str:
     return root
 
 
-def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from the files at ``source``: written at first use, and again when those change."""
+def kept_path(spark: SparkSession, source: str, name: str, build: Callable[[str], None]) -> str:
+    """The path of what ``build`` made of the files at ``source``: at first use, and again when those change."""
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
     key = (spark.sparkContext.applicationId, source, changed, name)
     if key not in _KEPT:
         to = f"{_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        build().write.parquet(to)
+        build(to)
         _KEPT[key] = to
-    return spark.read.parquet(_KEPT[key])
+    return _KEPT[key]
+
+
+def kept(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` derived from the files at ``source``, written as ``kept_path`` says."""
+    return spark.read.parquet(kept_path(spark, source, name, lambda to: build().write.parquet(to)))
