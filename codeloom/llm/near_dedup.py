@@ -209,7 +209,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat id and text have equal results; rows with one id and different texts are
     documents of their own, of which the smaller id names a component.
     A null id is linked with nothing (its ``component_id`` is null) and kept. An empty table gives an empty
-    result. Ids must be integers.
+    result. Ids must be integers. A ``threshold`` below 70, for which the bands aren't meant, or above 100 raises ``ValueError``.
     """
     return _named(docs, id_col, text_col, threshold, True).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept", "class_id", "n_links")
 
@@ -226,6 +226,8 @@ def _repeat(docs: DataFrame, id_col: str) -> bool:
 
 def _named(docs: DataFrame, id_col: str, text_col: str, threshold: int, counted: bool) -> DataFrame:
     """The result of ``near_dedup`` with ``id`` and ``row_key``; ``n_links`` is whole only if ``counted``."""
+    if not 70 <= threshold <= 100:
+        raise ValueError(f"the threshold must be from 70 to 100, not {threshold}")
     repeated = _repeat(docs, id_col)
     keyed = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col, repeated).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     found = _linked(keyed.select("row_key", "text"), "row_key", "text", threshold, repeated, counted)
@@ -289,10 +291,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: int, repeate
 
 
 def _estimated(pairs: DataFrame, slim: DataFrame, threshold: int) -> DataFrame:
-    """Of ``pairs``, those whose registers, from ``slim``, are close enough to be verified."""
+    """Of ``pairs`` (``a`` and a hub ``b``, which may have most of them), those whose registers, from ``slim``, are close enough to be verified."""
     floor = floor_of(threshold / 100)
+    pairs = written(pairs, "stars")
     left, right = (slim.select(F.col("rep").alias(s), F.col("n").alias(f"{s}n"), F.col("regs").alias(f"{s}r")) for s in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "an", "bn", "ar", "br").mapInArrow(lambda it: _close(it, floor), "a long, b long")
+    hubs = written(right.join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b"), "hubs")
+    joined = join_counted(pairs.join(left, "a"), hubs, ["b"], pairs.count())
+    return joined.select("a", "b", "an", "bn", "ar", "br").mapInArrow(lambda it: _close(it, floor), "a long, b long")
 
 
 def _blocks(members: DataFrame, slim: DataFrame, threshold: int) -> DataFrame:
@@ -317,13 +322,15 @@ def _confirmed(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, th
     sizes = near.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     wanted = written(near.join(sizes, "least").select("id", F.xxhash64("least", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("u")), "wanted")
     u = lambda s: wanted.select(F.col("id").alias(s), F.col("u").alias(f"{s}u"))
-    placed = written(pairs.join(u("a"), "a").join(u("b"), "b").select("a", "b", F.xxhash64(F.least("au", "bu"), F.greatest("au", "bu")).alias("g")), "placed")
+    others = written(u("b").join(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "b"), "others")
+    placed = written(join_counted(pairs.join(u("a"), "a"), others, ["b"], pairs.count()).select("a", "b", F.xxhash64(F.least("au", "bu"), F.greatest("au", "bu")).alias("g")), "placed")
     few = wanted.count() <= BROADCAST_IDS
     names = wanted.select("id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(names) if few else names, "id")
-    texts = written(texts.groupBy("id").agg(F.min("t").alias("t")) if repeated else texts, "candidates")
-    goes = placed.select("g", F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = goes.join(texts, "id").select("g", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
+    texts = texts.groupBy("id").agg(F.min("t").alias("t")) if repeated else texts
+    goes = written(placed.select("g", F.explode(F.array("a", "b")).alias("id")).distinct(), "goes")
+    texts = written(texts.join(goes.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id"), "candidates")
+    rows = join_counted(goes, texts, ["id"], goes.count(), wide=True).select("g", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "t")
     rows = rows.unionByName(placed.select("g", "a", "b", F.lit(None).cast("string").alias("t")))
     ordered = rows.repartition(partitions(docs.sparkSession), "g").sortWithinPartitions("g", F.col("b").asc_nulls_first())
     return written(ordered.mapInArrow(lambda it: _verify(it, threshold), "a long, b long"), "links")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import grams, labelled
-from .textnum import pieces, texts_of
+from .textnum import pieces, texts_of, trim
 
 BITS = 11
 GRAM = 3
@@ -100,10 +100,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             for i, j, x in _parts(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["y", "x"])
 
-    sample = labelled(docs, labels, label, rows, where, id_col, text_col)
-    got = sample.mapInArrow(run, "y int, x binary").orderBy("y", F.xxhash64("x"), "x").collect()  # at most ``rows``
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), dtype="<f2").astype(np.float32).reshape(len(got), 1 << BITS)
-    return fit(x, np.array([r.y for r in got], dtype=np.int64))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = [np.zeros(0, dtype=np.int64)], [b""]
+        for batch in batches:
+            y.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            x += batch.column(1).to_pylist()
+        m = fit(np.frombuffer(b"".join(x), dtype="<f2").astype(np.float32).reshape(-1, 1 << BITS), np.concatenate(y))
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (np.array(m.grades, dtype=np.int64), m.weights, m.thresholds)], ["grades", "weights", "thresholds"])
+        trim()
+
+    # one task, of at most ``rows`` rows in an order that only depends on them
+    sample = labelled(docs, labels, label, rows, where, id_col, text_col).mapInArrow(run, "y int, x binary")
+    ordered = sample.withColumn("o", F.xxhash64("x")).repartition(1).sortWithinPartitions("y", "o", "x").select("y", "x")
+    r = ordered.mapInArrow(learn, "grades binary, weights binary, thresholds binary").first()
+    if r is None:  # no partition at all
+        return fit(np.zeros((0, 1 << BITS), dtype=np.float32), np.zeros(0, dtype=np.int64))
+    return CumulativeLink(np.frombuffer(r.grades, dtype=np.int64).tolist(), np.frombuffer(r.weights), np.frombuffer(r.thresholds))
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", tail: int | None = None, id_col: str = "doc_id", text_col: str = "text", where: F.Column | None = None) -> DataFrame:

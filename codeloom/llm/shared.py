@@ -88,15 +88,25 @@ def hot_limit(spark: SparkSession, total: int) -> int:
     return max(total // (HOT_SHARE * partitions(spark)), 1000)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+#: Copies of a wide line of a hot key, one for each salt.
+SALTS = 64
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, n: str = "n", wide: bool = False) -> DataFrame:
     """The inner join of ``rows`` (``total`` in all) with ``table``, a written table of a line for each key whose number of rows is ``n``.
 
     Lines of hot keys are broadcast, of which the number of partitions bounds the number, so
-    that their rows stay where they are; the others are joined by a shuffle. ``n`` is dropped.
+    that their rows stay where they are; ``wide`` lines, such as texts, are copied under ``SALTS`` salts instead, and the rows of
+    a key are spread over these. The others are joined by a shuffle. ``n`` is dropped.
     """
     limit = hot_limit(rows.sparkSession, total)
     hot = table.filter(F.col(n) > limit)
     if hot.isEmpty():
         return rows.join(table.drop(n).hint("shuffle_hash"), keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(n) <= limit).drop(n).hint("shuffle_hash"), keys)
-    return cold.unionByName(rows.join(F.broadcast(hot.drop(n)), keys))
+    few = F.broadcast(hot.select(*keys))
+    cold = rows.join(few, keys, "left_anti").join(table.filter(F.col(n) <= limit).drop(n).hint("shuffle_hash"), keys)
+    if not wide:
+        return cold.unionByName(rows.join(F.broadcast(hot.drop(n)), keys))
+    copies = hot.drop(n).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.join(few, keys, "left_semi").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return cold.unionByName(spread.join(copies, [*keys, "__salt"]).drop("__salt"))

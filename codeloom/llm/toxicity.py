@@ -33,9 +33,9 @@ BITS = 20
 RANK = 4
 #: The model is fitted on this many labelled documents at most, chosen by hash.
 TRAIN_ROWS = 20_000
-EPOCHS = 10
-ALONE = 4
-EVIDENCE, PAIR_EVIDENCE = 1.67, 5.0
+EPOCHS = 14
+ALONE = 8
+EVIDENCE, PAIR_EVIDENCE = 1.34, 5.0
 STEP = 0.1
 START = 0.1
 BATCH = 128
@@ -97,7 +97,7 @@ def fit(buckets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray,
     if n == 0 or y.min() == y.max() or k == 0:
         return Machine(buckets[:0], float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    w = _Leader(np.zeros(k), EVIDENCE * epochs * weight.max() * 0.8, STEP)
+    w = _Leader(np.zeros(k), EVIDENCE * epochs * weight.max(), STEP)
     v = _Leader(rng.normal(0, START, (k, rank)), PAIR_EVIDENCE * (epochs - alone) * weight.max(), STEP)
     bias, square = 0.0, 1e-2
     for epoch in range(epochs):
@@ -124,8 +124,37 @@ def fit(buckets: np.ndarray, ids: np.ndarray, bounds: np.ndarray, y: np.ndarray,
                 v.update(seen, np.stack([np.bincount(at, others[:, f], len(seen)) for f in range(rank)], axis=1))
             square += g.sum() ** 2
             bias -= STEP * g.sum() / np.sqrt(square)
+    m = Machine(buckets, float(bias), w.value, v.value)
+    a, b = calibration(np.concatenate([m.logits(ids[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in ((i, min(i + BATCH, n)) for i in range(0, n, BATCH))]), y)
     used = np.flatnonzero((w.value != 0) | (v.value != 0).any(axis=1))
-    return Machine(buckets[used], float(bias), w.value[used], v.value[used])
+    return Machine(buckets[used], a * float(bias) + b, a * w.value[used], np.sqrt(a) * v.value[used])
+
+
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """``a`` (0 or more) and ``b`` for which ``a * z + b`` is the logit of the label (Platt 1999), by Newton's method with halved steps.
+
+    Rows of label 1 count by the root of their rarity, halfway between as often as they occur and as often as the others. Logits that
+    say nothing, as those of a model from a few labels, thus become one below zero if label 1 is rare.
+    """
+    n1 = float(y.sum())
+    n0 = len(y) - n1
+    t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    c = np.where(y > 0, np.sqrt(n0 / n1), 1.0)
+    x = np.stack([z, np.ones_like(z)], axis=1)
+    loss = lambda p: float((c * (np.logaddexp(0, x @ p) - t * (x @ p))).sum() + 1e-3 * p[0] ** 2)
+    share = (c * t).sum() / c.sum()
+    p = np.array([0.0, np.log(share / (1 - share))])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
+        grad = x.T @ (c * (q - t)) + [2e-3 * p[0], 0]
+        step = np.linalg.solve((x * (c * q * (1 - q))[:, None]).T @ x + np.diag([2e-3, 1e-9]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(p - size * step) > loss(p):
+            size /= 2
+        p = p - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return (float(p[0]), float(p[1])) if p[0] > 0 else (0.0, float(np.log(share / (1 - share))))
 
 
 def _present(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

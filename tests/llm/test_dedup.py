@@ -130,6 +130,23 @@ def test_links_inside_a_component_are_counted(spark):
     assert {r.doc_id: r.n_links for r in near_dedup(docs(spark, rows)).collect()} == want | {1000: want[7]}
 
 
+def test_hot_hub_and_band(spark, monkeypatch):
+    """Half of all rows are variants of one text, which meet in all bands; every key with more than ten rows counts as hot."""
+    from codeloom.llm import shared
+
+    monkeypatch.setattr(shared, "hot_limit", lambda *_: 10)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(base[: 40 + i % 60] + [f"z{i}"] + base[40 + i % 60 :]), "a") for i in range(150)] + [(1000 + i, prose(i, 60), "a") for i in range(150)]
+    rows += [(2000 + i, rows[3][1], "a") for i in range(40)]
+    want = brute_components([(i, t) for i, t, _ in rows])
+    got = near_dedup(docs(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {r.n_links for r in got if r.doc_id < 150} == {149} and {r.n_links for r in got if 1000 <= r.doc_id < 2000} == {0}
+    assert {r.doc_id for r in near_dedup_rows(docs(spark, rows)).collect()} == {i for i, (_, c) in want.items() if i == c}
+    with pytest.raises(ValueError):
+        near_dedup(docs(spark), threshold=50)
+
+
 def test_one_id_with_several_texts(spark):
     base = prose(5, 100)
     rows = [(7, base, "a"), (7, base + " more", "a"), (7, prose(6, 100), "a"), (9, prose(6, 100) + " end", "a"), (3, prose(8, 50), "a"), (3, base + " other", "a")]

@@ -1,12 +1,21 @@
 import collections
+import hashlib
+import re
+import zlib
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import numpy as np
 from codeloom.llm.mixing import mix
 from codeloom.llm.near_dedup import near_dedup
-from codeloom.llm.queries import QUERIES
+from codeloom.llm.packing import best_fit
+from codeloom.llm.queries import QUERIES, VOCABULARY
+from codeloom.llm.toxicity import toxicity
+from tokenizers import Tokenizer
 
 from .cases import SCHEMA, docs, empty, texts
+from .test_dedup import brute_components
+from .test_layout import brute_targets
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +37,67 @@ def test_stages_on_awkward_rows(spark):
     assert d.count() >= len({t for _, t, _ in texts() if t}) // 2
 
 
+def brute_mix(rows):
+    """How often each of ``(id, size, source)`` is taken: whole epochs, the rows before the cut in order of their key, and the row that fills best."""
+    sizes = collections.Counter()
+    for _, n, s in rows:
+        sizes[s] += n
+    want, out = brute_targets(dict(sizes)), collections.Counter()
+    for s, total in sizes.items():
+        own = sorted((hashlib.md5(str(i).encode()).hexdigest(), i, n) for i, n, x in rows if x == s)
+        epochs = min(int(want[s] // total), 3) if total else 0
+        rest, at, left = want[s] - epochs * total, 0, []
+        for key, i, n in own:
+            out[i] += epochs
+            if at + n <= rest and not left:
+                at += n
+                out[i] += 1
+            else:
+                left.append((abs(rest - at - n), key, i, n))
+        gap = rest - at
+        fits = [x for x in left if gap > 0.5 and 0 < x[3] < 2 * gap]
+        if fits:
+            out[min(fits)[2]] += 1
+    return +out
+
+
+def test_run_equals_brute_force(spark):
+    """Every stage, and the rows of ``run``, against plain Python; the toxicity model itself is compared with its own scores and its labels."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r.doc_id: r.predicted for r in toxicity(d, labels).collect()}
+    kept = {r.doc_id: r.text or "" for r in d.collect() if not scores[r.doc_id]}
+    source = {r.doc_id: r.source for r in d.collect()}
+    assert {r.doc_id for r in corpus_pipeline.toxicity(spark, d, SF).collect()} == set(kept)
+    toxic = {r.doc_id for r in labels.filter("toxic = 1").collect()}
+    assert len(set(scores) - set(kept) - toxic) <= 0.01 * len(scores)
+
+    last = {}
+    for i, t in kept.items():
+        last[t] = max(last.get(t, i), i)
+    kept = {i: t for t, i in last.items()}
+    component = brute_components(list(kept.items()))
+    kept = {i: t for i, t in kept.items() if component[i][1] == i}
+    times = brute_mix([(i, len(re.findall(r"[^\x20\x09-\x0D]+", t)), source[i]) for i, t in kept.items()])
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = collections.Counter()
+    for i, n in times.items():
+        ids = [*tokenizer.encode(kept[i], add_special_tokens=False).ids, 2]
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes()))] += n
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    sequences = collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for s in sequences.values():
+        s.sort()
+        assert [a for a, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 1024
+    assert len(sequences) <= sum(best_fit(dict(collections.Counter(r.length for r in got)), 1024).values())
+
+
 def test_each_stage_does_its_work(spark):
     """Each stage's rows against what its operator, or brute force, says of its input."""
     d = spark.read.parquet(f"{SF}/documents.parquet")
