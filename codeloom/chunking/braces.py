@@ -35,8 +35,8 @@ def blank(data: bytes) -> tuple[bytes, list[tuple[int, int]]]:
     return _SKIP.sub(hide, data), comments
 
 
-def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
-    """The units of a file and its captures. Braces that don't match close at the end of the file."""
+def parse(data: bytes, rules: list[tuple[bytes, str, str]] | None = None) -> tuple[list[Unit], list[Capture]]:
+    """The units of a file and its captures, by the built-in rules and ``rules``. Braces that don't match close at the end of the file."""
     code, comments = blank(data)
     partner: dict[int, int] = {}
     stack: list[int] = []
@@ -90,7 +90,7 @@ def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
         return Unit(start, end)
 
     captures = []
-    for rule, category, value in _RULES:
+    for rule, category, value in [*_RULES, *(rules or [])]:
         for m in re.finditer(rule, data):
             group = 1 if m.re.groups else 0
             if code[m.start() : m.start() + 1].strip():  # not inside a comment or string

@@ -13,6 +13,7 @@ from ..functions.columns import LABELS, LANGUAGES, category_of, language_of, sea
 from ..operators.fts import postings
 from ..schema import MATCHES, NODES
 from . import braces, python_ast
+from .rules import Rules
 from .units import Capture, Chunk, Chunker
 
 PARSED = (
@@ -35,16 +36,16 @@ def skipped(data: bytes) -> str | None:
     return "Generated" if any(x in head for x in (b"generated by", b"auto-generated", b"do not edit")) else None
 
 
-def chunks_of(data: bytes, language: str) -> tuple[list[Chunk], list[Capture]]:
+def chunks_of(data: bytes, language: str, rules: Rules | None = None) -> tuple[list[Chunk], list[Capture]]:
     """The chunks and captures of a file; one that doesn't parse is split by size."""
     try:
-        units, captures = python_ast.parse(data) if language == "python" else braces.parse(data)
+        units, captures = (python_ast if language == "python" else braces).parse(data, (rules or {}).get(language))
     except (SyntaxError, ValueError, RecursionError):
         units, captures = [], []
     return Chunker(data).run(units), captures
 
 
-def rows_of(path: str, data: bytes | None, size: int, error: str | None) -> list[dict]:
+def rows_of(path: str, data: bytes | None, size: int, error: str | None, rules: Rules | None = None) -> list[dict]:
     """The rows of a file: one for each chunk, or one without a chunk if it was skipped or is blank."""
     extension = path.rpartition(".")[2]
     if extension not in LANGUAGES:
@@ -53,7 +54,7 @@ def rows_of(path: str, data: bytes | None, size: int, error: str | None) -> list
     if error:
         return [{"path": path, "status": "skipped", "error": error, "file_hash": "", "size_bytes": 0}]
     about = {"path": path, "status": "success", "error": None, "file_hash": hashlib.sha256(data).hexdigest(), "size_bytes": size}
-    chunks, captures = chunks_of(data, LANGUAGES[extension])
+    chunks, captures = chunks_of(data, LANGUAGES[extension], rules)
     rows = []
     for i, c in enumerate(chunks):
         text = data[c.start : c.end].decode("utf-8", "ignore")
@@ -71,8 +72,8 @@ _ARROW = pa.schema({
 })
 
 
-def parse_files(tree: DataFrame) -> DataFrame:
-    """Rows of all chunks (``PARSED``) of ``path, size, content, error``; a file whose chunking fails has status ``failed``."""
+def parse_files(tree: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """Rows of all chunks (``PARSED``) of ``path, size, content, error``; a file whose chunking fails has status ``failed``. ``rules`` add captures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +81,7 @@ def parse_files(tree: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 path, size, content, error = (batch.column(c)[i].as_py() for c in range(4))
                 try:
-                    rows += rows_of(path, content, int(size), error)
+                    rows += rows_of(path, content, int(size), error, rules)
                 except Exception as e:  # noqa: BLE001 - one bad file must not fail the snapshot
                     rows.append({"path": path, "status": "failed", "error": str(e), "file_hash": "", "size_bytes": 0})
                 if len(rows) > 5000:

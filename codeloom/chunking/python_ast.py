@@ -40,8 +40,8 @@ def _dotted(node: ast.expr) -> str:
     return node.id if isinstance(node, ast.Name) else ""
 
 
-def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
-    """The units of a module and its captures; ``SyntaxError`` if it doesn't parse."""
+def parse(data: bytes, rules: list[tuple[bytes, str, str]] | None = None) -> tuple[list[Unit], list[Capture]]:
+    """The units of a module and its captures, by the built-in rules and ``rules``; ``SyntaxError`` if it doesn't parse."""
     tree = ast.parse(data)
     lines = Lines(data)
     captures: list[Capture] = []
@@ -87,4 +87,6 @@ def parse(data: bytes) -> tuple[list[Unit], list[Capture]]:
     def scope(body: list[ast.stmt], inside: bool) -> list[Unit]:
         return [unit(n, inside) for n in body]
 
-    return scope(tree.body, False), captures
+    units = scope(tree.body, False)
+    captures += [Capture(*m.span(1 if m.re.groups else 0), category, value) for rule, category, value in rules or [] for m in re.finditer(rule, data)]
+    return units, captures

@@ -230,9 +230,14 @@ def _rank(words: list[str]) -> str:
     return "round(CAST(" + " + ".join(f"{w(x)} / (1 + {w(x)})" for x in words) + " AS DOUBLE), 6)"
 
 
-def _fts(text: str, words: list[str], where: str, k: int = 50) -> tuple[Query, str]:
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored postings, made once."""
+    return kept(spark, f"{d}/documents.parquet", "postings", lambda: fts.postings(_nodes(spark, d)).sort("term"))
+
+
+def _fts(text: str, words: list[str], where: str, k: int = 50, indexed: bool = False) -> tuple[Query, str]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return fts.search(_nodes(spark, d), text, k)
+        return fts.search_index(_index(spark, d), _slim(spark, d), text, k) if indexed else fts.search(_nodes(spark, d), text, k)
 
     return run, sql(f"SELECT node_id, {_rank(words)} AS score FROM ({_TERMS}) WHERE {where} ORDER BY score DESC, node_id LIMIT {k}", "nodes")
 
@@ -243,7 +248,7 @@ for _name, (_run, _sql) in {
     "q_fts_match_or": _fts("gnu or mit", ["gnu", "mit"], f"{_HAS('gnu')} OR {_HAS('mit')}"),
     "q_fts_not": _fts("license -apache", ["license"], f"{_HAS('license')} AND NOT {_HAS('apache')}"),
     "q_fts_phrase": _fts('"rights reserved"', ["reserved", "rights"], "contains(' ' || array_to_string(list_concat(ta, tb), ' ') || ' ', ' rights reserved ')"),
-    "q_fts_rank_topk": _fts("class or definition", ["class", "definition"], f"{_HAS('class')} OR {_HAS('definition')}", 20),
+    "q_fts_rank_topk": _fts("class or definition", ["class", "definition"], f"{_HAS('class')} OR {_HAS('definition')}", 20, True),
 }.items():
     QUERIES[_name], ORACLES[_name] = _run, _sql
 
@@ -268,10 +273,6 @@ def q_fts_index_topk(spark: SparkSession, d: str) -> DataFrame:
     return fts.search_index(_index(spark, d), _slim(spark, d), "apache license", 50)
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, f"{d}/documents.parquet", "postings", lambda: fts.postings(_nodes(spark, d)).sort("term"))
-
-
 @query(sql(f"""SELECT node_id, {_rank(['gnu', 'license', 'mit'])} AS score FROM ({_TERMS}) WHERE ({_HAS('mit')} OR {_HAS('gnu')}) AND {_HAS('license')} AND NOT {_HAS('apache')} ORDER BY score DESC, node_id LIMIT 50""", "nodes"))
 def q_fts_index_boolean(spark: SparkSession, d: str) -> DataFrame:
     return fts.search_index(_index(spark, d), _slim(spark, d), "mit or gnu license -apache", 50)
@@ -359,7 +360,7 @@ _FUSED = f"""SELECT id, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, strin
 
 def _hybrid(spark: SparkSession, d: str, limit: int = 10) -> DataFrame:
     hits = vectors.knn(corpus.embeddings(spark, d).select("node_id", "embedding"), _first_vector(spark, d), 2 * limit, id_col="node_id")
-    words = fts.search(_nodes(spark, d), "class or definition", 2 * limit)
+    words = fts.search_index(_index(spark, d), _slim(spark, d), "class or definition", 2 * limit)
     return fusion.fuse([fusion.ranked(hits, "vector", "node_id"), fusion.ranked(words, "keyword", "node_id")], limit)
 
 

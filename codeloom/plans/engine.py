@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..chunking.files import parse_files, tables
+from ..chunking.rules import Rules
 from ..functions.columns import distinct_labels, primary_label, search_tags
 from ..operators import embedding, fts, fusion, graph, lifecycle, reader, vectors
 from ..operators.filters import build_predicate
@@ -28,10 +29,10 @@ def repository_id(url: str, branch: str = "main") -> str:
 
 
 class Engine:
-    """Everything over one store."""
+    """Everything over one store; ``rules`` (see ``chunking.rules``) add captures to what is indexed."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str, rules: Rules | None = None):
+        self.spark, self.rules = spark, rules
         self.store = Store(spark, root)
         self.store.migrate()
         self._manifests: dict[str, DataFrame] = {}
@@ -79,7 +80,7 @@ class Engine:
         rows = read_tree(self.spark, tree) if isinstance(tree, str) else tree
         # parsed once; Parquet, so that a lost executor costs nothing that later steps need
         path = f"{self.store.root}/staging/{snapshot}"
-        parse_files(rows).write.mode("overwrite").parquet(path)
+        parse_files(rows, self.rules).write.mode("overwrite").parquet(path)
         parsed = self.spark.read.parquet(path)
         made = tables(parsed, snapshot)
         self.store.add_contents(made.pop("contents"))

@@ -1,4 +1,6 @@
+import pytest
 from codeloom.chunking.files import chunks_of, label, rows_of, skipped
+from codeloom.chunking.rules import load_rules
 from codeloom.chunking.units import LIMIT, hard_split
 from codeloom.operators.chunks import cuts
 from hypothesis import given, settings
@@ -47,3 +49,23 @@ def test_skipped_files_and_labels():
     assert rows_of("a.txt", b"x", 1, None) == []
     assert rows_of("bad.py", b"def (:\n  x\n", 11, None)[0]["status"] == "success"
     assert rows_of("empty.py", b"", 0, None)[0]["status"] == "success"
+
+
+def test_rules_from_files(tmp_path):
+    (tmp_path / "python.json").write_text('[{"pattern": "TODO", "capture": "note.todo"}, {"pattern": "x", "capture": "helper"}]')
+    (tmp_path / "go.json").write_text('[{"pattern": "func (Test\\\\w+)", "capture": "role.test_case"}]')
+    rules = load_rules(str(tmp_path))
+    assert {k: [r[1:] for r in v] for k, v in rules.items()} == {"python": [("note", "todo")], "go": [("role", "test_case")]}
+    assert ("note", "todo") in {(c.category, c.value) for c in chunks_of(b"x = 1  # TODO\n", "python", rules)[1]}
+    assert ("role", "test_case") in {(c.category, c.value) for c in chunks_of(b"func TestA(t) {\n}\n", "go", rules)[1]}
+    (tmp_path / "go.json").write_text('[{"pattern": "(", "capture": "role.x"}]')
+    with pytest.raises(ValueError, match="go.json"):
+        load_rules(str(tmp_path))
+
+
+def test_captures_of_short_names_and_nested_definitions():
+    """A name that is part of its keyword, and definitions below if, try and with."""
+    source = b"class c:\n    def d(self):\n        pass\nif x:\n    class s: pass\ntry:\n    def e(): pass\nexcept E:\n    with y:\n        async def f(): pass\n"
+    names = [(source[c.start : c.end], c.value) for c in chunks_of(source, "python")[1]]
+    assert sorted(names) == [(b"c", "class"), (b"d", "function"), (b"e", "function"), (b"f", "function"), (b"s", "class")]
+    assert [c.start for c in chunks_of(b"def d(): pass\n", "python")[1]] == [4]
