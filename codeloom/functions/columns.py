@@ -137,10 +137,11 @@ def prompt(path: Column, language: Column, category: Column, matches: Column, de
     return F.concat_ws("\n", line("File", path), line("Language", language), line("Category", category), line("Role", role), line("Tags", tags), line("Defines", F.array_join(F.array_sort(F.array_distinct(F.coalesce(defines, F.array().cast("array<string>")))), ", ")), F.lit("[CODE]"), content)
 
 
-def cleaned_for_embedding(text: Column, limit: int = 25_000) -> Column:
-    """Newlines become blanks, blank texts a placeholder; long texts end at ``limit``, the provider's request size."""
-    flat = F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, limit)
-    return F.when(F.trim(flat) == "", "empty_node_content").otherwise(flat)
+def cleaned_for_embedding(text: Column, limit: int | None = 25_000, blank: str = "empty_node_content") -> Column:
+    """Newlines become blanks, blank texts a placeholder; with a ``limit``, the provider's request size, long texts end there."""
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    flat = F.substring(flat, 1, limit) if limit else flat
+    return F.when(F.trim(flat) == "", blank).otherwise(flat)
 
 
 def clean_text(text: str, limit: int | None = None) -> str:

@@ -99,10 +99,12 @@ def q_should_process(spark: SparkSession, d: str) -> DataFrame:
     return corpus.files(spark, d).select(made.alias("p")).withColumn("processed", C.should_process(F.col("p")))
 
 
-@query(f"""SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty_node_content' ELSE t END AS cleaned, md5(url) AS url_md5
-  FROM (SELECT *, substring(replace(html, chr(10), ' '), 1, 25000) AS t FROM pages)""")
+@query(f"""SELECT page_id, CASE WHEN trim(t) = '' THEN 'empty_node_content' ELSE t END AS cleaned, sha256(CASE WHEN trim(w) = '' THEN 'empty' ELSE w END) AS whole, md5(url) AS url_md5
+  FROM (SELECT *, substring(w, 1, 25000) AS t FROM (SELECT *, CASE WHEN page_id % 50 = 0 THEN ' ' ELSE replace(html, chr(10), ' ') END AS w FROM pages))""")
 def q_text_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.table(spark, d, "pages").select("page_id", C.cleaned_for_embedding(F.col("html")).alias("cleaned"), F.md5("url").alias("url_md5"))
+    """As one service takes texts, up to its limit, and as another one takes them whole."""
+    html = F.when(F.col("page_id") % 50 == 0, "\n").otherwise(F.col("html"))
+    return corpus.table(spark, d, "pages").select("page_id", C.cleaned_for_embedding(html).alias("cleaned"), F.sha2(C.cleaned_for_embedding(html, None, "empty"), 256).alias("whole"), F.md5("url").alias("url_md5"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.symbol'), 'unknown') AS symbol FROM events""")
@@ -110,6 +112,14 @@ def q_json_access(spark: SparkSession, d: str) -> DataFrame:
     return corpus.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.symbol"), F.lit("unknown")).alias("symbol"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE array_to_string(list_sort(json_keys(props)), ',') END AS keys, CASE WHEN event_id % 3 = 0 THEN 0 ELSE len(json_keys(props)) END AS n FROM events""")
+def q_json_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """JSON that doesn't parse counts as an empty object."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props"))
+    keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
+    return corpus.table(spark, d, "events").select("event_id", F.array_join(F.array_sort(keys), ",").alias("keys"), F.size(keys).cast("long").alias("n"))
+
+
 # chunks
 
 
@@ -310,6 +320,25 @@ def q_search_doc_tags(spark: SparkSession, d: str) -> DataFrame:
     return _slim(spark, d).select("node_id", "tags")
 
 
+@query(sql(f"""SELECT h.node_id, h.score, n.file_path, f.category, f.source AS repository, n.content FROM (SELECT node_id, {_rank(['license', 'mit'])} AS score FROM ({_TERMS}) WHERE {_HAS('mit')} OR {_HAS('license')} ORDER BY score DESC, node_id LIMIT 30) h
+  JOIN nodes n USING (node_id) JOIN files f ON f.file_id = n.file_id""", "nodes"))
+def q_search_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of a keyword search with their node, text, file and repository: the top comes first, the joins are of 30 rows."""
+    hits = F.broadcast(fts.search_index(_index(spark, d), _slim(spark, d), "mit or license", 30))  # 30 rows
+    f = corpus.files(spark, d).select("file_id", "category", F.col("source").alias("repository"))
+    return _nodes(spark, d).drop("category").join(hits, "node_id").join(f, "file_id").select("node_id", "score", "file_path", "category", "repository", "content")
+
+
+@query(sql(f"""SELECT h.id, h.score, n.node_id, n.content, f.size_bytes, f.source AS repository FROM (SELECT id, round({COSINE.format('embedding', 'v')}, 6) AS score FROM emb, q ORDER BY score DESC, id LIMIT 30) h
+  JOIN nodes n ON n.doc_id = h.id AND n.seq = 1 JOIN files f ON f.file_id = n.file_id""", "emb", "q"))
+def q_knn_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar vectors with their node, text and file."""
+    hits = vectors.knn(corpus.embeddings(spark, d), _first_vector(spark, d), 30)
+    f = corpus.files(spark, d).select("file_id", "size_bytes", F.col("source").alias("repository"))
+    n = _nodes(spark, d).filter("seq = 1").withColumnRenamed("doc_id", "id")
+    return n.join(F.broadcast(hits), "id").join(f, "file_id").select("id", "score", "node_id", "content", "size_bytes", "repository")  # 30 rows
+
+
 # vectors and fusion
 
 
@@ -687,6 +716,23 @@ def q_delta(spark: SparkSession, d: str) -> DataFrame:
     return embedding.split_hits(embedding.backfill(_staged(spark, d), _history(spark, d)))[1].select("node_id")
 
 
+@query(sql(f"""SELECT count(*) AS staged, count(first_id) AS recovered, count(*) - count(first_id) AS to_embed, count(DISTINCT h) AS prompts, count(DISTINCT file_id) AS files FROM (SELECT file_id, doc_id % 20 AS h, first_id FROM nodes LEFT JOIN (SELECT label, min(id) AS first_id FROM emb WHERE label % 2 = 0 GROUP BY 1) ON label = doc_id % 20)""", "emb"))
+def q_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of an embedding run in one pass."""
+    staged = _slim(spark, d).select("node_id", "file_id", (F.col("doc_id") % 20).cast("string").alias("vector_hash"), F.lit(MODEL).alias("model_name"))
+    return embedding.backfill(staged, _history(spark, d)).agg(
+        F.count(F.lit(1)).alias("staged"), F.count("embedding").alias("recovered"), F.count_if(F.col("embedding").isNull()).alias("to_embed"),
+        F.count_distinct("vector_hash").alias("prompts"), F.count_distinct("file_id").alias("files"),
+    )
+
+
+@query()
+def q_seeded_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in vectors of all prompts, which depend on the text alone."""
+    n = _nodes(spark, d).select("node_id", vectors.seeded_vector(F.col("content"), 16).alias("embedding"))
+    return n.select("node_id", _checksum("embedding").alias("components"))
+
+
 # lifecycle and statistics
 
 
