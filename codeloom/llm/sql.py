@@ -81,6 +81,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
+#: Bytes are pairs of hexadecimal digits; windows are taken from short parts of a text, as a long string is slow to reach into.
+ORACLES["op8_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+q AS (SELECT doc_id, k, substring(h, 512 * k + 1, 710) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 - 100) // 256 + 1)) AS k FROM d WHERE length(h) >= 200)),
+w AS (SELECT doc_id, 256 * k + i AS s, md5_number(substring(part, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, k, part, unnest(range(0, least(256, length(part) // 2 - 99))) AS i FROM q)),
+f AS (SELECT g, min({'doc': doc_id, 's': s}) AS first FROM w GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER p + 100 THEN 1 ELSE 0 END AS begins FROM w JOIN f USING (g) WHERE {'doc': doc_id, 's': s} > first WINDOW p AS (PARTITION BY doc_id ORDER BY s)),
+n AS (SELECT doc_id, s, sum(begins) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
+x AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM n GROUP BY doc_id, run),
+y AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM x),
+z AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
+"""
+
 _LIST = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
 ORACLES["op2_license_scan"] = f"""

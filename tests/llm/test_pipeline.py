@@ -5,11 +5,14 @@ import zlib
 
 import __spark_entry__ as entry
 import corpus_pipeline
+import duckdb
 import numpy as np
+import pytest
 from codeloom.llm.mixing import mix
 from codeloom.llm.near_dedup import near_dedup
 from codeloom.llm.packing import best_fit
 from codeloom.llm.queries import QUERIES, VOCABULARY
+from codeloom.llm.sql import ORACLES
 from codeloom.llm.toxicity import toxicity
 from tokenizers import Tokenizer
 
@@ -25,6 +28,20 @@ def test_all_queries_are_registered():
     assert [n for n in range(1, 11) if not any(x.startswith(f"op{n}_") for x in names)] == [] and "pipeline" in names and len(QUERIES) == 10
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_duckdb(spark, name):
+    """The queries that SQL can express, against their twins."""
+    c = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    twin = c.execute(ORACLES[name])
+    names = sorted(x[0] for x in twin.description)
+    at = [[x[0] for x in twin.description].index(n) for n in names]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == names
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(repr(tuple(r[i] for i in at)) for r in twin.fetchall())
+
+
 def test_stages_on_awkward_rows(spark):
     d = docs(spark)
     for name, stage in corpus_pipeline.STAGES:
