@@ -113,8 +113,10 @@ def _decide(rows: DataFrame, weights: dict[str | None, int] | None) -> DataFrame
 def _times(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (with ``s, key, id, size``) with their source's line and ``times``, how often the mix takes them."""
     known = _with(rows, plan, "src")
-    at_cut, at_fill = (F.coalesce(_point() == F.col(c), F.lit(False)) for c in ("cut", "fill"))
-    clear = known.filter(~at_cut & ~at_fill).withColumn("times", F.col("epochs") + F.when(F.col("cut").isNull() | (_point() < F.col("cut")), 1).otherwise(0))
+    # keys decide on all rows but a few, so that sizes needn't be known of the others
+    at_cut, at_fill = (F.coalesce((F.col("key") == F.col(f"{c}.key")) & (_point() == F.col(c)), F.lit(False)) for c in ("cut", "fill"))
+    before_cut = (F.col("key") < F.col("cut.key")) | ((F.col("key") == F.col("cut.key")) & (_point() < F.col("cut")))
+    clear = known.filter(~at_cut & ~at_fill).withColumn("times", F.col("epochs") + F.when(F.col("cut").isNull() | before_cut, 1).otherwise(0))
     due = F.when(at_cut, F.col("cut_copies")).otherwise(0) + F.when(at_fill, 1).otherwise(0)
     # rows with one point are alike: they are numbered within each task's part, and behind the parts before it
     edge = written(known.filter(at_cut | at_fill).withColumn("due", due).withColumn("g", F.struct("src", at_cut.alias("c"))).withColumn("part", F.spark_partition_id()), "edge")
