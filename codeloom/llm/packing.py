@@ -2,8 +2,10 @@
 
 Only lengths matter to a packing, and there are at most ``length`` different ones, so
 a solution of the whole says how often each pattern (the lengths in a bin) is used, which plain
-best fit finds from how often each length occurs. Of its bins, those that aren't full, worst first, and some that
-are, ``WORK`` in all, are what the algorithm packs anew; the other full ones stay as they are.
+best fit finds from how often each length occurs. All of its bins that aren't full are packed anew, with as many full ones as
+there is room for, in parts of ``WORK`` bins. Where there are more, a part stands for 2, 4, 8 ... equal ones, which get its packing,
+and what doesn't divide has parts of its own, so that the number of parts grows with the logarithm of the bins. The outcome of a round is
+parted again, until the bound by the sum of lengths is reached or a round comes hardly nearer to it.
 
 Islands run as tasks. Each breeds a population of packings of the same documents, which begins with best fits in
 disturbed order (only island 0 has the plain one), and the best of an island moves to the next
@@ -42,8 +44,10 @@ ISLANDS = 6
 EPOCHS = 3
 GENERATIONS = 60
 POPULATION = 8
-#: The bins that the genetic algorithm packs anew.
+#: The bins of a part that islands pack anew.
 WORK = 1024
+#: Rounds in a row that bring a packing less than a twentieth nearer to its bound, after which it stays.
+IDLE = 1
 UNIT_ROWS = 1 << 20
 CHUNK = 300_000
 
@@ -182,53 +186,86 @@ def evolve(items: list[int], length: int, seeds: list[Bins], seed: int, generati
     return pool[0], *entered
 
 
-def solve(spark: SparkSession, demand: dict[int, int], length: int, islands: int = ISLANDS, epochs: int = EPOCHS, work: int = WORK, seen: dict | None = None) -> Solution:
-    """The fewest bins found by all islands, whose elites migrate to the next island after each epoch; ``seen`` gets the crossovers and mutations that entered a population."""
-    plain = best_fit(demand, length)
-    least = -(-sum(s * c for s, c in demand.items()) // length)
-    if sum(plain.values()) <= least:
-        return plain
-    # the bins to pack anew: the worst first, and full ones, drawn by how often their pattern is used
-    chosen: Solution = {}
-    room = work
-    for p, n in sorted(plain.items(), key=lambda x: (sum(x[0]), x[0])):
-        if sum(p) < length and room > work // 2:
-            chosen[p] = min(n, room - work // 2)
-            room -= chosen[p]
-    rest = [(p, n - chosen.get(p, 0)) for p, n in sorted(plain.items()) if n > chosen.get(p, 0)]
-    total = sum(n for _, n in rest)
-    for p, n in rest:
-        share = n if total <= room else n * room // total
-        if share:
-            chosen[p] = chosen.get(p, 0) + share
-    fixed = {p: n - chosen.get(p, 0) for p, n in plain.items() if n > chosen.get(p, 0)}
-    bins = [list(p) for p, n in chosen.items() for _ in range(n)]
-    items = sorted(s for b in bins for s in b)
-    least -= sum(fixed.values())
-    best, elites = bins, [[bins] if i == 0 else [] for i in range(islands)]
+def cells(solution: Solution, length: int, work: int, draw: int = 0) -> list[tuple[int, Bins]]:
+    """Parts of ``solution`` of up to ``work`` bins, and for how many equal parts each stands.
+
+    Every bin that isn't full is in one part, worst first, up to half of its bins; the others are full ones, which ``draw`` picks
+    evenly. A full bin that is in none stays as it is: full bins alone are as few as can be.
+    """
+    left = dict(sorted(solution.items(), key=lambda x: (sum(x[0]), x[0])))
+    loose = [p for p in left if sum(p) < length]
+    full = [p for p in left if sum(p) == length]
+    half = max(1, work // 2)
+    rng = np.random.default_rng(draw)
+    times = 1
+    while sum(left[p] // times for p in loose) > half:
+        times *= 2
+    out = []
+    while times:
+        bins = [p for p in loose for _ in range(left[p] // times)]
+        for p in loose:
+            left[p] %= times
+        for a in range(0, len(bins), half):
+            part = bins[a : a + half]
+            have = np.cumsum([left[p] // times for p in full], dtype=np.int64)
+            room = min(work - len(part), int(have[-1]) if full else 0)
+            if room > 0:
+                at = ((np.arange(room) + rng.random()) * (int(have[-1]) / room)).astype(np.int64)
+                picked = [full[k] for k in np.searchsorted(have, at, side="right").tolist()]
+                for p in picked:
+                    left[p] -= times
+                part = part + picked
+            out.append((times, [list(p) for p in part]))
+        times //= 2
+    return out
+
+
+def breed(spark: SparkSession, parts: list[Bins], length: int, islands: int, epochs: int, seen: dict | None = None) -> list[Bins]:
+    """The best packing of each of ``parts`` that its islands found; elites migrate to the next island after each epoch."""
+    best = list(parts)
+    least = [-(-sum(map(sum, x)) // length) for x in parts]
+    elites = {c: [[x] if i == 0 else [] for i in range(islands)] for c, x in enumerate(parts) if len(x) > least[c]}
     for epoch in range(epochs):
-        task = spark.createDataFrame([(i, json.dumps(e)) for i, e in enumerate(elites)], "island int, seeds string").repartition(islands, "island")
+        if not elites:
+            break
+        items = {c: sorted(s for b in parts[c] for s in b) for c in elites}
+        rows = [(c, i, json.dumps(items[c]), json.dumps(e)) for c, own in elites.items() for i, e in enumerate(own)]
+        task = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "part int, island int, items string, seeds string")
 
         def run(batches: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for island, seeds in zip(pdf.island, pdf.seeds):
-                    x, crossed, mutated = evolve(items, length, json.loads(seeds), 1000 * epoch + int(island))
-                    yield pd.DataFrame({"island": [island], "elite": [json.dumps(x)], "crossed": [crossed], "mutated": [mutated]})
+                for part, island, some, seeds in zip(pdf.part, pdf.island, pdf["items"], pdf.seeds):
+                    x, crossed, mutated = evolve(json.loads(some), length, json.loads(seeds), 1000 * epoch + int(island))
+                    yield pd.DataFrame({"part": [part], "island": [island], "elite": [json.dumps(x)], "crossed": [crossed], "mutated": [mutated]})
 
-        found = sorted(task.mapInPandas(run, "island int, elite string, crossed long, mutated long").collect())
-        for k in ("crossed", "mutated"):
+        found: dict[int, list[Bins]] = {c: [] for c in elites}
+        for r in sorted(task.mapInPandas(run, "part int, island int, elite string, crossed long, mutated long").collect(), key=lambda r: (r.part, r.island)):
+            found[r.part].append(json.loads(r.elite))
             if seen is not None:
-                seen[k] = seen.get(k, 0) + sum(r[k] for r in found)
-        solutions = [json.loads(r.elite) for r in found]
-        best = max([best, *solutions], key=lambda x: fitness(x, length))
-        if len(best) <= least:
-            break
-        elites = [[solutions[i], solutions[i - 1]] for i in range(islands)]
-    out = dict(fixed)
-    for b in best:
-        p = tuple(sorted(b, reverse=True))
-        out[p] = out.get(p, 0) + 1
-    return out
+                seen["crossed"] = seen.get("crossed", 0) + r.crossed
+                seen["mutated"] = seen.get("mutated", 0) + r.mutated
+        for c, solutions in found.items():
+            best[c] = max([best[c], *solutions], key=lambda x: fitness(x, length))
+        elites = {c: [[x[i], x[i - 1]] for i in range(islands)] for c, x in found.items() if len(best[c]) > least[c]}
+    return best
+
+
+def solve(spark: SparkSession, demand: dict[int, int], length: int, islands: int = ISLANDS, epochs: int = EPOCHS, work: int = WORK, seen: dict | None = None) -> Solution:
+    """The fewest bins found in rounds over all bins that aren't full; ``seen`` gets the crossovers and mutations that entered a population."""
+    solution = best_fit(demand, length)
+    least = -(-sum(s * c for s, c in demand.items()) // length)
+    draw = idle = 0
+    while (before := sum(solution.values())) > least and idle < IDLE:
+        parts = cells(solution, length, work, draw)
+        for (times, old), new in zip(parts, breed(spark, [x for _, x in parts], length, islands, epochs, seen)):
+            for bins, n in ((old, -times), (new, times)):
+                for b in bins:
+                    p = tuple(sorted(b, reverse=True))
+                    solution[p] = solution.get(p, 0) + n
+        solution = {p: n for p, n in solution.items() if n}
+        idle = idle + 1 if (before - sum(solution.values())) * 20 < before - least else 0
+        draw += 1
+    return solution
 
 
 def tokenize_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -304,7 +341,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = E
     inside = Window.partitionBy("length", "unit").orderBy("id", "piece", "ids_crc32")
     ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(units, ["length", "unit"]).withColumn("rank", F.col("rank") + F.col("unit_base"))
     ranked = ranked.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank"), *(["ids"] if with_ids else []))
-    table = spark.sparkContext.broadcast(np.array(sorted(slots), dtype=np.int64).reshape(-1, 4))  # as long as the patterns, which the lengths bound
+    table = spark.sparkContext.broadcast(np.array(sorted(slots), dtype=np.int64).reshape(-1, 4))  # as long as the patterns: those of best fit, which the lengths bound, and of the parts
     names = [c for c in ranked.columns if c not in ("rank", "ids")]
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

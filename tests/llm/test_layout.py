@@ -190,6 +190,29 @@ def test_genetic_algorithm_beats_best_fit_on_the_table(spark):
     assert seen["crossed"] >= 10 and seen["mutated"] >= 10, seen
 
 
+def test_every_bin_that_is_not_full_is_packed_anew(spark):
+    """60 triplets, 50 of each, for which best fit needs 3405 bins; a part of 1024 bins alone can't save the 405."""
+    rng = np.random.default_rng(1)
+    trips = [(a, b, 1024 - a - b) for a, b in zip(rng.integers(400, 500, 60).tolist(), rng.integers(260, 300, 60).tolist())]
+    demand = dict(collections.Counter(s for t in trips for s in t for _ in range(50)))
+    plain = sum(best_fit(demand, 1024).values())
+    found = packing.solve(spark, demand, 1024)
+    check(found, demand, 1024)
+    assert plain > 3000 + 2 * 128 and sum(found.values()) - 3000 <= (plain - 3000) // 8
+
+
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 5000), max_size=12), st.integers(1, 40), st.integers(0, 5))
+@settings(max_examples=100, deadline=None)
+def test_parts_have_every_bin_that_is_not_full(demand, work, draw):
+    solution = best_fit(demand, 60)
+    seen = collections.Counter()
+    for times, bins in packing.cells(solution, 60, work, draw):
+        assert times > 0 and len(bins) <= max(work, 1)
+        for b in bins:
+            seen[tuple(b)] += times
+    assert all(seen[p] == n if sum(p) < 60 else seen[p] <= n for p, n in solution.items()) and set(seen) <= set(solution)
+
+
 def brute_targets(sizes, weights=None):
     """Shares by weight; as long as some are above their limit these stop there and the rest is shared again."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
