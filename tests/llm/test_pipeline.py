@@ -134,3 +134,17 @@ def test_each_stage_does_its_work(spark):
         else:
             assert collections.Counter(r.doc_id for r in after) == {r.doc_id: r.times for r in mix(d).collect() if r.times}
         d = spark.createDataFrame(after, d.schema)
+
+
+def test_packing_stage_packs_all_bins_anew(spark):
+    """Documents of 60 triplets of lengths, 30 of each, fill 1800 sequences, best fit needs 2065."""
+    rng = np.random.default_rng(1)
+    trips = [(a, b, 1024 - a - b) for a, b in zip(rng.integers(400, 500, 60).tolist(), rng.integers(260, 300, 60).tolist())]
+    sizes = [s for t in trips for s in t for _ in range(30)]
+    got = corpus_pipeline.packing(spark, docs(spark, [(i, " ".join(["a"] * (s - 1)), "a") for i, s in enumerate(sizes)]), SF).collect()
+    assert sorted(r.length for r in got) == sorted(sizes)
+    filled = collections.Counter()
+    for r in got:
+        filled[r.sequence_id] += r.length
+    plain = sum(best_fit(dict(collections.Counter(sizes)), 1024).values())
+    assert max(filled.values()) <= 1024 and len(filled) - 1800 <= (plain - 1800) // 8, (plain, len(filled))
