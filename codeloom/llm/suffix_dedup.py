@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -123,75 +124,92 @@ def halves(threshold: int) -> tuple[int, int, int]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """The groups of windows of ``doc, v, t, r`` (a list of s0, cnt and off): names of the halves of two positions, of the whole, and of what each window has besides."""
+    """The groups of windows of ``doc, v, t, r`` (a list of s0, cnt and off): names of the halves of two positions, of the whole, and of what each window has besides.
+
+    Texts of about ``PIECE`` bytes are worked on at once.
+    """
     core, part, name = halves(threshold)
     for batch in batches:
         buf, offsets = texts_of(batch.column(2))
         lists = batch.column(3)
         bounds = lists.offsets.to_numpy()
         fields = [lists.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
-        for i in range(batch.num_rows):
-            s0, cnt, off = (x[bounds[i] : bounds[i + 1]] for x in fields)
-            low, high = int(s0.min()), int((s0 + cnt).max()) + threshold - 1
-            sums = prefix_sums(buf[offsets[i] + low : offsets[i] + high])
+        for first, last in pieces(offsets, PIECE):
+            s0, cnt, off = (x[bounds[first] : bounds[last]] for x in fields)
+            row = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
+            base = offsets[row]
+            low, high = int((base + s0).min()), int((base + s0 + cnt).max()) + threshold - 1
+            sums = prefix_sums(buf[low:high])
             unit = np.repeat(np.arange(len(s0)), cnt)
             s = np.arange(len(unit)) + (s0 - np.cumsum(cnt) + cnt)[unit]
             j = ((s0 + off)[unit] - s) // GROUP
             begin = np.ones(len(s), dtype=bool)
             begin[1:] = (unit[1:] != unit[:-1]) | (j[1:] != j[:-1])
             at = np.flatnonzero(begin)
-            count = np.diff(np.append(at, len(s)))
-            x = s - low
-            p = (s0 + off)[unit] - GROUP * j - low  # of each window, where its group's shared bytes begin
+            bound = np.append(at, len(s))
+            count = np.diff(bound)
+            x = s + (base - low)[unit]
+            p = (s0 + off + base - low)[unit] - GROUP * j  # of each window, where its group's shared bytes begin
             q = p[at] + core - part
-            names = [gram(sums, a, a + name) for a in (p[at], p[at] + part - name, q, q + part - name)]
+            names = [gram(sums, y, y + name) for y in (p[at], p[at] + part - name, q, q + part - name)]
             names[0] = names[0] + j[at].astype(U)
             whole = gram(sums, x[at], x[at] + count - 1 + threshold) + count.astype(U)
             ends = mix64(gram(sums, x, p) * U(0x9E3779B97F4A7C15) + gram(sums, p + core, x + threshold) + (p - x).astype(U))
+            own = row[unit[at]]
             k = len(at)
             for c in range(0, k, 100_000):
                 d = min(k, c + 100_000)
-                e = np.append(at, len(s))[c : d + 1]
+                e = bound[c : d + 1]
                 rest = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(ends[e[0] : e[-1]].view(np.int64)))
-                own = [pa.array(np.full(d - c, batch.column(z)[i].as_py())) for z in (0, 1)]
+                rows = pa.array(own[c:d])
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(s[at[c:d]]), pa.array(count[c:d].astype(np.int32)), *(pa.array(y[c:d].view(np.int64)) for y in (*names, whole)), rest],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(s[at[c:d]]), pa.array(count[c:d].astype(np.int32)), *(pa.array(y[c:d].view(np.int64)) for y in (*names, whole)), rest],
                     ["doc", "v", "s0", "cnt", "a1", "a2", "b1", "b2", "u", "w"],
                 )
 
 
-def covered(starts: np.ndarray, counts: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that removed windows cover."""
-    out: list[tuple[int, int]] = []
-    for i in np.argsort(starts, kind="stable").tolist():
-        a, b = int(starts[i]), int(starts[i]) + int(counts[i]) - 1 + threshold
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+def covered(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, start, end`` of the maximal runs of bytes that the spans cover, which never join two texts."""
+    order = np.argsort(starts, kind="stable")
+    text, starts, ends = text[order], starts[order], np.maximum.accumulate(ends[order])
+    begin = np.ones(len(starts), dtype=bool)
+    begin[1:] = (starts[1:] > ends[:-1]) | (text[1:] != text[:-1])
+    at = np.flatnonzero(begin)
+    return text[at], starts[at], ends[np.append(at[1:], len(ends)) - 1] if len(at) else ends
 
 
 def _cut(batches: Iterator[pa.RecordBatch], threshold: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offsets = texts_of(batch.column(1))
-        rows: list[tuple] = []
-        for i, r in enumerate(batch.column(2)):
-            t = buf[offsets[i] : offsets[i + 1]]
-            found = r.as_py() or []
-            runs = covered(np.array([x["s0"] for x in found]), np.array([x["cnt"] for x in found]), threshold)
-            keep = np.ones(len(t), dtype=bool)
-            for a, b in runs:
-                keep[a:b] = False
-            kept = t[keep].tobytes() if runs else t.tobytes()
-            rows.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [x for run in runs for x in run]))
-        n, gone, k, sha, kept, runs = zip(*rows) if rows else ((),) * 6
-        out = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(k, pa.int64()), pa.array(sha, pa.string())]
-        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if with_text:
-            out += [pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.int64()))]
-            names += ["kept", "spans"]
-        yield pa.RecordBatch.from_arrays(out, names)
+        lists = batch.column(2)
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        found = lists.flatten()
+        s0, cnt = (found.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+        for a, b in pieces(offsets, PIECE):
+            lo, hi = int(offsets[a]), int(offsets[b])
+            own = slice(bounds[a], bounds[b])
+            text = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+            base = offsets[a:b] - lo
+            starts = base[text] + s0[own]
+            text, starts, ends = covered(text, starts, starts + cnt[own] - 1 + threshold)
+            edge = np.zeros(hi - lo + 1, dtype=np.int8)
+            edge[starts] += 1
+            edge[ends] -= 1
+            kept = buf[lo:hi][np.cumsum(edge[:-1], dtype=np.int8) == 0] if len(text) else buf[lo:hi]
+            n = np.diff(offsets[a : b + 1])
+            gone = np.bincount(text, ends - starts, minlength=b - a).astype(np.int64)
+            to = np.concatenate(([0], np.cumsum(n - gone)))
+            view = memoryview(np.ascontiguousarray(kept))
+            cuts = [view[x:y] for x, y in zip(to[:-1].tolist(), to[1:].tolist())]
+            runs = np.bincount(text, minlength=b - a).astype(np.int64)
+            out = [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(gone), pa.array(runs), pa.array([hashlib.sha256(x).hexdigest() for x in cuts], pa.string())]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            if with_text:
+                both = np.stack([starts - base[text], ends - base[text]], axis=1).ravel()
+                spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(2 * runs))).astype(np.int32)), pa.array(both))
+                out += [pa.array([bytes(x) for x in cuts], pa.binary()), spans]
+                names += ["kept", "spans"]
+            yield pa.RecordBatch.from_arrays(out, names)
 
 
 def _order(bounds: Row) -> Column:

@@ -244,5 +244,24 @@ def test_suffix_dedup_returns_texts(spark):
     assert bytes(got[2].kept) == "éz".encode() and got[2].spans == [2, 92] and got[2].n_spans == 1
 
 
+def test_suffix_dedup_works_on_many_texts_at_once():
+    """The groups of 400 texts come in one batch, with the names that each text has alone; runs end with their text."""
+    import pyarrow as pa
+    from codeloom.llm import suffix_dedup as S
+
+    texts_ = [prose(i, 40) for i in range(400)]
+    units = [[{"s0": i % 7 + k, "cnt": 3 + i % 20, "off": 30} for k in (0, 40)][: 1 + i % 2] for i in range(400)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(400), pa.int64()), pa.array([0] * 400, pa.int64()), pa.array(texts_), pa.array(units, pa.list_(pa.struct([("s0", pa.int64()), ("cnt", pa.int32()), ("off", pa.int32())])))], ["doc", "v", "t", "r"]
+    )
+    got = list(S._groups(iter([batch]), 100))
+    alone = [r for i in range(400) for x in S._groups(iter([batch.take(pa.array([i]))]), 100) for r in x.to_pylist()]
+    assert len(got) == 1 and got[0].to_pylist() == alone
+    spans = pa.array([[{"s0": 0, "cnt": 1}], None, [{"s0": 0, "cnt": 11}, {"s0": 5, "cnt": 2}], []], pa.list_(pa.struct([("s0", pa.int64()), ("cnt", pa.int32())])))
+    cut = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["x" * 100, "", "y" * 110, "z"]), spans], ["id", "t", "r"])
+    out = [r for x in S._cut(iter([cut]), 100, True) for r in x.to_pylist()]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"], r["spans"]) for r in out] == [(100, 100, 1, b"", [0, 100]), (0, 0, 0, b"", []), (110, 110, 1, b"", [0, 110]), (1, 0, 0, b"z", [])]
+
+
 def test_schema_is_awkward():
     assert "id string" in SCHEMA
