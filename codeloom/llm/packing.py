@@ -3,9 +3,10 @@
 Only lengths matter to a packing, and there are at most ``length`` different ones, so
 a solution of the whole says how often each pattern (the lengths in a bin) is used, which plain
 best fit finds from how often each length occurs. All of its bins that aren't full are packed anew, with as many full ones as
-there is room for, in parts of ``WORK`` bins. Where there are more, a part stands for 2, 4, 8 ... equal ones, which get its packing,
-and what doesn't divide has parts of its own, so that the number of parts grows with the logarithm of the bins. The outcome of a round is
-parted again, until the bound by the sum of lengths is reached or a round comes hardly nearer to it.
+there is room for, in parts of ``WORK`` bins. The emptiest have a part of their own. Where there are many others, a part stands for 2, 4, 8 ... equal ones, which get its packing,
+and what doesn't divide has parts of its own, so that the number of parts grows with the logarithm of the bins. A part can at best save the whole
+bins that are free in it; at that bound it gathers what is free in few bins, which the next round puts together as the emptiest. The outcome of a round is
+parted again, until the bound by the sum of lengths is reached or rounds come hardly nearer to it.
 
 Islands run as tasks. Each breeds a population of packings of the same documents, which begins with best fits in
 disturbed order (only island 0 has the plain one), and the best of an island moves to the next
@@ -46,7 +47,7 @@ GENERATIONS = 60
 POPULATION = 8
 #: The bins of a part that islands pack anew.
 WORK = 1024
-#: Rounds in a row that bring a packing less than a twentieth nearer to its bound, after which it stays.
+#: Rounds in a row that bring a packing less than a twentieth nearer to its bound, after which it stays; one more if there are several parts, whose next round puts together what they gathered.
 IDLE = 1
 UNIT_ROWS = 1 << 20
 CHUNK = 300_000
@@ -165,8 +166,24 @@ def mutation(a: Bins, length: int, rng: np.random.Generator, gone: int = 4) -> B
     return place(keep, exchange(keep, [s for i in out for s in a[i]], length, rng), length)
 
 
+def gather(bins: Bins, length: int, rng: np.random.Generator) -> Bins:
+    """``bins``, or fewer, in which what is free is in fewer bins: each in turn, the emptiest first, changes documents with the others, which they fill, and keeps what is left."""
+    out = [b for b in bins if sum(b) == length]
+    rest = sorted((b for b in bins if sum(b) < length), key=sum, reverse=True)
+    done: Bins = []
+    while rest:
+        own = rest.pop()
+        n = len(rest)
+        others = rest + done
+        left = exchange(others, own, length, rng)
+        out += [b for b in others if sum(b) == length]
+        rest = sorted((b for b in others[:n] if sum(b) < length), key=sum, reverse=True)
+        done = [b for b in (*others[n:], left) if b and sum(b) < length]
+    return out + done
+
+
 def evolve(items: list[int], length: int, seeds: list[Bins], seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Bins, int, int]:
-    """The best packing of ``items`` on one island after its generations, which start from ``seeds`` and disturbed best fits, and the children of crossovers and of mutations that got into the population."""
+    """The best packing of ``items`` on one island after its generations, which start from ``seeds`` and disturbed best fits, and the children of crossovers and of mutations that got into the population. At the bound it gathers what is free."""
     rng = np.random.default_rng(seed)
     least = -(-sum(items) // length)
     rank = lambda x: fitness(x, length)
@@ -183,13 +200,13 @@ def evolve(items: list[int], length: int, seeds: list[Bins], seed: int, generati
             pool[-1] = child
             entered[mutate] += 1
             pool.sort(key=rank, reverse=True)
-    return pool[0], *entered
+    return gather(pool[0], length, rng) if len(pool[0]) <= least else pool[0], *entered
 
 
 def cells(solution: Solution, length: int, work: int, draw: int = 0) -> list[tuple[int, Bins]]:
     """Parts of ``solution`` of up to ``work`` bins, and for how many equal parts each stands.
 
-    Every bin that isn't full is in one part, worst first, up to half of its bins; the others are full ones, which ``draw`` picks
+    Every bin that isn't full is in one part, up to half of its bins, of which the first has the emptiest; the others are full ones, which ``draw`` picks
     evenly. A full bin that is in none stays as it is: full bins alone are as few as can be.
     """
     left = dict(sorted(solution.items(), key=lambda x: (sum(x[0]), x[0])))
@@ -197,14 +214,22 @@ def cells(solution: Solution, length: int, work: int, draw: int = 0) -> list[tup
     full = [p for p in left if sum(p) == length]
     half = max(1, work // 2)
     rng = np.random.default_rng(draw)
+    bins: list[tuple[int, ...]] = []
+    for p in loose:
+        n = min(left[p], half - len(bins))
+        bins += [p] * n
+        left[p] -= n
+    groups = [(1, bins)]
     times = 1
     while sum(left[p] // times for p in loose) > half:
         times *= 2
-    out = []
     while times:
-        bins = [p for p in loose for _ in range(left[p] // times)]
+        groups.append((times, [p for p in loose for _ in range(left[p] // times)]))
         for p in loose:
             left[p] %= times
+        times //= 2
+    out = []
+    for times, bins in groups:
         for a in range(0, len(bins), half):
             part = bins[a : a + half]
             have = np.cumsum([left[p] // times for p in full], dtype=np.int64)
@@ -216,15 +241,14 @@ def cells(solution: Solution, length: int, work: int, draw: int = 0) -> list[tup
                     left[p] -= times
                 part = part + picked
             out.append((times, [list(p) for p in part]))
-        times //= 2
     return out
 
 
 def breed(spark: SparkSession, parts: list[Bins], length: int, islands: int, epochs: int, seen: dict | None = None) -> list[Bins]:
-    """The best packing of each of ``parts`` that its islands found; elites migrate to the next island after each epoch."""
+    """The best packing of each of ``parts`` that its islands found; elites migrate to the next island after each epoch. One at its bound only gathers what is free."""
     best = list(parts)
     least = [-(-sum(map(sum, x)) // length) for x in parts]
-    elites = {c: [[x] if i == 0 else [] for i in range(islands)] for c, x in enumerate(parts) if len(x) > least[c]}
+    elites = {c: [[x] if i == 0 else [] for i in range(islands if len(x) > least[c] else 1)] for c, x in enumerate(parts)}
     for epoch in range(epochs):
         if not elites:
             break
@@ -255,7 +279,8 @@ def solve(spark: SparkSession, demand: dict[int, int], length: int, islands: int
     solution = best_fit(demand, length)
     least = -(-sum(s * c for s, c in demand.items()) // length)
     draw = idle = 0
-    while (before := sum(solution.values())) > least and idle < IDLE:
+    parts: list = []
+    while (before := sum(solution.values())) > least and idle < IDLE + (len(parts) > 1):
         parts = cells(solution, length, work, draw)
         for (times, old), new in zip(parts, breed(spark, [x for _, x in parts], length, islands, epochs, seen)):
             for bins, n in ((old, -times), (new, times)):

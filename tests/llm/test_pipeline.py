@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from codeloom.llm.mixing import mix
 from codeloom.llm.near_dedup import near_dedup
-from codeloom.llm.packing import best_fit
+from codeloom.llm.packing import best_fit, cells, gather
 from codeloom.llm.queries import QUERIES, VOCABULARY
 from codeloom.llm.sql import ORACLES
 from codeloom.llm.toxicity import toxicity
@@ -148,3 +148,17 @@ def test_packing_stage_packs_all_bins_anew(spark):
         filled[r.sequence_id] += r.length
     plain = sum(best_fit(dict(collections.Counter(sizes)), 1024).values())
     assert max(filled.values()) <= 1024 and len(filled) - 1800 <= (plain - 1800) // 8, (plain, len(filled))
+
+
+def test_parts_of_the_packing_stage_can_save_what_the_whole_can():
+    """954 bins with 2 free each: 1908 are a bin of 1024, and less than that is free in each of two equal halves."""
+    for solution in ({(600, 422): 954, (512, 512): 5000}, {(600, 422): 20_000, (1000, 23): 300, (512, 512): 5000}):
+        free = sum((1024 - sum(p)) * n for p, n in solution.items())
+        saved = [times * (len(bins) - -(-sum(map(sum, bins)) // 1024)) for times, bins in cells(solution, 1024, 1024)]
+        assert saved[0] >= 1 and sum(saved) <= free // 1024
+    assert gather([[50, 49], [51, 48], [60, 40]], 100, np.random.default_rng(0))[1:] in ([[51, 49], [50, 48]], [[49, 51], [48, 50]], [[49, 51], [50, 48]], [[51, 49], [48, 50]])
+    rng = np.random.default_rng(3)
+    bins = [[int(a), 99 - int(a)] for a in rng.integers(20, 80, 60)]
+    out = gather(bins, 100, rng)
+    assert sorted(s for b in out for s in b) == sorted(s for b in bins for s in b) and max(map(sum, out)) <= 100 and len(out) <= 60
+    assert sum(sum(b) < 100 for b in out) < 30
